@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from .ann import op7_cross_polytope
+from .bpe import op8_merge_replay
+from .chat import op2_chat_windows
+from .langid import op4_string_kernel
 from .link_filter import op5_link_graph, op5_sql
+from .packing import op9_differencing
+from .quality import op1_pu_quality
+from .simhash import op6_simhash
 from .sketch import op10_scaled_sketch
 
 
 def queries():
     return {
+        "op1_pu_quality": op1_pu_quality,
+        "op2_chat_windows": op2_chat_windows,
+        "op4_string_kernel": op4_string_kernel,
         "op5_link_graph": op5_link_graph,
+        "op6_simhash": op6_simhash,
+        "op7_cross_polytope": op7_cross_polytope,
+        "op8_merge_replay": op8_merge_replay,
+        "op9_differencing": op9_differencing,
         "op10_scaled_sketch": op10_scaled_sketch,
     }
 
