@@ -11,12 +11,14 @@ from .packing import op9_differencing
 from .quality import op1_pu_quality
 from .simhash import op6_simhash
 from .sketch import op10_scaled_sketch
+from .suffix_dedup import op3_deep_shallow
 
 
 def queries():
     return {
         "op1_pu_quality": op1_pu_quality,
         "op2_chat_windows": op2_chat_windows,
+        "op3_deep_shallow": op3_deep_shallow,
         "op4_string_kernel": op4_string_kernel,
         "op5_link_graph": op5_link_graph,
         "op6_simhash": op6_simhash,

@@ -127,19 +127,15 @@ def near_duplicates(docs: DataFrame, bits: int = 2, posting_limit: int = 64) ->
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents but for near-duplicates: of each component the one with the smallest doc_id stays.
 
-    Of rows that repeat the doc_id which stays, one stays (the least text). Documents without an id go if a document
-    with one is in their component, else they stay.
+    Of rows that repeat the doc_id which stays, one stays (the least text); documents without an id all stay.
     """
     marks = near_duplicates(docs)
     kept = written(marks.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    stay = docs.join(kept, "doc_id")
-    once = stay.where("copies = 1").drop("copies")
-    again = stay.where("copies > 1").drop("copies")
-    again = again.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_k = 1").drop("_k")
-    nameless = docs.where("doc_id IS NULL").select("*", F.lit(1).alias("_k"))
-    free = marks.where("doc_id IS NULL AND component_id IS NULL").agg(F.count("*").alias("_n")).where("_n > 0")
-    nameless = nameless.join(free, F.lit(True), "left_semi").drop("_k")
-    return once.unionByName(again.select(once.columns)).unionByName(nameless.select(once.columns)).select(docs.columns)
+    stay = docs.join(kept.select("doc_id"), "doc_id").select(docs.columns)
+    if not kept.where("copies > 1").isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("text")
+        stay = stay.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    return stay.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:
