@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -27,15 +28,18 @@ class ChunkIds:
         if len(self.number) > self.most:
             self.clear()
         number = self.number
-        new = list(dict.fromkeys(c for chunks in texts for c in chunks if c not in number))
-        for chunk, found in zip(new, self.encode(new)):
+        found = [np.fromiter(map(number.get, chunks, repeat(-1)), np.int64, len(chunks)) for chunks in texts]
+        lacking = [np.flatnonzero(which < 0) for which in found]
+        new = list(dict.fromkeys(chunks[i] for chunks, holes in zip(texts, lacking) for i in holes.tolist()))
+        for chunk, ids in zip(new, self.encode(new)):
             number[chunk] = len(self.ends) - 1
-            self.flat.extend(found)
+            self.flat.extend(ids)
             self.ends.append(len(self.flat))
+        for chunks, which, holes in zip(texts, found, lacking):
+            which[holes] = [number[chunks[i]] for i in holes.tolist()]
         flat, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
         out = []
-        for chunks in texts:
-            which = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
+        for which in found:
             start = ends[which]
             size = ends[which + 1] - start
             last = np.cumsum(size)

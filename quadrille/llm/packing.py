@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +34,19 @@ from .bpe import groups
 from .chunks import ChunkIds
 
 END = 1
-#: White space for the tokenizer is Unicode's, which these aren't, though str.split() takes them for it.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: The tokenizer's own cut of normalised text, in terms of `re`: contractions, letters, digits, and the rest.
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: What `re` and the tokenizer take differently: separators that aren't white space there, numbers that aren't
+#: digits, and a letter whose lower case depends on its place. Texts that have them are encoded as a whole.
+ODD = regex.compile(r"[\x1c-\x1f\p{Nl}\p{No}\u03a3]")
 
 
 class WordTokenizer:
-    """Ids of whole texts through the ids of their white-space-separated words (the tokenizer never joins two)."""
+    """Ids of whole texts through the ids of their distinct pieces (words, digits, punctuation).
+
+    Words are encoded thousands at a time in one text and told apart by their last tokens, which carry the
+    vocabulary's mark for a word's end.
+    """
 
     def __init__(self, path: str):
         import os
@@ -46,11 +55,28 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.cache = ChunkIds(lambda words: [e.ids for e in self.own.encode_batch_fast(words, add_special_tokens=False)], 400_000)
+        vocabulary = self.own.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cache = ChunkIds(self._encode, 600_000)
+
+    def _encode(self, pieces: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in range(0, len(pieces), 5000):
+            part = pieces[i : i + 5000]
+            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                flat = ids.tolist()
+                out += [flat[a:b] for a, b in zip([0, *ends], ends)]
+            else:
+                out += [e.ids for e in self.own.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if "<|" in t or SEPARATORS.search(t)]  # special tokens, or the above
-        found = self.cache.ids([t.split() for t in texts])
+        odd = {i for i, t in enumerate(texts) if "<|" in t or (ODD.search(t) if not t.isascii() or any(c in t for c in "\x1c\x1d\x1e\x1f") else False)}
+        plain = [t.lower() if t.isascii() else unicodedata.normalize("NFC", t).lower() for t in texts]
+        found = self.cache.ids([[] if i in odd else CUT.findall(t) for i, t in enumerate(plain)])
         for i in odd:
             found[i] = np.array(self.own.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return found

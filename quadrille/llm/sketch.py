@@ -63,10 +63,9 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     ghosts = dealt.where(F.col("doc_id").isin([h for h in heads if h is not None]))
     if None in follows:
         ghosts = ghosts.unionByName(dealt.where("doc_id IS NULL").orderBy(F.desc_nulls_last("text")).limit(1))
-    moved = F.lit(follows.get(None))
-    for head, k in follows.items():
-        if head is not None:
-            moved = F.when(F.col("doc_id") == head, k).otherwise(moved)
+    named = [h for h in heads if h is not None]
+    table = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*[F.lit(follows[h]) for h in named])) if named else F.create_map(F.lit(0), F.lit(0))
+    moved = F.coalesce(F.element_at(table, F.col("doc_id")), F.lit(follows.get(None, 0)))
     ghosts = ghosts.select(*docs.columns, moved.alias("_bucket"), F.lit(True).alias("_ghost"))
     order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
     following = dealt.unionByName(ghosts).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in docs.columns])
