@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions.binding import let
 from quadrille.functions.geo import utm_epsg
 
 RADIUS_KM = 6378.137
@@ -65,8 +69,8 @@ def col_label(c: Column) -> Column:
 
 
 def cell_name(k: Column, c: Column) -> Column:
-    """Signed row and column to `{row}_{col}`."""
-    return F.concat_ws("_", row_label(k), col_label(c))
+    """Signed row and column to `{row}_{col}`; null if either is."""
+    return F.concat(row_label(k), F.lit("_"), col_label(c))
 
 
 def signed(label: Column) -> Column:
@@ -82,8 +86,8 @@ def cell_ints(cell: Column) -> tuple[Column, Column]:
 
 def row_latitude(k: Column, spec: GridSpec) -> Column:
     """Latitude of the row's lower edge."""
-    v = F.when(k < 0, k + spec.n).otherwise(k) * F.lit(spec.step) - 90.0
-    return F.when(v < 0, v + 180.0).otherwise(v) - 90.0
+    v = F.pmod(k, F.lit(spec.n)) * F.lit(spec.step) - 90.0
+    return v + F.when(v < 0, 180.0).otherwise(0.0) - 90.0
 
 
 def cells_in_row(lat: Column, spec: GridSpec) -> Column:
@@ -94,8 +98,8 @@ def cells_in_row(lat: Column, spec: GridSpec) -> Column:
 
 def col_longitude(c: Column, cells: Column) -> Column:
     """Longitude of a column's left edge in a row of so many cells."""
-    v = F.when(c < 0, c + cells).otherwise(c) * (F.lit(360.0) / cells) - 180.0
-    return F.when(v < 0, v + 360.0).otherwise(v) - 180.0
+    v = F.pmod(c, cells) * (F.lit(360.0) / cells) - 180.0
+    return v + F.when(v < 0, 360.0).otherwise(0.0) - 180.0
 
 
 def first_col(cells: Column) -> Column:
@@ -104,42 +108,77 @@ def first_col(cells: Column) -> Column:
     return -half + F.when((cells % 2 == 0) & (half * (F.lit(360.0) / cells) - 180.0 < 0), 1).otherwise(0)
 
 
+@lru_cache(maxsize=64)
+def _row_tables(spec: GridSpec, gateway) -> tuple[Column, Column, Column]:
+    low, high = spec.rows
+    lat = np.array([spec.latitude(k) for k in range(low, high + 1)])
+    cells = np.ceil(2 * math.pi * (RADIUS_KM * np.cos(lat * math.pi / 180)) / spec.dist).astype(np.int32)
+    half = cells // 2
+    left = -half + ((cells % 2 == 0) & (half * (360.0 / cells) - 180.0 < 0))
+    return F.lit(lat), F.lit(cells), F.lit(left.astype(np.int32))
+
+
+def row_tables(spec: GridSpec) -> tuple[Column, Column, Column]:
+    """Latitude, number of cells and leftmost column of each row, from the lowest row on: literals of a few KB.
+
+    A lookup names its row once, where the closed form would name it several times.
+    """
+    return _row_tables(spec, SparkContext._gateway)
+
+
+def _corrected(guess: Column, edge, point: Column) -> Column:
+    """The guess, moved by one where rounding put the point on the wrong side of an edge."""
+    at = lambda k: F.coalesce(k, F.lit(False)).cast("int")
+    return guess - at(edge(guess) >= point) + at(edge(guess + 1) < point)
+
+
+def _place(y: Column, x: Column, spec: GridSpec) -> Column:
+    """Signed row and column of a point, and the row's leftmost column, as struct<row,col,left>.
+
+    Each step's value is bound once: a filter on a cell that Spark pushes below the lookup repeats the whole
+    expression, and written out it would name the point's latitude thousands of times.
+    """
+    low, high = spec.rows
+    lats, cells, lefts = row_tables(spec)
+
+    def column(row: Column, m: Column, left: Column) -> Column:
+        return let(F.ceil(x / (F.lit(360.0) / m)).cast("int") - 1, lambda c0: let(
+            _corrected(c0, lambda c: col_longitude(c, m), x),
+            lambda c: F.struct(row.alias("row"), F.when((c < left) | (c >= left + m), left + m - 1).otherwise(c).alias("col"), left.alias("left")),
+        ))
+
+    def in_row(row: Column) -> Column:
+        return let(F.struct(F.get(cells, row - low).alias("m"), F.get(lefts, row - low).alias("left")), lambda r: column(row, r["m"], r["left"]))
+
+    def of_row(row: Column) -> Column:
+        return let(F.when(row.between(low, high), row).when(row.isNotNull(), F.lit(high if spec.wrap_rows else None)).cast("int"), in_row)
+
+    sound = ~F.isnan(y) & ~F.isnan(x) & x.isNotNull()
+    return let(F.when(sound, F.ceil(y / spec.step).cast("int") - 1), lambda r0: let(_corrected(r0, lambda k: F.get(lats, k - low), y), of_row))
+
+
 def with_cell(df: DataFrame, lat: str, lon: str, spec: GridSpec, index: bool = False) -> DataFrame:
     """Adds grid_row_u, grid_col_r and grid_cell of the points; with `index` also row_idx and col_idx.
 
     A cell holds the points strictly above and right of its corner, so a point on a grid line belongs to the cell
     below or left. Null and NaN coordinates give null.
     """
-    low, high = spec.rows
-    y, x = F.col(lat), F.col(lon)
-    out = df.withColumn("_r0", F.when(~F.isnan(y) & ~F.isnan(x) & y.isNotNull() & x.isNotNull(), F.ceil(y / spec.step) - 1))
-    r0 = F.col("_r0")
-    out = out.withColumn("_r1", F.when(row_latitude(r0, spec) >= y, r0 - 1).when(row_latitude(r0 + 1, spec) < y, r0 + 1).otherwise(r0))
-    r1 = F.col("_r1")
-    beyond = F.lit(high) if spec.wrap_rows else F.lit(None)
-    out = out.withColumn("grid_row_u", F.when(r1 < low, beyond).when(r1 > high, beyond).otherwise(r1).cast("int"))
-    out = out.withColumn("_m", cells_in_row(row_latitude(F.col("grid_row_u"), spec), spec))
-    m = F.col("_m")
-    out = out.withColumn("_c0", F.ceil(x / (F.lit(360.0) / m)) - 1).withColumn("_left", first_col(m))
-    c0 = F.col("_c0")
-    out = out.withColumn("_c1", F.when(col_longitude(c0, m) >= x, c0 - 1).when(col_longitude(c0 + 1, m) < x, c0 + 1).otherwise(c0))
-    c1, last = F.col("_c1"), F.col("_left") + m - 1
-    out = out.withColumn("grid_col_r", F.when((c1 < F.col("_left")) | (c1 > last), last).otherwise(c1).cast("int"))
-    out = out.withColumn("grid_cell", F.when(F.col("grid_col_r").isNotNull(), cell_name(F.col("grid_row_u"), F.col("grid_col_r"))))
+    out = df.withColumn("_p", _place(F.col(lat), F.col(lon), spec))
+    row, col = F.col("_p.row"), F.col("_p.col")
+    added = {"grid_row_u": row, "grid_col_r": col, "grid_cell": cell_name(row, col)}
     if index:
-        out = out.withColumn("row_idx", F.col("grid_row_u") - low).withColumn("col_idx", (F.col("grid_col_r") - F.col("_left")).cast("int"))
-    return out.drop("_r0", "_r1", "_m", "_c0", "_c1", "_left")
+        added |= {"row_idx": row - spec.rows[0], "col_idx": col - F.col("_p.left")}
+    return out.withColumns(added).drop("_p")
 
 
 def with_corner(df: DataFrame, spec: GridSpec, row: str = "grid_row_u", col: str = "grid_col_r") -> DataFrame:
     """Adds corner_lat and corner_lon of a cell (bottom left); null for cells that the grid doesn't have."""
-    low, high = spec.rows
-    k, c = F.col(row), F.col(col)
-    out = df.withColumn("_lat", F.when(k.between(low, high), row_latitude(k, spec))).withColumn("_m", cells_in_row(F.col("_lat"), spec))
-    left = first_col(F.col("_m"))
-    inside = (c >= left) & (c <= left + F.col("_m") - 1)
-    out = out.withColumn("corner_lat", F.when(inside, F.col("_lat"))).withColumn("corner_lon", F.when(inside, col_longitude(c, F.col("_m"))))
-    return out.drop("_lat", "_m")
+    low, _ = spec.rows
+    lats, cells, lefts = (F.get(table, F.col(row) - low) for table in row_tables(spec))
+    c = F.col(col)
+    out = df.withColumn("_m", cells).withColumn("_left", lefts).withColumn("_inside", c.between(F.col("_left"), F.col("_left") + F.col("_m") - 1))
+    out = out.withColumn("corner_lat", F.when(F.col("_inside"), lats)).withColumn("corner_lon", F.when(F.col("_inside"), col_longitude(c, F.col("_m"))))
+    return out.drop("_m", "_left", "_inside")
 
 
 def with_footprint(df: DataFrame, spec: GridSpec, buffer_ratio: float = 0.0, row: str = "grid_row_u", col: str = "grid_col_r") -> DataFrame:

@@ -93,5 +93,5 @@ hits AS (SELECT point_id, tile_id, path FROM pts, tiles WHERE year = 2024 AND lo
 def fragments_sql(height: int, size: int, keep: str, source: str, limit: str = "") -> str:
     """CTE frag: fragments by counting windows up in steps of the stride (the closed form is the query's)."""
     plan = FragmentPlan(height, size)
-    axis = f"(SELECT i, least(i * {plan.stride}, {height - size}) AS o FROM range({len(plan.offsets)}) r(i))"
+    axis = f"(SELECT i, CASE WHEN i = {len(plan.offsets) - 1} THEN {height - size} ELSE i * {plan.stride} END AS o FROM range({len(plan.offsets)}) r(i))"
     return f"frag AS (SELECT {keep}, CAST(a.i AS INTEGER) AS frag_row, CAST(b.i AS INTEGER) AS frag_col, CAST(a.o AS INTEGER) AS y_offset, CAST(b.o AS INTEGER) AS x_offset FROM {source} s, {axis} a, {axis} b {limit})"
