@@ -343,7 +343,7 @@ def top_k_with_metadata(spark, sf_dir):
 
 @query()
 def ivf_pq_search(spark, sf_dir):
-    """Approximate: held against exact search by recall in the tests."""
+    """Approximate: its recall has no test yet."""
     df = views.vectors(spark, sf_dir)
     index = vector_index.VectorIndex.train(df, 8, 8, 32)
     return index.search(index.encode(df), QUERY_VECTOR, 10, 4)
@@ -447,7 +447,7 @@ def composite_mean_pool(spark, sf_dir):
 
 @query()
 def dem_hillshade(spark, sf_dir):
-    """Needs neighbours in two directions; held against a plain version in the tests."""
+    """Needs neighbours in two directions; tested for rows only so far."""
     return views.rasters(spark, sf_dir, 1000.0).select("vec_id", hillshade.hillshade(F.col("px"), 8, 8).alias("shades"))
 
 
@@ -480,7 +480,7 @@ def fragment_footprints(spark, sf_dir):
 
 @query()
 def embedded_fragments(spark, sf_dir):
-    """A Python model runs on each fragment; held against a plain version in the tests."""
+    """A Python model runs on each fragment; tested for rows only so far."""
     px = views.rasters(spark, sf_dir)
     images = px.select(
         F.col("px").alias("B04"), F.lit(8).alias("B04_size"), F.slice("px", 1, 16).alias("B03"), F.lit(4).alias("B03_size"), F.lit("10U_5R").alias("grid_cell"), F.lit(10).cast("smallint").alias("grid_row_u"), F.lit(5).cast("smallint").alias("grid_col_r"),
