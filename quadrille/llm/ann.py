@@ -9,9 +9,10 @@ Norms: the largest inner product is wanted, so where norms differ, vectors are h
 brings all candidates to the largest norm (queries get 0 there), which turns it into a question of angles.
 
 Index vectors and probing queries meet by (table, bucket, slice). A bucket of many vectors (a hot one, or many
-copies of one vector) is dealt into slices of about `slice_rows` vectors by id hash, and its queries go to every
-slice; each meeting is one product of matrices that gives at most k rows a query, and the rows of a query are merged
-once. Bucket counts (2 x dimensions x tables) are all the driver sees.
+copies of one vector) is dealt into slices of about `slice_rows` vectors by id hash, and so are the queries that
+probe it; every slice of the one meets every slice of the other in a product of matrices, at most k rows a query. A
+first pass over one slice of each query's nearest bucket a table gives k scores to beat, so that the whole search
+returns only what can still be among the k. Bucket counts (2 x dimensions x tables) are all the driver sees.
 
 Edge cases: null and zero vectors, and those with null or non-finite components or another length than most, take no
 part, neither as queries nor as candidates; null ids take no part; of rows with one id the least vector counts; ties
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -106,31 +107,37 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = 8, probes: in
                 before = np.cumsum(held[order], 1) - held[order]
                 take = ((np.arange(order.shape[1]) < probes) | (before < least)) & (held[order] > 0)
                 row, col = np.nonzero(take)
+                near = np.arange(len(row)) == np.searchsorted(row, row)
                 b = order[row, col]
-                many = np.array([slices.get((t, x), 0) for x in range(near.shape[1])])[b]
-                row, b, s = np.repeat(row, many), np.repeat(b, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                many = np.array([slices.get((t, x), 0) for x in range(order.shape[1])])[b]
+                row, b, near, s = np.repeat(row, many), np.repeat(b, many), np.repeat(near, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 for i in range(0, len(row), 1 << 14):
                     part = slice(i, i + (1 << 14))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[part]], pa.int64()), pa.array(np.full(len(b[part]), t), pa.int32()), pa.array(b[part], pa.int32()), pa.array(s[part], pa.int32())], ["id", "t", "b", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[part]], pa.int64()), pa.array(np.full(len(b[part]), t), pa.int32()), pa.array(b[part], pa.int32()), pa.array(s[part], pa.int32()), pa.array(near[part] & (s[part] == 0))], ["id", "t", "b", "s", "near"])
+
+    def slices_of(counts: dict) -> Column:
+        pairs = [x for (t, b), n in counts.items() if n > 1 for x in (t * 65536 + b, n)] or [-1, 1]
+        return F.coalesce(F.element_at(F.create_map(*map(F.lit, pairs)), F.col("t") * 65536 + F.col("b")), F.lit(1))
 
-    table = F.create_map(*[F.lit(x) for (t, b), n in slices.items() if n > 1 for x in (t * 65536 + b, n)]) if any(n > 1 for n in slices.values()) else F.create_map(F.lit(-1), F.lit(1))
-    parts = F.coalesce(F.element_at(table, F.col("t") * 65536 + F.col("b")), F.lit(1))
-    index = buckets.join(vectors, "id").withColumn("s", F.pmod(F.xxhash64("id"), parts).cast("int"))
     asked = vectors.where(queries)
-    probing = asked.mapInArrow(probed, "id long, t int, b int, s int").join(asked, "id")
+    probes = written(asked.mapInArrow(probed, "id long, t int, b int, s int, near boolean"), "probes")
+    turns = slices_of({(r.t, r.b): -(-r.n // slice_rows) for r in probes.where("s = 0").groupBy("t", "b").agg(F.count("*").alias("n")).collect()})
+    index = buckets.join(vectors, "id").withColumn("s", F.pmod(F.xxhash64("id"), slices_of(slices)).cast("int"))
+    index = index.withColumn("u", F.explode(F.sequence(F.lit(0), turns - 1)))
+    probing = probes.withColumn("u", F.pmod(F.xxhash64("id", F.lit(1)), turns).cast("int")).join(asked.select("id", F.col("v").alias("q")), "id")
 
     def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The k nearest of the slice's vectors (left) for each probing query (right)."""
         rows = []
         if len(left) and len(right):
             own, x = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
-            asks, q = right["id"].to_numpy(), np.stack(right["v"].to_numpy())
+            asks, q, beat = right["id"].to_numpy(), np.stack(right["q"].to_numpy()), right["beat"].fillna(-np.inf).to_numpy(np.float64)
             room = max(1, (1 << 22) // len(own))
             for i in range(0, len(asks), room):
                 scores = q[i : i + room] @ x.T
                 scores[asks[i : i + room, None] == own[None, :]] = -np.inf
                 count = min(k, len(own))
-                edge = -np.partition(-scores, count - 1, 1)[:, count - 1]
+                edge = np.maximum(-np.partition(-scores, count - 1, 1)[:, count - 1], beat[i : i + room])
                 # all that rounding could put among the k are scored again, in one order of summation for equal vectors
                 a, c = np.nonzero((scores >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None]) & np.isfinite(scores))
                 exact = np.concatenate([np.zeros(0)] + [(q[i + a[j : j + 65536]] * x[c[j : j + 65536]]).sum(1) for j in range(0, len(a), 65536)])
@@ -141,9 +148,16 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = 8, probes: in
                 rows.append(pd.DataFrame({"query_id": asks[i + a[keep]], "vec_id": own[c[keep]], "score": exact[keep]}))
         return pd.concat(rows) if rows else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    met = index.groupBy("t", "b", "s").cogroup(probing.groupBy("t", "b", "s")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = met.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def nearest(own: DataFrame, asks: DataFrame) -> DataFrame:
+        keys = ["t", "b", "s", "u"]
+        met = own.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+        best = met.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return best.where(F.col("rank") <= k)
+
+    first = nearest(index.where("s = 0"), probing.where("near").withColumn("beat", F.lit(None).cast("double")))
+    beat = written(first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("beat")), "beat")
+    best = nearest(index, probing.join(beat, "id", "left"))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_cross_polytope(spark, sf_dir) -> DataFrame:
