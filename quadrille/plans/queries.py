@@ -78,6 +78,12 @@ def grid_points_100km(spark, sf_dir):
     return grid.grid_points(spark, MEDIUM).select("name", "row_idx", "col_idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "utm_zone", "epsg")
 
 
+@query()
+def grid_points_10km(spark, sf_dir):
+    """The reference's default grid, 5,094,350 points; tested by counts, names and a band of rows."""
+    return grid.grid_points(spark, FINE).select("name", "row_idx", "col_idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "utm_zone", "epsg")
+
+
 @query(f"WITH {o.grid_sql(1000)} SELECT {o.name()} AS name, {o.EPSG.format(lat='(lat + 500000/111120.0)', lon='(lon + 500000/(111120.0*cos((lat + 500000/111120.0)*pi()/180)))')} AS utm_zone FROM gc JOIN gr USING (k)")
 def grid_points_utm_centre(spark, sf_dir):
     return grid.grid_points(spark, GridSpec(1000, utm_definition="center")).select("name", "utm_zone")
@@ -181,20 +187,39 @@ def utm_round_trip(spark, sf_dir):
 WINDOW = o.located_meta(10, f", cor AS (SELECT event_id, gr.lat, gc.lon FROM loc JOIN gr USING (k) JOIN gc USING (k, c)), {o.utm('cor', 'lat', 'lon')}")
 
 
-@query(WINDOW.replace("meta AS (", "meta AS (SELECT * FROM (").replace("FROM events)", "FROM events) WHERE event_id < 40)") + ' SELECT event_id, round(east - 340, 2) AS "left", round(north - 340, 2) AS bottom, round(east + 10340, 2) AS "right", round(north + 10340, 2) AS top FROM utm')
-def product_windows(spark, sf_dir):
-    df = grid.with_corner(grid.with_cell(views.metadata(spark, sf_dir).where("event_id < 40"), "centre_lat", "centre_lon", FINE), FINE)
+PRODUCT_WINDOW = ' SELECT event_id, round(east - 340, 2) AS "left", round(north - 340, 2) AS bottom, round(east + 10340, 2) AS "right", round(north + 10340, 2) AS top FROM utm'
+
+
+def windows(meta: DataFrame) -> DataFrame:
+    df = grid.with_corner(grid.with_cell(meta, "centre_lat", "centre_lon", FINE), FINE)
     y, x = F.col("corner_lat"), F.col("corner_lon")
     east, north = geo.tm_forward(y, x, geo.utm_zone(y, x), y < 0)
     df = df.withColumn("east", east).withColumn("north", north)
     return df.select("event_id", *[F.round(c, 2).alias(n) for n, c in geo.product_window(F.col("east"), F.col("north")).items()])
 
 
+@query(WINDOW + PRODUCT_WINDOW)
+def product_windows_all(spark, sf_dir):
+    """The default 10 km lookup over every sample."""
+    return windows(views.metadata(spark, sf_dir))
+
+
+@query(WINDOW.replace("meta AS (", "meta AS (SELECT * FROM (").replace("FROM events)", "FROM events) WHERE event_id < 40)") + ' SELECT event_id, round(east - 340, 2) AS "left", round(north - 340, 2) AS bottom, round(east + 10340, 2) AS "right", round(north + 10340, 2) AS top FROM utm')
+def product_windows(spark, sf_dir):
+    return windows(views.metadata(spark, sf_dir).where("event_id < 40"))
+
+
 # Joins
 
 POINT_CELLS = f"WITH {o.META}, {o.POINTS}, {o.grid_sql(1000)}, {o.located('meta')}, lp AS (SELECT s.*, coalesce(g.k, (SELECT max(k) FROM gr)) AS k FROM pts s ASOF LEFT JOIN gr g ON s.lat > g.lat), locp AS (SELECT lp.*, coalesce(g.c, ll.c) AS c FROM lp ASOF LEFT JOIN gc g ON lp.k = g.k AND lp.lon > g.lon JOIN ll ON lp.k = ll.k)"
 
 
+@query(POINT_CELLS + " SELECT event_id FROM loc WHERE modality = 'error' AND EXISTS (SELECT 1 FROM locp WHERE locp.k = loc.k AND locp.c = loc.c)")
+def samples_in_point_cells_all(spark, sf_dir):
+    meta = located(spark, sf_dir).where("modality = 'error'")
+    return metadata.in_cells_of(meta, views.points(spark, sf_dir), COARSE, "lat", "lon").select("event_id")
+
+
 @query(POINT_CELLS + " SELECT event_id FROM loc WHERE modality = 'error' AND EXISTS (SELECT 1 FROM locp WHERE locp.k = loc.k AND locp.c = loc.c AND point_id < 60)")
 def samples_in_point_cells(spark, sf_dir):
     meta = located(spark, sf_dir).where("modality = 'error'")
@@ -207,6 +232,12 @@ def points_without_sample(spark, sf_dir):
     return metadata.points_without_sample(views.points(spark, sf_dir), meta, COARSE, "lat", "lon").select("point_id")
 
 
+@query(POINT_CELLS + " SELECT point_id, event_id FROM locp JOIN loc ON locp.k = loc.k AND locp.c = loc.c WHERE nodata = 0")
+def samples_at_points_all(spark, sf_dir):
+    meta = located(spark, sf_dir).where("nodata = 0").select("grid_cell", "event_id")
+    return metadata.samples_at(views.points(spark, sf_dir), meta, COARSE, "lat", "lon").select("point_id", "event_id")
+
+
 @query(POINT_CELLS + " SELECT point_id, event_id FROM locp JOIN loc ON locp.k = loc.k AND locp.c = loc.c WHERE point_id < 100 AND nodata = 0")
 def samples_at_points(spark, sf_dir):
     meta = located(spark, sf_dir).where("nodata = 0").select("grid_cell", "event_id")
@@ -240,6 +271,13 @@ def archive_rows(spark, sf_dir):
     return metadata.archive_rows(views.metadata(spark, sf_dir).where("cloud_cover < 20"))
 
 
+@query(f"WITH {o.META} SELECT a.event_id, b.event_id AS archived FROM meta a JOIN meta b ON a.parquet_url = b.parquet_url AND a.parquet_row = b.parquet_row WHERE b.nodata = 0")
+def archive_row_join_all(spark, sf_dir):
+    meta = views.metadata(spark, sf_dir)
+    images = meta.where("nodata = 0").select("parquet_url", "parquet_row", F.col("event_id").alias("archived"))
+    return meta.join(images, ["parquet_url", "parquet_row"]).select("event_id", "archived")
+
+
 @query(f"WITH {o.META} SELECT a.event_id, b.event_id AS archived FROM meta a JOIN meta b ON a.parquet_url = b.parquet_url AND a.parquet_row = b.parquet_row WHERE a.event_id < 50 AND b.nodata = 0")
 def archive_row_join(spark, sf_dir):
     meta = views.metadata(spark, sf_dir)
@@ -456,6 +494,32 @@ def dem_hillshade(spark, sf_dir):
 SMALL = "(SELECT event_id FROM meta WHERE event_id < 30)"
 
 
+def footprints(meta: DataFrame) -> DataFrame:
+    df = meta.select("event_id", (500000.0 + F.col("event_id") * 10).alias("e"), (4000000.0 - F.col("event_id") * 5).alias("n"))
+    df = fragments.with_fragments(df, fragments.FragmentPlan(1068, 384), transposed=False)
+    e, n = F.col("e"), F.col("n")
+    sides = fragments.crop_footprint(e, n, e + 10680.0, n + 10680.0, 1068, 1068, F.col("pixel_bbox"))
+    return df.select("event_id", "frag_row", "frag_col", *[F.round(c, 3).alias(s) for s, c in sides.items()])
+
+
+@query(f"WITH {o.META}, {o.fragments_sql(1068, 224, 'event_id', 'meta')} SELECT * FROM frag")
+def fragment_offsets_all(spark, sf_dir):
+    df = views.metadata(spark, sf_dir).select("event_id")
+    return fragments.with_fragments(df, fragments.FragmentPlan(1068, 224)).select("event_id", "frag_row", "frag_col", "y_offset", "x_offset")
+
+
+@query(f"WITH {o.META}, {o.fragments_sql(120, 32, 'event_id', 'meta')} SELECT event_id, frag_row, frag_col, [y_offset, x_offset, y_offset + 32, x_offset + 32] AS pixel_bbox FROM frag")
+def fragment_pixel_boxes_all(spark, sf_dir):
+    df = views.metadata(spark, sf_dir).select("event_id")
+    return fragments.with_fragments(df, fragments.FragmentPlan(120, 32)).select("event_id", "frag_row", "frag_col", "pixel_bbox")
+
+
+@query(f"""WITH {o.META}, u AS (SELECT event_id, 500000.0 + event_id * 10 AS e, 4000000.0 - event_id * 5 AS n FROM meta), {o.fragments_sql(1068, 384, 'event_id, e, n', 'u')}
+SELECT event_id, frag_row, frag_col, round(e + x_offset * 10680.0 / 1068, 3) AS "left", round(n + 10680.0 - (y_offset + 384) * 10680.0 / 1068, 3) AS bottom, round(e + (x_offset + 384) * 10680.0 / 1068, 3) AS "right", round(n + 10680.0 - y_offset * 10680.0 / 1068, 3) AS top FROM frag""")
+def fragment_footprints_all(spark, sf_dir):
+    return footprints(views.metadata(spark, sf_dir))
+
+
 @query(f"WITH {o.META}, {o.fragments_sql(1068, 224, 'event_id', SMALL)} SELECT * FROM frag")
 def fragment_offsets(spark, sf_dir):
     df = views.metadata(spark, sf_dir).where("event_id < 30").select("event_id")
@@ -471,11 +535,7 @@ def fragment_pixel_boxes(spark, sf_dir):
 @query(f"""WITH {o.META}, u AS ({f"SELECT event_id, 500000.0 + event_id * 10 AS e, 4000000.0 - event_id * 5 AS n FROM meta WHERE event_id < 30"}), {o.fragments_sql(1068, 384, 'event_id, e, n', 'u')}
 SELECT event_id, frag_row, frag_col, round(e + x_offset * 10680.0 / 1068, 3) AS "left", round(n + 10680.0 - (y_offset + 384) * 10680.0 / 1068, 3) AS bottom, round(e + (x_offset + 384) * 10680.0 / 1068, 3) AS "right", round(n + 10680.0 - y_offset * 10680.0 / 1068, 3) AS top FROM frag""")
 def fragment_footprints(spark, sf_dir):
-    df = views.metadata(spark, sf_dir).where("event_id < 30").select("event_id", (500000.0 + F.col("event_id") * 10).alias("e"), (4000000.0 - F.col("event_id") * 5).alias("n"))
-    df = fragments.with_fragments(df, fragments.FragmentPlan(1068, 384), transposed=False)
-    e, n = F.col("e"), F.col("n")
-    sides = fragments.crop_footprint(e, n, e + 10680.0, n + 10680.0, 1068, 1068, F.col("pixel_bbox"))
-    return df.select("event_id", "frag_row", "frag_col", *[F.round(c, 3).alias(s) for s, c in sides.items()])
+    return footprints(views.metadata(spark, sf_dir).where("event_id < 30"))
 
 
 @query()
@@ -502,6 +562,12 @@ def sample_paths(spark, sf_dir):
     return located(spark, sf_dir).select("event_id", text.sample_path(F.lit("L2A"), F.col("grid_cell"), F.col("product_id")).alias("path"))
 
 
+@query(f"WITH {o.META} SELECT event_id, printf('POINT (%.6f %.6f)', centre_lon, centre_lat) AS wkt, printf('POLYGON ((%.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f))', centre_lon + 1, centre_lat, centre_lon + 1, centre_lat + 2, centre_lon, centre_lat + 2, centre_lon, centre_lat, centre_lon + 1, centre_lat) AS box FROM meta")
+def geometry_text_all(spark, sf_dir):
+    y, x = F.col("centre_lat"), F.col("centre_lon")
+    return views.metadata(spark, sf_dir).select("event_id", geo.point_wkt(x, y).alias("wkt"), geo.polygon_wkt(geo.box_ring(x, y, x + 1, y + 2), 3).alias("box"))
+
+
 @query(f"WITH {o.META} SELECT event_id, printf('POINT (%.6f %.6f)', centre_lon, centre_lat) AS wkt, printf('POLYGON ((%.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f))', centre_lon + 1, centre_lat, centre_lon + 1, centre_lat + 2, centre_lon, centre_lat + 2, centre_lon, centre_lat, centre_lon + 1, centre_lat) AS box FROM meta WHERE event_id < 500")
 def geometry_text(spark, sf_dir):
     y, x = F.col("centre_lat"), F.col("centre_lon")
@@ -519,6 +585,12 @@ def box_centroids(spark, sf_dir):
 CHECK = "sha256('POINT (0 0)' || '_' || '2024-01-01 00:00:00' || '_' || 'P' || vec_id || '_' || '[' || array_to_string(list_transform(v[1:8], lambda x: printf('%.4f', x)), ' ') || ']')"
 
 
+@query(o.vec(f"SELECT vec_id, {CHECK.replace('v[1:8]', 'v')} AS checksum FROM e"))
+def sample_checksums_all(spark, sf_dir):
+    when = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return views.vectors(spark, sf_dir).select("vec_id", text.sample_checksum(F.lit("POINT (0 0)"), when, F.concat(F.lit("P"), "vec_id"), F.col("embedding"), 4).alias("checksum"))
+
+
 @query(o.vec(f"SELECT vec_id, {CHECK} AS checksum FROM e"))
 def sample_checksums(spark, sf_dir):
     when = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
