@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadrille.functions.binding import let
+
 # Mean and standard deviation of the two radar bands in decibels.
 S1_MEAN = {"vv": -12.54847273, "vh": -20.19237134}
 S1_STD = {"vv": 5.25697717, "vh": 5.91150917}
@@ -43,11 +45,17 @@ def optical_thumbnail(band: Column, gain: float = 1.3, gamma: float = 0.6) -> Co
     return F.transform(band, lambda x: F.floor(255 * clipped(gain * F.pow(F.greatest(x, F.lit(0.0)) / 10000, F.lit(gamma)), 0.0, 1.0)).cast("int"))
 
 
+def _between(values: Column, low: Column, high: Column) -> Column:
+    return F.transform(values, lambda x: F.when(high > low, 255 * (x - low) / (high - low)).otherwise(F.lit(0.0)))
+
+
+def _span(values: Column) -> Column:
+    return F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+
+
 def stretched(values: Column, valid: Column | None = None) -> Column:
     """Min-max stretch to 0..255 over the valid values (all by default); a constant raster gives 0."""
-    over = values if valid is None else valid
-    low, high = F.array_min(over), F.array_max(over)
-    return F.transform(values, lambda x: F.when(high > low, 255 * (x - low) / (high - low)).otherwise(F.lit(0.0)))
+    return let(values, lambda v: let(_span(v if valid is None else valid), lambda s: _between(v, s["low"], s["high"])))
 
 
 def grayscale(dem: Column) -> Column:
@@ -58,20 +66,28 @@ def grayscale(dem: Column) -> Column:
 def radar_channel(band: Column, nodata: float = NODATA) -> Column:
     """A radar band to 0..255: negatives become the least non-negative value, then decibels and min-max over valid
     pixels; pixels without data are 0. Zero pixels have no logarithm: they count as the floor of the decibel scale."""
-    least = F.array_min(F.filter(band, lambda x: x >= 0))
-    db = F.transform(band, lambda x: F.when(x == nodata, F.lit(None)).otherwise(10 * F.log10(F.greatest(F.when(x < 0, least).otherwise(x), F.lit(1e-10)))))
-    valid = F.filter(db, lambda x: x.isNotNull())
-    return F.transform(stretched(db, valid), lambda x: F.coalesce(x, F.lit(0.0)))
+    def in_decibels(v: Column, least: Column) -> Column:
+        return F.transform(v, lambda x: F.when(x == nodata, F.lit(None)).otherwise(10 * F.log10(F.greatest(F.when(x < 0, least).otherwise(x), F.lit(1e-10)))))
+
+    def over_valid(db: Column) -> Column:
+        return let(_span(F.filter(db, lambda x: x.isNotNull())), lambda s: F.transform(_between(db, s["low"], s["high"]), lambda x: F.coalesce(x, F.lit(0.0))))
+
+    return let(band, lambda v: let(F.array_min(F.filter(v, lambda x: x >= 0)), lambda least: let(in_decibels(v, least), over_valid)))
 
 
 def radar_thumbnail(vv: Column, vh: Column, nodata: float = NODATA) -> Column:
     """Pixels as struct<r,g,b> of uint8: red vv, blue vh, green their sum over its maximum."""
-    r, b = radar_channel(vv, nodata), radar_channel(vh, nodata)
-    total = F.zip_with(r, b, lambda x, y: x + y)
-    top = F.array_max(total)
-    g = F.transform(total, lambda x: F.when(top > 0, 255 * x / top).otherwise(F.lit(0.0)))
     byte = lambda x: F.floor(x).cast("int")
-    return F.transform(F.arrays_zip(r.alias("r"), g.alias("g"), b.alias("b")), lambda p: F.struct(byte(p.r).alias("r"), byte(p.g).alias("g"), byte(p.b).alias("b")))
+
+    def pixel(p: Column, top: Column) -> Column:
+        green = F.when(top > 0, 255 * (p["r"] + p["b"]) / top).otherwise(F.lit(0.0))
+        return F.struct(byte(p["r"]).alias("r"), byte(green).alias("g"), byte(p["b"]).alias("b"))
+
+    def shaded(pairs: Column) -> Column:
+        return let(F.array_max(F.transform(pairs, lambda p: p["r"] + p["b"])), lambda top: F.transform(pairs, lambda p: pixel(p, top)))
+
+    both = F.zip_with(radar_channel(vv, nodata), radar_channel(vh, nodata), lambda r, b: F.struct(r.alias("r"), b.alias("b")))
+    return let(both, shaded)
 
 
 def dequantised(values: Column) -> Column:
@@ -81,19 +97,55 @@ def dequantised(values: Column) -> Column:
 
 def resampled(band: Column, height: Column | int, width: Column | int, to_height: int, to_width: int) -> Column:
     """Nearest neighbour to another size: target pixel i takes source pixel floor(i * source / target)."""
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    h, w = lit(height), lit(width)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(to_height * to_width - 1)),
-        lambda i: F.get(band, (F.floor(F.floor(i / to_width) * h / to_height) * w + F.floor(i % to_width * w / to_width)).cast("int")),
-    )
+    h, w = (x if isinstance(x, Column) else F.lit(x) for x in (height, width))
+    places = F.sequence(F.lit(0), F.lit(to_height * to_width - 1))
+    source = lambda i: (F.floor(F.floor(i / to_width) * h / to_height) * w + F.floor(i % to_width * w / to_width)).cast("int")
+    return let(band, lambda v: F.transform(places, lambda i: F.get(v, source(i))))
 
 
 def flipped(band: Column, height: int, width: int) -> Column:
     """Rows in reverse order (bottom-up rasters)."""
-    return F.flatten(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.slice(band, r * width + 1, width))))
+    return let(band, lambda v: F.flatten(F.transform(F.sequence(F.lit(height - 1), F.lit(0), F.lit(-1)), lambda r: F.slice(v, r * width + 1, width))))
 
 
 def cropped(band: Column, width: Column | int, top: Column, left: Column, rows: Column, cols: Column) -> Column:
     """The window of rows x cols pixels from (top, left)."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.slice(band, (top + r) * width + left + 1, cols)))
+    return let(band, lambda v: F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.slice(v, (top + r) * width + left + 1, cols))))
+
+
+def pixel_window(left: Column, bottom: Column, right: Column, top: Column, height: Column, width: Column, box: dict[str, Column], y_up: bool = False) -> dict[str, Column]:
+    """row, col, rows, cols of the pixels within map bounds (left, bottom, right, top), cut off at the raster's edges.
+
+    `y_up`: the file's first row is its southernmost; counted from there.
+    """
+    dx, dy = (right - left) / width, (top - bottom) / height
+    edge = lambda x, most: F.greatest(F.lit(0), F.least(F.rint(x).cast("int"), most))
+    low, high = (box["bottom"] - bottom, box["top"] - bottom) if y_up else (top - box["top"], top - box["bottom"])
+    row, end = edge(low / dy, height), edge(high / dy, height)
+    col, stop = edge((box["left"] - left) / dx, width), edge((box["right"] - left) / dx, width)
+    return {"row": row, "col": col, "rows": end - row, "cols": stop - col}
+
+
+def read_window(raster: Column, box: dict[str, Column], y_up: bool = False) -> Column:
+    """The part of a raster struct (sources/images.py) within map bounds, north up, with its own bounds; null if there is none."""
+    def part(r: Column, w: Column) -> Column:
+        dx, dy = (r["right"] - r["left"]) / r["width"], (r["top"] - r["bottom"]) / r["height"]
+        rows = F.sequence(w["row"] + w["rows"] - 1, w["row"], F.lit(-1)) if y_up else F.sequence(w["row"], w["row"] + w["rows"] - 1)
+        data = F.flatten(F.transform(rows, lambda k: F.slice(r["data"], k * r["width"] + w["col"] + 1, w["cols"])))
+        bottom = r["bottom"] + w["row"] * dy if y_up else r["top"] - (w["row"] + w["rows"]) * dy
+        west = r["left"] + w["col"] * dx
+        fields = {"height": w["rows"], "width": w["cols"], "left": west, "bottom": bottom, "right": west + w["cols"] * dx, "top": bottom + w["rows"] * dy, "data": data}
+        return F.when((w["rows"] > 0) & (w["cols"] > 0), F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    def window(r: Column) -> Column:
+        found = pixel_window(r["left"], r["bottom"], r["right"], r["top"], r["height"], r["width"], box, y_up)
+        return F.struct(*[c.alias(n) for n, c in found.items()])
+
+    return let(raster, lambda r: let(window(r), lambda w: part(r, w)))
+
+
+def dem_thumbnail(dem: Column, height: int, width: int, shaded: bool = True) -> Column:
+    """Elevation to uint8 shades: hillshade, or grayscale."""
+    from quadrille.operators.hillshade import hillshade
+
+    return hillshade(dem, height, width) if shaded else grayscale(dem)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadrille.functions.binding import let
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -15,13 +17,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
 def l2_normalised(v: Column) -> Column:
     """Unit vector; the zero vector stays zero."""
-    norm = l2_norm(v)
-    return F.transform(doubles(v), lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return let(doubles(v), lambda d: let(l2_norm(d), lambda norm: F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(x))))
 
 
 def l2_squared(a: Column, b: Column) -> Column:
@@ -30,6 +31,8 @@ def l2_squared(a: Column, b: Column) -> Column:
 
 def mean_pool(parts: Column) -> Column:
     """Element-wise mean of an array of equally long vectors."""
-    width = F.size(F.get(parts, F.lit(0)))
-    total = F.aggregate(parts, F.array_repeat(F.lit(0.0), width), lambda acc, p: F.zip_with(acc, doubles(p), lambda x, y: x + y))
-    return F.transform(total, lambda x: x / F.size(parts))
+    def pooled(p: Column) -> Column:
+        total = F.aggregate(p, F.array_repeat(F.lit(0.0), F.size(F.get(p, F.lit(0)))), lambda acc, part: F.zip_with(acc, doubles(part), lambda x, y: x + y))
+        return let(F.size(p), lambda n: F.transform(total, lambda x: x / n))
+
+    return let(parts, pooled)

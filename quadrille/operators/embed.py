@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators.fragments import FragmentPlan
+from quadrille.operators.metadata import with_metadata
 
 
 class EmbeddingModel(Protocol):
@@ -45,14 +46,17 @@ def embed(images: DataFrame, model: EmbeddingModel, overlap: float = 0.1, transp
 
     images: a flat row-major array for each band, with {band}_size pixels a side, grid_cell, grid_row_u, grid_col_r,
     product_id, timestamp, crs and the footprint left, bottom, right, top in metres of crs. Bands of lower resolution
-    are brought to that of the finest by nearest neighbour. Images stream through in Arrow batches.
+    are brought to that of the finest by nearest neighbour. Images stream through in Arrow batches; an image that
+    lacks a band gives no rows.
     """
-    from quadrille.functions.geo_numpy import tm_inverse
+    from quadrille.functions.geo_numpy import ring_centroid, tm_inverse
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
+                if any(r[b] is None for b in model.bands):
+                    continue
                 side = max(int(r[f"{b}_size"]) for b in model.bands)
                 stack = []
                 for b in model.bands:
@@ -72,7 +76,7 @@ def embed(images: DataFrame, model: EmbeddingModel, overlap: float = 0.1, transp
                     globe = [tm_inverse(a, b, zone, south)[::-1] for a, b in ring]
                     wkt = lambda pts, d: "POLYGON ((" + ", ".join(f"{a:.{d}f} {b:.{d}f}" for a, b in pts) + "))"
                     shape = wkt(globe, 6)
-                    lat, lon = np.mean([p[1] for p in globe[:4]]), np.mean([p[0] for p in globe[:4]])
+                    lon, lat = ring_centroid(globe)
                     shown = " ".join(f"{v:.6f}" for v in e.tolist())
                     digest = hashlib.sha256(f"{shape}_{r['timestamp']}_{r['product_id']}_[{shown}]".encode()).hexdigest()
                     rows.append((digest, e.tolist(), r["timestamp"], r["product_id"], r["grid_cell"], r["grid_row_u"], r["grid_col_r"], shape, lat, lon, wkt(ring, 3), r["crs"], [px, py, px + f, py + f]))
@@ -80,3 +84,10 @@ def embed(images: DataFrame, model: EmbeddingModel, overlap: float = 0.1, transp
 
     needed = [*model.bands, *[f"{b}_size" for b in model.bands], "grid_cell", "grid_row_u", "grid_col_r", "product_id", "timestamp", "crs", "left", "bottom", "right", "top"]
     return images.select(*map(F.col, needed)).mapInPandas(run, EMBEDDINGS)
+
+
+def embed_archive(images: DataFrame, meta: DataFrame, model: EmbeddingModel, path: str, overlap: float = 0.1) -> None:
+    """Images of an archive (decoded bands, grid_cell, product_id) with their first metadata row, embedded and written to `path`."""
+    keys = ["grid_cell", "product_id"]
+    own = images.drop(*[c for c in meta.columns if c not in keys])
+    embed(with_metadata(own, meta), model, overlap).write.mode("overwrite").parquet(path)

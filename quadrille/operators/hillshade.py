@@ -20,10 +20,10 @@ def shade(dem: np.ndarray, azimuth: float = 315.0, altitude: float = 45.0, exagg
 
 
 def hillshade(dem: Column, height: int, width: int) -> Column:
-    """Flat raster to uint8 shades."""
+    """Flat raster to uint8 shades; null stays null."""
 
     @F.pandas_udf("array<int>")
     def run(v: pd.Series) -> pd.Series:
-        return pd.Series([(255 * shade(np.asarray(x, np.float64).reshape(height, width))).astype(int).ravel().tolist() for x in v], dtype=object)
+        return pd.Series([None if x is None else (255 * shade(np.asarray(x, np.float64).reshape(height, width))).astype(int).ravel().tolist() for x in v], dtype=object)
 
     return run(dem)

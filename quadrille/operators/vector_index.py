@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,10 +10,10 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.raster import stretched
 from quadrille.functions.vectors import doubles, l2_normalised, l2_squared
 
 
@@ -20,14 +21,29 @@ def literal(vector) -> F.Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def sound(vector: Column, width: int) -> Column:
+    """A vector of this many finite numbers; others have no distance to anything."""
+    return F.coalesce((F.size(vector) == width) & F.forall(doubles(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def common_width(df: DataFrame, vector: str) -> int:
+    """The commonest number of components, the smaller of two as common; 0 without vectors."""
+    found = df.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return found.n if found else 0
+
+
 def exact_search(df: DataFrame, query, k: int = 5, vector: str = "embedding", id_column: str = "vec_id") -> DataFrame:
-    """The k rows nearest to the query by squared L2 distance (`score`), ascending, ties to the smaller id."""
-    return df.withColumn("score", l2_squared(F.col(vector), literal(query))).orderBy("score", id_column).limit(k)
+    """The k rows nearest to the query by squared L2 distance (`score`), ascending, ties to the smaller id.
+
+    Vectors that are null, of another length than the query or not finite take no part.
+    """
+    return within_radius(df, query, None, vector).orderBy("score", id_column).limit(k)
 
 
-def within_radius(df: DataFrame, query, radius2: float, vector: str = "embedding") -> DataFrame:
-    """Rows whose squared distance to the query is at most radius2."""
-    return df.withColumn("score", l2_squared(F.col(vector), literal(query))).where(F.col("score") <= radius2)
+def within_radius(df: DataFrame, query, radius2: float | None, vector: str = "embedding") -> DataFrame:
+    """Rows with their squared distance to the query as `score`; with `radius2`, those where it is at most that."""
+    found = df.where(sound(F.col(vector), len(query))).withColumn("score", l2_squared(F.col(vector), literal(query)))
+    return found if radius2 is None else found.where(F.col("score") <= radius2)
 
 
 def sample_per_file(df: DataFrame, file: str, id_column: str, per_file: int = 30_000, total: int | None = 1_500_000, seed: int = 0) -> DataFrame:
@@ -48,14 +64,21 @@ def sample_per_file(df: DataFrame, file: str, id_column: str, per_file: int = 30
 
 
 def nearest_centroid(df: DataFrame, centroids: np.ndarray, vector: str = "embedding", name: str = "list_id") -> DataFrame:
-    """Adds the number of the nearest centroid (a matrix of bounded size), by matrix products over Arrow batches."""
+    """Adds the number of the nearest centroid (a matrix of bounded size), by matrix products over Arrow batches; null
+    for vectors that are null, of another length or not finite."""
     half = (centroids**2).sum(1) / 2
 
     @F.pandas_udf("int")
     def assign(v: pd.Series) -> pd.Series:
-        return pd.Series((half - np.stack(v.to_numpy()).astype(np.float64) @ centroids.T).argmin(1).astype(np.int32)) if len(v) else pd.Series([], dtype="int32")
+        out = pd.Series([None] * len(v), dtype="Int32")
+        known = v.notna().to_numpy()
+        if known.any():
+            out[known] = (half - np.stack(v[known].to_numpy()).astype(np.float64) @ centroids.T).argmin(1).astype(np.int32)
+        return out
 
-    return df.withColumn(name, assign(doubles(F.col(vector))))
+    x = F.col(vector)
+    assign = assign.asNondeterministic()  # so that a filter on the list doesn't repeat the whole expression
+    return df.withColumn(name, assign(F.when(sound(x, centroids.shape[1]), doubles(x))))
 
 
 def kmeans(df: DataFrame, k: int, vector: str, seed: int = 0, rounds: int = 10) -> np.ndarray:
@@ -68,7 +91,8 @@ class VectorIndex:
     """Inverted lists with product-quantised residual-free codes.
 
     `lists` coarse cells, `parts` sub-vectors of which each is one of up to 256 codewords. Codes are a table
-    (id, list_id, code), written by list so that a search reads the probed lists only.
+    (id, list_id, code), written by list so that a search reads the probed lists only. Vectors that are null, of
+    another length or not finite are neither learned from nor encoded.
     """
 
     centroids: np.ndarray
@@ -76,8 +100,11 @@ class VectorIndex:
 
     @classmethod
     def train(cls, sample: DataFrame, lists: int, parts: int, words: int = 256, vector: str = "embedding", seed: int = 0) -> VectorIndex:
-        unit = sample.select(l2_normalised(F.col(vector)).alias("v")).persist()
-        width = len(unit.first().v) // parts
+        size = common_width(sample, vector)
+        if not size or size % parts:
+            raise ValueError(f"vectors of {size} components have no {parts} equal parts")
+        unit = sample.where(sound(F.col(vector), size)).select(l2_normalised(F.col(vector)).alias("v")).persist()
+        width = size // parts
         books = [kmeans(unit.select(F.slice("v", p * width + 1, width).alias("v")), words, "v", seed) for p in range(parts)]
         full = [np.concatenate([b, np.full((words - len(b), width), np.inf)]) for b in books]
         index = cls(kmeans(unit, lists, "v", seed), np.stack(full))
@@ -96,35 +123,73 @@ class VectorIndex:
             out = np.stack([((x[:, p, None, :] - books[None, p]) ** 2).sum(2).argmin(1) for p in range(parts)], 1)
             return pd.Series(list(out.astype(np.int16)))
 
-        unit = df.select(F.col(id_column), l2_normalised(F.col(vector)).alias("v"))
+        unit = df.where(sound(F.col(vector), parts * width)).select(F.col(id_column), l2_normalised(F.col(vector)).alias("v"))
         return nearest_centroid(unit, self.centroids, "v").withColumn("code", code("v")).select(id_column, "list_id", "code")
 
     def write(self, codes: DataFrame, path: str) -> None:
-        codes.write.mode("overwrite").partitionBy("list_id").parquet(path)
+        """Centroids, codebooks and the codes, by list; a list of very many codes is written by several tasks."""
+        spark = codes.sparkSession
+        tables = {"centroids": self.centroids, "codebooks": self.codebooks.reshape(-1, self.codebooks.shape[2])}
+        for name, matrix in tables.items():
+            rows = [(i, [float(x) for x in row]) for i, row in enumerate(matrix)]  # of the index's fixed size
+            spark.createDataFrame(rows, "number int, vector array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark.createDataFrame([self.codebooks.shape], "parts int, words int, width int").write.mode("overwrite").parquet(f"{path}/shape")
+        codes.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/codes")
 
-    def search(self, codes: DataFrame, query, k: int = 5, probes: int = 32, id_column: str = "vec_id") -> DataFrame:
-        """The k nearest by the codes' distance among the lists nearest to the query."""
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> tuple[VectorIndex, DataFrame]:
+        """The index and its codes as `write` left them."""
+        shape = spark.read.parquet(f"{path}/shape").first()
+        centroids, books = (np.array([r.vector for r in spark.read.parquet(f"{path}/{name}").orderBy("number").collect()]) for name in ("centroids", "codebooks"))
+        return cls(centroids, books.reshape(shape.parts, shape.words, shape.width)), spark.read.parquet(f"{path}/codes")
+
+    def search(self, codes: DataFrame, query, k: int = 5, probes: int = 32, id_column: str = "vec_id", rerank: tuple[DataFrame, int] | None = None, vector: str = "embedding") -> DataFrame:
+        """The k nearest by the codes' distance among the lists nearest to the query.
+
+        `rerank`: the table of vectors and a factor; the best k x factor by their codes are then ranked by the exact
+        distance of their unit vectors.
+        """
         q = np.asarray(query, np.float64)
         q = q / (np.linalg.norm(q) or 1.0)
         near = np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")[:probes]
         parts, _, width = self.codebooks.shape
         tables = ((self.codebooks - q.reshape(parts, 1, width)) ** 2).sum(2)
         score = sum((F.get(literal(np.minimum(tables[p], 1e9)), F.get("code", F.lit(p)).cast("int")) for p in range(parts)), F.lit(0.0))
-        return codes.where(F.col("list_id").isin([int(x) for x in near])).withColumn("score", score).orderBy("score", id_column).limit(k)
+        scored = codes.where(F.col("list_id").isin([int(x) for x in near])).withColumn("score", score)
+        if rerank is None:
+            return scored.orderBy("score", id_column).limit(k)
+        vectors, factor = rerank
+        first = scored.orderBy("score", id_column).limit(k * factor).select(id_column, "list_id", "code")
+        met = vectors.select(id_column, l2_normalised(F.col(vector)).alias("_unit")).join(F.broadcast(first), id_column)  # k x factor rows
+        return met.withColumn("score", l2_squared(F.col("_unit"), literal(q))).drop("_unit").orderBy("score", id_column).limit(k)
+
+
+@dataclass
+class TextSearch:
+    """Search by text: an encoder (text to a vector of the index's space), an index with its codes, and metadata by id."""
+
+    encoder: Callable[[str], np.ndarray]
+    index: VectorIndex
+    codes: DataFrame
+    meta: DataFrame
+
+    def search(self, text: str, k: int = 1, probes: int = 32, id_column: str = "vec_id") -> DataFrame:
+        return search_with_metadata(self.index.search(self.codes, self.encoder(text), k, probes, id_column), self.meta, id_column)
 
 
 def search_with_metadata(found: DataFrame, meta: DataFrame, id_column: str = "vec_id") -> DataFrame:
-    """Search results with their metadata rows, by id."""
-    return found.join(F.broadcast(found.select(id_column)).join(meta, id_column), id_column).orderBy("score", id_column)  # k rows
+    """Search results (k rows) with their metadata rows, by id."""
+    return meta.join(F.broadcast(found), id_column).orderBy("score", id_column)
 
 
 def pca_composite(df: DataFrame, vector: str, components: int = 3) -> DataFrame:
-    """Adds `pc`: principal components of the centred vectors, as an array."""
-    width = len(df.select(vector).first()[0])
-    means = df.select(*[F.avg(doubles(F.col(vector))[i]).alias(f"m{i}") for i in range(width)]).first()
-    centred = df.withColumn("_f", array_to_vector(F.zip_with(doubles(F.col(vector)), literal(means), lambda x, m: x - m)))
-    model = PCA(k=components, inputCol="_f", outputCol="_pc").fit(centred)
-    return model.transform(centred).withColumn("pc", vector_to_array("_pc")).drop("_f", "_pc")
+    """Adds `pc`: principal components of the centred vectors, as an array; rows without a sound vector are left out."""
+    width = common_width(df, vector)
+    known = df.where(sound(F.col(vector), width)).withColumn("_f", array_to_vector(doubles(F.col(vector))))
+    model = PCA(k=components, inputCol="_f", outputCol="_pc").fit(known)
+    means = known.select(Summarizer.mean(F.col("_f"))).first()[0].toArray()  # `width` numbers
+    shift = model.pc.toArray().T @ means
+    return model.transform(known).withColumn("pc", F.zip_with(vector_to_array("_pc"), literal(shift), lambda x, s: x - s)).drop("_f", "_pc")
 
 
 def rgb_of_components(df: DataFrame, pc: str = "pc") -> DataFrame:
@@ -132,6 +197,3 @@ def rgb_of_components(df: DataFrame, pc: str = "pc") -> DataFrame:
     spans = df.agg(*[f(F.col(pc)[i]).alias(f"{n}{i}") for i in range(3) for n, f in (("low", F.min), ("high", F.max))]).first()
     byte = lambda i: F.lit(0) if spans[f"high{i}"] == spans[f"low{i}"] else F.floor(255 * (F.col(pc)[i] - spans[f"low{i}"]) / (spans[f"high{i}"] - spans[f"low{i}"])).cast("int")
     return df.select("*", *[byte(i).alias(n) for i, n in enumerate("rgb")])
-
-
-__all__ = ["VectorIndex", "exact_search", "kmeans", "nearest_centroid", "pca_composite", "rgb_of_components", "sample_per_file", "search_with_metadata", "stretched", "within_radius"]

@@ -6,7 +6,6 @@ from __future__ import annotations
 import math
 
 from quadrille.functions import geo
-from quadrille.operators.fragments import FragmentPlan
 from quadrille.plans.views import EUROPE, META_SQL, POINTS_SQL
 
 
@@ -90,8 +89,9 @@ def tiles_sql() -> str:
 hits AS (SELECT point_id, tile_id, path FROM pts, tiles WHERE year = 2024 AND lon > x AND lon < x + 10 AND lat > y AND lat < y + 10 AND {half_planes})"""
 
 
-def fragments_sql(height: int, size: int, keep: str, source: str, limit: str = "") -> str:
-    """CTE frag: fragments by counting windows up in steps of the stride (the closed form is the query's)."""
-    plan = FragmentPlan(height, size)
-    axis = f"(SELECT i, CASE WHEN i = {len(plan.offsets) - 1} THEN {height - size} ELSE i * {plan.stride} END AS o FROM range({len(plan.offsets)}) r(i))"
-    return f"frag AS (SELECT {keep}, CAST(a.i AS INTEGER) AS frag_row, CAST(b.i AS INTEGER) AS frag_col, CAST(a.o AS INTEGER) AS y_offset, CAST(b.o AS INTEGER) AS x_offset FROM {source} s, {axis} a, {axis} b {limit})"
+def fragments_sql(height: int, size: int, keep: str, source: str, overlap: float = 0.1) -> str:
+    """CTE frag: the number of steps, the overlap that fits and the offsets, worked out in SQL from the two sizes."""
+    axis = f"""(SELECT i, CASE WHEN i = steps AND i * stride < {height} - {size} THEN {height} - {size} ELSE i * stride END AS o
+  FROM (SELECT steps, {size} - ceil({size} - ({height} - {size})::DOUBLE / steps) AS stride, unnest(range(CAST(steps AS BIGINT) + 1)) AS i
+    FROM (SELECT greatest(1.0, round_even(({height} - {size}) / ({size} - {overlap} * {size})::DOUBLE, 0)) AS steps)))"""
+    return f"frag AS (SELECT {keep}, CAST(a.i AS INTEGER) AS frag_row, CAST(b.i AS INTEGER) AS frag_col, CAST(a.o AS INTEGER) AS y_offset, CAST(b.o AS INTEGER) AS x_offset FROM {source} s, {axis} a, {axis} b)"

@@ -18,21 +18,10 @@ QUERIES = plans.queries()
 )
 def test_every_id(spark, sf_dir, name, table, key, each):
     ids = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key)
-    found = QUERIES[f"{name}_all"](spark, sf_dir).groupBy(key).count()
+    found = QUERIES[name](spark, sf_dir).groupBy(key).count()
     assert found.where(F.col("count") != each).isEmpty() and sorted(found.select(key).collect()) == sorted(ids.collect())
 
 
-@pytest.mark.parametrize("name", ["samples_in_point_cells", "samples_at_points", "archive_row_join"])
-def test_more_than_the_prefix(spark, sf_dir, name):
-    part, whole = QUERIES[name](spark, sf_dir), QUERIES[f"{name}_all"](spark, sf_dir)
-    assert part.exceptAll(whole).isEmpty() and whole.count() > part.count()
-
-
-def test_checksum_takes_all_components(spark, sf_dir):
-    part, whole = (QUERIES[n](spark, sf_dir) for n in ("sample_checksums", "sample_checksums_all"))
-    assert part.join(whole, ["vec_id", "checksum"]).isEmpty()
-
-
 def test_grid_points_10km(spark, sf_dir):
     points = QUERIES["grid_points_10km"](spark, sf_dir)
     n, names = points.agg(F.count("*"), F.countDistinct("name")).first()
