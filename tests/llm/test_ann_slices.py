@@ -12,7 +12,7 @@ def test_slices_change_nothing(spark):
     x[:40] = x[0]  # a third of the rows are copies of one vector
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     found = [
-        sorted(tuple(r) for r in search(vectors, F.col("id") % 5 == 0, k=7, tables=2, slice_rows=n).select("query_id", "rank", "vec_id", "score").collect())
+        sorted(tuple(r) for r in search(vectors, F.col("id") % 5 == 0, k=7, tables=2, cell_rows=n).select("query_id", "rank", "vec_id", "score").collect())
         for n in (15, 8192)
     ]
     assert found[0] == found[1] and len(found[0]) == 24 * 7
