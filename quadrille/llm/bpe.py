@@ -4,7 +4,7 @@ The distinct words of a batch of documents form a corpus. An inverted index from
 built once; then merges are replayed in rank order: the pair of the lowest rank is merged at all its positions, and
 only the pairs with the touched neighbours are taken out or added. A word's own merges thus come in the order in
 which a word-by-word encoder makes them. Words that are tokens as a whole are not split. The ids of words seen
-before are kept between batches of a worker, up to a bound.
+before are kept between the batches of a partition, up to a bound.
 
 Edge cases: null and empty texts have no tokens; special-token strings are ordinary text; repeated rows each come
 out; an empty table gives an empty result; columns but doc_id and text are not read. Text that isn't in the
@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkIds
+from .common import lean
 
 #: Cuts a text where PATTERN always cuts too: words with the one space before them, and white space.
 ROUGH = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
 
-MOST_WORDS = 600_000
+MOST_WORDS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -132,7 +133,7 @@ class Codec:
             self.tokens[rank] = token
         # \s of the pattern means Unicode's white space, which U+001C to U+001F aren't
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\t-\r \x85\p{Z}").replace(r"\s", r"[\t-\r \x85\p{Z}]")).findall
-        self.cache = ChunkIds(self._encode, 250_000)
+        self.cache = ChunkIds(self._encode)
         self.done: dict[str, tuple[int, ...]] = {}  # ids of words, up to MOST_WORDS
         size = np.array([len(t) for t in self.tokens], np.int64)
         self.size, self.start = size, np.cumsum(size) - size
@@ -140,15 +141,19 @@ class Codec:
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
         parts = [self.split(c) for c in chunks]
-        if len(self.done) > MOST_WORDS:
-            self.done.clear()
+        new = list({w for p in parts for w in p if w not in self.done})
+        if len(self.done) + len(new) > MOST_WORDS:
+            self.done = {}
+            new = list({w for p in parts for w in p})
         done, ranks = self.done, self.ranks
-        new = list({w for p in parts for w in p if w not in done})
         coded = [w.encode() for w in new]
         done.update((w, (ranks[b],)) for w, b in zip(new, coded) if b in ranks)
         rest = [(w, b) for w, b in zip(new, coded) if b not in ranks]
         done.update(zip([w for w, _ in rest], map(tuple, replay([b for _, b in rest], ranks, self.tokens))))
-        return [done[p[0]] if len(p) == 1 else [t for w in p for t in done[w]] for p in parts]
+        out = [done[p[0]] if len(p) == 1 else [t for w in p for t in done[w]] for p in parts]
+        if len(done) > MOST_WORDS:
+            self.done = {}
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.cache.ids([ROUGH.findall(t) for t in texts])
@@ -159,17 +164,7 @@ class Codec:
         return self.bytes[np.arange(last[-1] if len(last) else 0) + np.repeat(self.start[ids] - (last - size), size)].tobytes()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    """One codec in each worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
-
-
-def groups(texts: list[str], size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `size` characters."""
     first = total = 0
     for i, t in enumerate(texts):
@@ -184,7 +179,7 @@ def groups(texts: list[str], size: int = 1 << 22) -> Iterator[tuple[int, int]]:
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (32-bit little-endian) and decoded (bytes of the decoded ids) for every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = Codec(path, pattern)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in groups(texts):
@@ -192,13 +187,13 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), "doc_id long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes, taken where the ids are made."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hexed = codec(path, pattern), lambda b: hashlib.sha256(b).hexdigest()
+        own, hexed = Codec(path, pattern), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in groups(texts):
@@ -206,7 +201,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([len(x) for x in ids], pa.int64()), pa.array([hexed(x.astype("<u4").tobytes()) for x in ids]), pa.array([hexed(own.decode(x)) for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_merge_replay(spark, sf_dir) -> DataFrame:

@@ -50,18 +50,13 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
-_counters: dict = {}
-
-
 def token_counter(path: str, pattern: str):
     """Number of tokens of a text under a rank file."""
-    if path not in _counters:
-        import tiktoken
+    import tiktoken
 
-        from .bpe import read_ranks
+    from .bpe import read_ranks
 
-        _counters[path] = tiktoken.Encoding("turns", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    own = _counters[path]
+    own = tiktoken.Encoding("turns", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
     return lambda text: len(own.encode_ordinary(text))
 
 

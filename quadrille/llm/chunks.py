@@ -1,4 +1,4 @@
-"""Token ids of many texts through the ids of their distinct chunks (words), kept between batches of a worker."""
+"""Token ids of many texts through the ids of their distinct chunks (words), kept between the batches of a partition."""
 
 from __future__ import annotations
 
@@ -12,10 +12,11 @@ import numpy as np
 class ChunkIds:
     """Ids of every chunk seen, computed once each by `encode` (list of chunks to list of id lists).
 
-    Kept in flat arrays; beyond `most` chunks all is forgotten and built anew, so memory stays bounded.
+    Kept in flat arrays; where new chunks would make more than `most`, all is forgotten first, and a call that has more
+    by itself leaves nothing behind. Callers pass texts of bounded size at a time, so memory stays bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -25,12 +26,11 @@ class ChunkIds:
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The ids of each text, given as its chunks."""
-        if len(self.number) > self.most:
+        found, lacking, new = self._known(texts)
+        if len(self.number) and len(self.number) + len(new) > self.most:
             self.clear()
+            found, lacking, new = self._known(texts)
         number = self.number
-        found = [np.fromiter(map(number.get, chunks, repeat(-1)), np.int64, len(chunks)) for chunks in texts]
-        lacking = [np.flatnonzero(which < 0) for which in found]
-        new = list(dict.fromkeys(chunks[i] for chunks, holes in zip(texts, lacking) for i in holes.tolist()))
         for chunk, ids in zip(new, self.encode(new)):
             number[chunk] = len(self.ends) - 1
             self.flat.extend(ids)
@@ -44,4 +44,12 @@ class ChunkIds:
             size = ends[which + 1] - start
             last = np.cumsum(size)
             out.append(flat[np.arange(last[-1] if len(last) else 0) + np.repeat(start - (last - size), size)])
+        if len(number) > self.most:
+            self.clear()
         return out
+
+    def _known(self, texts: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], list[str]]:
+        """The number of each chunk or -1, the places of those, and the new chunks."""
+        found = [np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks)) for chunks in texts]
+        lacking = [np.flatnonzero(which < 0) for which in found]
+        return found, lacking, list(dict.fromkeys(chunks[i] for chunks, holes in zip(texts, lacking) for i in holes.tolist()))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +20,90 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder of our own (local use)."""
+    """The folder all executors share: spark.checkpoint.dir. In local mode, where that may be unset, a folder of our own
+    that goes with the process; on a cluster without the setting, an error."""
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
     if _own_folder is None:
-        _own_folder = "file:" + tempfile.mkdtemp(prefix="quadrille-")
+        own = tempfile.mkdtemp(prefix="quadrille-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_folder = "file:" + own
     return _own_folder
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, and survives the loss of any executor."""
+    """Write `df` to the shared folder and read it back: cuts the lineage, and survives the loss of any executor.
+
+    The files go when the driver ends, or at `discard`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quadrille-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def reap_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of a query as soon as it has ended; several jobs of an operator then don't add up."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    where, store = _hadoop(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that came from `written`; nothing may read them any more, nor what was derived from them."""
+    for df in tables:
+        where, store = _hadoop(df.sparkSession, df._written)
+        store.delete(where, True)
+
+
+@contextlib.contextmanager
+def shuffles_reaped(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark drops the shuffle files of a query as soon as it has ended; several jobs of an operator then don't add up."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow whose worker hands free memory back when its partition ends: workers are used again."""
+    def tidy(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores more that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def let(value: Column, body) -> Column:

@@ -8,8 +8,11 @@ weights multiply into one matrix, and a batch of texts is scored by one product
 A text is read in blocks of `BLOCK` bytes, each with presences of its own, for in a very long text every n-gram
 would be present; the block scores are averaged by length. All blocks of the whole text count.
 
-The fit is bounded: per language at most about `per_language` documents and `landmarks` landmarks, of at most
-`longest` characters each, those whose ids hash least; which languages there are is counted over all rows.
+The fit is bounded: about `per_language` documents of each language, those whose id and text hash least, and of each
+`blocks_each` blocks at most, spread over the whole text; `landmarks` of a language's blocks become landmarks. Which
+languages there are is counted over all rows, however long their texts. Rows of one id and text count once.
+
+The score is the logistic value of the best one-versus-rest result, so it doesn't depend on how many languages there are.
 
 Edge cases: `und` with score 0 where the text is null or has no letter, or there is nothing to learn from; a null
 doc_id is not held out and never learned from; an empty table gives an empty result; ties go to the language that
@@ -18,15 +21,13 @@ sorts first; repeated rows each come out; columns but doc_id, text and lang (to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash_mod, text_bytes
+from .common import Batches, id_hash_mod, lean, text_bytes
 
 WIDTHS, BUCKETS, BLOCK = (1, 2, 3, 4), 1 << 15, 4096
 TEMPERATURE = 4.0
@@ -100,24 +101,36 @@ def predict(model: dict, data: np.ndarray, at: np.ndarray, batch: int = 64) -> t
         size = np.maximum(ends[i : i + batch] - starts[i : i + batch], 1)
         np.add.at(total, row[i : i + batch], f * size[:, None])
         np.add.at(weight, row[i : i + batch], size)
-    f = TEMPERATURE * total / weight[:, None]
-    f = np.exp(f - f.max(1, keepdims=True))
-    f /= f.sum(1, keepdims=True)
-    return f.argmax(1), f.max(1)
+    f = total / weight[:, None]
+    return f.argmax(1), 1 / (1 + np.exp(-TEMPERATURE * f.max(1)))
+
+
+def _some_blocks(batches: Batches, most: int) -> Batches:
+    for batch in batches:
+        langs, out = [], []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            data = text.encode()
+            n = max(1, -(-len(data) // BLOCK))
+            for k in np.unique(np.linspace(0, n - 1, min(n, most)).astype(int)).tolist():
+                langs.append(lang)
+                out.append(data[k * BLOCK : (k + 1) * BLOCK])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "block"])
 
 
-def train(docs: DataFrame, per_language: int = 400, longest: int = 16384) -> dict:
+def train(docs: DataFrame, per_language: int = 400, blocks_each: int = 4) -> dict:
     """The model, learned from text and lang of the learning folds (id hash not 1 mod 3); {} if there are none."""
-    learn = docs.where(id_hash_mod("doc_id", 3) != 1).where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= longest)
+    learn = docs.where(id_hash_mod("doc_id", 3) != 1).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return {}
-    mix = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("language")), F.lit(1 << 30))
+    learn = learn.select("lang", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mix"))
     few = F.lit(False)
     for lang, n in counts.items():
-        few = few | ((F.col("lang") == lang) & (mix < int((1 << 30) * min(1.0, per_language / n))))
-    rows = sorted(learn.where(few).select(F.col("lang"), F.col("text").cast("string").alias("text")).toPandas().itertuples(index=False, name=None))
-    return fit([t.encode() for _, t in rows], [x for x, _ in rows]) if rows else {}
+        few = few | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("mix"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_language / n))))
+    picked = learn.where(few).groupBy("lang", "mix").agg(F.first("text").alias("text"))
+    blocks = picked.mapInArrow(lean(lambda batches: _some_blocks(batches, blocks_each)), "lang string, block binary")
+    rows = sorted((r.lang, bytes(r.block)) for r in blocks.collect())  # bounded by the sample's parameters
+    return fit([b for _, b in rows], [x for x, _ in rows])
 
 
 def _predicted(model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,25 +146,25 @@ def languages(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights a language
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             which, found, known = _predicted(shared.value, batch)
             names = [shared.value["names"][k] if ok else "und" for k, ok in zip(which, known)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(found, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     """The rows whose language is known with a score of `least` or more, with their columns; `und` goes."""
     shared, kept = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             _, found, known = _predicted(shared.value, batch)
             yield batch.filter(pa.array(known & (found >= least)))
 
-    return docs.mapInArrow(run, kept)
+    return docs.mapInArrow(lean(run), kept)
 
 
 def op4_string_kernel(spark, sf_dir) -> DataFrame:

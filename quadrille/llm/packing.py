@@ -1,14 +1,15 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
 Each document's ids (with an end mark) are cut into windows of the full capacity, which need no partner, and a rest.
-The rests of a block of documents are parted into as few windows as hold them: every rest starts as a partial
-partition of its own, and the two partial partitions of the largest imbalance merge, largest window with smallest,
-until one is left, whose windows are near-equal. What a window then holds beyond the capacity is cut off and laid
-into windows with room; if there is none the window count rises. So that blocks leave no padding, the block's last
-window, the only one not full, is dealt out in sequences of power-of-two lengths.
+The rests of a block are parted into as few windows as could hold them: every rest starts as a partial partition of
+its own, and the two partial partitions of the largest imbalance merge, largest window with smallest, until one is
+left, whose windows are near-equal. Where a window exceeds the capacity the window count rises and all is parted
+anew. Rests stay whole unless that leaves more than `padding` of the windows empty; then they are cut into smaller
+pieces, which even out better. What would begin a poorly filled window waits for the next block, and at a
+partition's end is dealt out in sequences of power-of-two lengths, which aren't padded.
 
-A task packs the documents of its partition block by block, so memory holds a block of ids and nothing is shuffled;
-very long documents are just many windows.
+A task packs the documents of its partition block by block, and a block is bounded by ids and by rests, so memory
+holds a block and nothing is shuffled; very long documents are just many windows.
 
 Edge cases: null and empty texts are the end mark alone; repeated rows are packed as often as they occur (their
 pieces look alike but lie in different places); a null doc_id stays null; an empty table gives an empty result;
@@ -18,6 +19,7 @@ columns but doc_id and text are not read.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import unicodedata
 import zlib
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .bpe import groups
 from .chunks import ChunkIds
+from .common import lean
 
 END = 1
 #: The tokenizer's own cut of normalised text, in terms of `re`: contractions, letters, digits, and the rest.
@@ -58,7 +61,7 @@ class WordTokenizer:
         vocabulary = self.own.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache = ChunkIds(self._encode, 600_000)
+        self.cache = ChunkIds(self._encode)
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -82,99 +85,68 @@ class WordTokenizer:
         return found
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def _united(a: tuple, b: tuple, windows: int, trees: list[tuple]) -> tuple:
+    """Two partial partitions merged: the largest window of the one with the smallest of the other, and so on."""
+    (sums_a, own_a), (sums_b, own_b) = a, b
+    if len(sums_a) + len(sums_b) <= windows:
+        sums, own = np.concatenate([sums_a, sums_b]), np.concatenate([own_a, own_b])
+    else:
+        sums, own = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
+        sums[windows - len(sums_a) :], own[windows - len(sums_a) :] = sums_a, own_a
+        sums[: len(sums_b)] += sums_b[::-1]
+        other = own_b[::-1]
+        for k in np.flatnonzero(own[: len(other)] >= 0).tolist():
+            trees.append((int(own[k]), int(other[k])))
+            own[k] = len(trees) - 1
+        lone = np.flatnonzero(own[: len(other)] < 0)
+        own[lone] = other[lone]
+    by = np.argsort(sums, kind="stable")
+    sums, own = sums[by], own[by]
+    return (sums - sums[0] if len(sums) == windows else sums), own
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
     """Karmarkar-Karp: parts numbers 0..n-1 into `windows` lists whose sums of sizes are near-equal.
 
-    A partial partition is its sums in ascending order, less the least, and the item tree of each window.
+    A partial partition is the sums of its windows in ascending order, less the least, and the item tree of each;
+    windows without items are left out. Always the two of the largest imbalance are merged.
     """
     trees: list[tuple] = [(i,) for i in range(len(sizes))]
-    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for i, size in enumerate(sizes):
-        sums, own = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
-        sums[-1], own[-1] = size, i
-        heap.append((-size if windows > 1 else 0, i, sums, own))
+    parts: dict[int, tuple] = {i: (np.array([size], np.int64), np.array([i], np.int64)) for i, size in enumerate(sizes)}
+    heap = [(-size if windows > 1 else 0, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    order = len(sizes)
-    while len(heap) > 1:
-        _, _, sums_a, own_a = heapq.heappop(heap)
-        _, _, sums_b, own_b = heapq.heappop(heap)
-        sums, a, b = sums_a + sums_b[::-1], own_a, own_b[::-1]
-        merged = np.where(a < 0, b, a)
-        for k in np.flatnonzero((a >= 0) & (b >= 0)).tolist():
-            trees.append((int(a[k]), int(b[k])))
-            merged[k] = len(trees) - 1
-        by = np.argsort(sums, kind="stable")
-        sums, merged = sums[by] - sums[by[0]], merged[by]
-        heapq.heappush(heap, (-int(sums[-1]), order, sums, merged))
-        order += 1
-    out = []
-    for root in heap[0][3].tolist() if heap else []:
-        items, stack = [], [root] if root >= 0 else []
+    for order in range(len(sizes), 2 * len(sizes) - 1):
+        first, second = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        parts[order] = _united(parts.pop(first), parts.pop(second), windows, trees)
+        heapq.heappush(heap, (-int(parts[order][0][-1]), order))
+    out: list[list[int]] = [[] for _ in range(windows)]
+    for items, root in zip(out, parts[heap[0][1]][1].tolist() if heap else []):
+        stack = [root] if root >= 0 else []
         while stack:
             node = trees[stack.pop()]
             if len(node) == 1:
                 items.append(node[0])
             else:
                 stack += node
-        out.append(items)
     return out
 
 
-def windows_of(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (item, start, length), none above the capacity, all full but one at most."""
-    total = sum(sizes)
-    count = max(1, -(-total // capacity))
-    parts = [[(i, 0, sizes[i]) for i in items] for items in difference(sizes, count)]
-    held = [sum(p[2] for p in part) for part in parts]
-    loose: list[tuple[int, int, int]] = []
-    # the window of the least sum gives up its pieces, too, if the rest can hold them: only one stays short
-    for part, size in zip(parts, held):
-        over = size - capacity
-        while over > 0:
-            item, start, length = part.pop()
-            cut = min(over, length)
-            if length > cut:
-                part.append((item, start, length - cut))
-            loose.append((item, start + length - cut, cut))
-            over -= cut
-    held = [sum(p[2] for p in part) for part in parts]
-    last = min(range(len(parts)), key=held.__getitem__)
-    parts[last], held[last], parts[-1], held[-1] = parts[-1], held[-1], parts[last], held[last]
-    full, short = total // capacity, len(parts) - 1
-    if full < len(parts):  # the short window lends pieces until the others are full
-        need = sum(capacity - h for h in held[:short]) - sum(p[2] for p in loose)
-        while need > 0 and parts[short]:
-            item, start, length = parts[short].pop()
-            cut = min(need, length)
-            if length > cut:
-                parts[short].append((item, start, length - cut))
-            loose.append((item, start + length - cut, cut))
-            need -= cut
-        held[short] = sum(p[2] for p in parts[short])
-    for k in range(len(parts)):
-        while held[k] < capacity and loose:
-            item, start, length = loose.pop()
-            cut = min(capacity - held[k], length)
-            parts[k].append((item, start, cut))
-            held[k] += cut
-            if length > cut:
-                loose.append((item, start + cut, length - cut))
-    while loose:  # more than all windows hold: the window count rises
-        parts.append([loose.pop()])
-    return [p for p in parts if p]
+def windows_of(sizes: list[int], capacity: int, count: int) -> list[list[int]]:
+    """Item numbers in `count` near-equal windows; while one exceeds the capacity the count rises and all is parted anew.
+
+    No size exceeds the capacity, so at the latest one window an item fits.
+    """
+    while True:
+        parts = difference(sizes, count)
+        over = max(sum(sizes[i] for i in part) for part in parts) - capacity
+        if over <= 0:
+            return [part for part in parts if part]
+        even = sum(sizes) / count
+        count = max(count + 1, math.ceil(sum(sizes) / (even - over))) if even > over else len(sizes)
 
 
 def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
-    """The pieces of a short window dealt into sequences of power-of-two lengths, longest first."""
+    """Pieces (rest, start, length) dealt into sequences of power-of-two lengths, longest first."""
     left, out = sum(p[2] for p in pieces), []
     pieces = list(reversed(pieces))
     while left:
@@ -195,15 +167,25 @@ COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 
-def packed(docs: DataFrame, path: str, capacity: int = 2048, block: int = 256, keep_ids: bool = False) -> DataFrame:
+def block_windows(sizes: list[int], capacity: int, padding: float) -> list[list[tuple[int, int, int]]]:
+    """The rests of a block in windows of pieces (rest, start, length)."""
+    for most in (capacity, capacity // 4, capacity // 8):
+        pieces = [(i, at, min(most, size - at)) for i, size in enumerate(sizes) for at in range(0, size, most)]
+        parts = windows_of([n for _, _, n in pieces], capacity, -(-sum(sizes) // capacity))
+        if sum(sizes) >= (1 - padding) * capacity * len(parts):
+            break
+    return [[pieces[k] for k in part] for part in parts]
+
+
+def packed(docs: DataFrame, path: str, capacity: int = 2048, block: int = 256, most_rests: int = 4096, padding: float = 0.02, keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents with their places; `keep_ids` adds the ids themselves (32-bit little-endian).
 
-    `block`: windows of rests that are packed together.
+    `block`: windows of rests that are packed together; `most_rests`: rests at most, for blocks of short texts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names = tokenizer(path), NAMES + ["ids"] * keep_ids
+        own, names = WordTokenizer(path), NAMES + ["ids"] * keep_ids
         next_id = TaskContext.get().partitionId() << 40
-        rests: list[tuple] = []  # doc_id, ids, start of the rest
+        rests: list[tuple] = []  # doc_id, ids, start and length of the rest
         waiting, rows = 0, {n: [] for n in names}
 
         def lay(sequence: list[tuple], offset: int = 0) -> None:
@@ -215,14 +197,30 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, block: int = 256, k
                 offset += length
             next_id += 1
 
+        def lay_all(windows: list[list[tuple[int, int, int]]]) -> None:
+            for window in windows:
+                lay([(rests[i][0], rests[i][1], rests[i][2] + s, n) for i, s, n in window])
+
         def pack() -> None:
+            """Pack what fills windows; what is beyond that keeps waiting."""
             nonlocal waiting
-            for window in windows_of([len(ids) - start for _, ids, start in rests], capacity) if rests else []:
-                short = sum(p[2] for p in window) < capacity
-                for sequence in powers(window) if short else [window]:
-                    lay([(rests[i][0], rests[i][1], rests[i][2] + s, n) for i, s, n in sequence])
-            rests.clear()
-            waiting = 0
+            kept, fill = [], waiting // (capacity - 8) * (capacity - 8)
+            while waiting > fill:
+                doc_id, ids, start, length = rests.pop()
+                waiting -= length
+                if waiting < fill:  # this one is cut
+                    rests.append((doc_id, ids, start, fill - waiting))
+                    start, length, waiting = start + fill - waiting, length - (fill - waiting), fill
+                kept.append((doc_id, ids, start, length))
+            if rests:
+                lay_all(block_windows([r[3] for r in rests], capacity, padding))
+            rests[:] = reversed(kept)
+            waiting = sum(r[3] for r in rests)
+
+        def finish() -> None:
+            if waiting >= capacity - 8:
+                pack()
+            lay_all(powers([(i, 0, r[3]) for i, r in enumerate(rests)]))
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(rows[n], pa.binary() if n == "ids" else pa.int64()) for n in names], names)
@@ -232,23 +230,23 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, block: int = 256, k
 
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in groups(texts, 1 << 21):
+            for a, b in groups(texts, 1 << 20):
                 for doc_id, ids in zip(keys[a:b], own.ids(texts[a:b])):
                     ids = np.append(ids, END).astype("<u4")
                     whole = len(ids) // capacity * capacity
                     for start in range(0, whole, capacity):
                         lay([(doc_id, ids, start, capacity)])
                     if whole < len(ids):
-                        rests.append((doc_id, ids, whole) if len(ids) < 8 * capacity else (doc_id, _Tail(ids, whole), whole))
+                        rests.append((doc_id, ids if len(ids) < 8 * capacity else _Tail(ids, whole), whole, len(ids) - whole))
                         waiting += len(ids) - whole
-                    if waiting >= block * capacity:
+                    if waiting >= block * capacity or len(rests) >= most_rests:
                         pack()
                 yield flush()
-        pack()
+        finish()
         yield flush()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, COLUMNS + ", ids binary" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), COLUMNS + ", ids binary" * keep_ids)
 
 
 class _Tail:

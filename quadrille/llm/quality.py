@@ -3,28 +3,28 @@
 A small network over byte-trigram, character-class and repetition features minimises the non-negative unbiased risk
     prior * E_pos[l(f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)])
 (l: logistic loss); where the second part falls below zero its gradient is turned round, which keeps the flexible
-model from memorising the positives. The class prior is the share of trusted positives among all labelled documents
-of the learning folds, counted over the whole table.
+model from memorising the positives. The class prior is estimated from positives and unlabelled text alone (labels of
+bad text are never read): a first network is fitted to half of the sample, and on the other half the least ratio of
+the unlabelled to the positive share above a score bounds the prior, allowing for chance (`estimated_prior`).
 
-The fit uses bounded samples: at most `positives` trusted and `unlabelled` web documents, those whose ids hash
-least. Everything else reads all rows. Scores come from whole texts: features are counts over all bytes.
+The fit uses bounded samples: about `positives` trusted and `unlabelled` web documents, those whose id and text hash
+least; rows of one id and text count once. Everything else reads all rows. Scores come from whole texts: features are
+counts over all bytes.
 
 Edge cases: a null text counts as empty and gets the score of an empty text; a null doc_id is not held out and is
-never learned from; a document labelled more than once counts once for each label row; without positives to learn
-from, every score is the prior (1 if there are no labels at all). Repeated rows each come out; an empty table gives
+never learned from; a document is trusted if any of its label rows is 1; without positives to learn
+from, every score is 1. Repeated rows each come out; an empty table gives
 an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, id_hash_mod, text_bytes
+from .common import Batches, blocks, id_hash_mod, lean, text_bytes
 
 TRIGRAMS, GRAMS4 = 512, 4096
 MARKS = b"!?.,;:|*#$%&\n/@<>=_-(){}[]\"'~"
@@ -140,41 +140,57 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]).astype(np.float64), -30, 30)))
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Batches) -> Batches:
     for batch in batches:
         x = features(*text_bytes(batch.column("text")))
         yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
 
-def _gather(docs: DataFrame) -> np.ndarray:
-    rows = docs.select("text").mapInArrow(_featured, "x binary").toPandas()["x"]
-    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, N_FEATURES).copy()
+def _gather(docs: DataFrame, expected: int, of: int) -> np.ndarray:
+    """Features of about `expected` of `of` rows (doc_id, text), those whose id and text hash least, each id and text once."""
+    mix = F.xxhash64("doc_id", "text", F.lit("sample"))
+    threshold = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, expected / max(1, of))))
+    rows = docs.select("text", mix.alias("mix")).where(F.col("mix") <= F.lit(threshold)).groupBy("mix").agg(F.first("text").alias("text"))
+    found = rows.select("text").mapInArrow(lean(_featured), "x binary").toPandas()["x"]
+    return np.frombuffer(b"".join(sorted(found)), np.float32).reshape(-1, N_FEATURES).copy()
+
+
+def estimated_prior(pos: np.ndarray, unl: np.ndarray, risk: float = 0.1, seed: int = 7) -> float:
+    """The share of positives among the unlabelled.
+
+    Above any score lie at least prior x (share of positives there) of the unlabelled, so the ratio of the two shares
+    is never below the prior, and near it where few negatives score. The score is taken where that ratio with its
+    margin of chance (by Hoeffding's bound at `risk`) is least.
+    """
+    rng = np.random.default_rng(seed)
+    (p, p2), (u, u2) = (np.array_split(rng.permutation(len(x)), 2) for x in (pos, unl))
+    if not min(map(len, (p, p2, u, u2))):
+        return 0.5
+    model = fit(pos[p], unl[u], 0.5, epochs=20)
+    sp, su = np.sort(score(model, pos[p2])), np.sort(score(model, unl[u2]))
+    above_p, above_u = 1 - np.arange(len(sp)) / len(sp), 1 - np.searchsorted(su, sp) / len(su)
+    margin = (np.log(4 / risk) / (2 * len(sp))) ** 0.5 + (np.log(4 / risk) / (2 * len(su))) ** 0.5
+    best = ((above_u + margin) / above_p).argmin()
+    return float(above_u[best] / above_p[best])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 5000, unlabelled: int = 10000) -> dict:
     """The model: bounded samples of trusted positives and of web text, both from the learning folds (id hash not 0 mod 5)."""
     learn = id_hash_mod("doc_id", 5) != 0
-    ours = labels.where(learn).where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    n1, n = ours.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("*")).first()
-    prior = (n1 or 0) / n if n else 1.0
-    mix = F.xxhash64("doc_id", F.lit("sample"))
+    good_ids = labels.where(learn).where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     text = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    trusted = ours.where("quality = 1").select("doc_id").orderBy(mix, "doc_id").limit(positives)
-    pos = _gather(text.join(F.broadcast(trusted), "doc_id"))  # at most `positives` ids
-    every = text.count()
-    threshold = int(-(2**63) + 2**64 * min(1.0, unlabelled / max(1, every)))
-    unl = _gather(text.where(mix <= F.lit(min(threshold, 2**63 - 1))))
-    prior = min(max(prior, 0.01), 0.99)
+    trusted = text.join(good_ids, "doc_id", "left_semi")
+    pos, unl = _gather(trusted, positives, good_ids.count()), _gather(text, unlabelled, text.count())
     if not len(pos) or not len(unl):
-        return {"constant": prior if n else 1.0}
-    return fit(pos, unl, prior)
+        return {"constant": 1.0}
+    return fit(pos, unl, min(max(estimated_prior(pos, unl), 0.01), 0.99))
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a network of fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
             if "constant" in shared.value:
@@ -183,14 +199,14 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                 found = np.concatenate([np.zeros(0)] + [score(shared.value, features(data, at[a : b + 1])) for a, b in blocks(at, 4 << 20)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def good(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score `threshold` or more, with their columns."""
     shared, kept = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
             if "constant" in shared.value:
@@ -199,7 +215,7 @@ def good(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
                 found = np.concatenate([np.zeros(0)] + [score(shared.value, features(data, at[a : b + 1])) for a, b in blocks(at, 4 << 20)])
             yield batch.filter(pa.array(found >= threshold))
 
-    return docs.mapInArrow(run, kept)
+    return docs.mapInArrow(lean(run), kept)
 
 
 def op1_pu_quality(spark, sf_dir) -> DataFrame:

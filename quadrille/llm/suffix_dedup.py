@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reap_shuffles, text_bytes, written
+from .common import lean, shuffles_reaped, spare, text_bytes, written
 
 LENGTH, GRAM, SEGMENT, LONGEST_RUN = 50, 24, 1 << 20, 255
 SHALLOW = 16
