@@ -377,7 +377,6 @@ def repeats(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[
 def repeated_places(docs: DataFrame) -> DataFrame:
     """doc_id, _d (hash of the text), _ats (binary rows of start << 8 | number of string starts) of what repeats."""
     spark = docs.sparkSession
-    reap_shuffles(spark)
     text = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50").select("doc_id", "_d", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = text.mapInArrow(run_rows(parts), "part int, runs binary").repartition(parts, "part").sortWithinPartitions("part")
