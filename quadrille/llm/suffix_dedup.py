@@ -5,22 +5,25 @@ that length, and neighbours with a common prefix of 50 bytes or more belong toge
 alike meet in one task, and no others are moved, the corpus is first thinned:
 
 1. The 50-byte strings starting in a document form runs that share their least 24-byte gram (by hash). Equal strings
-   have the same least gram, so runs meet by it. A run costs about 16 bytes of shuffle (hashes of the gram and of the
-   run's bytes, document, place), packed into one binary row for each batch and target.
-2. For a gram that occurs once nothing is left to do. Runs of equal bytes form a class; in a class all but the
-   smallest document repeat it as a whole. One run of each class goes on if its gram has other classes.
-3. The bytes of these class runs meet by gram, and the suffixes of a group of grams are sorted, deep-shallow: a
-   multikey quicksort on eight-byte words to a shallow depth (all partitions of one depth in one array sort), then
-   blind tries order what still shares its prefix (two suffixes alone need one comparison). Of equal strings all but
-   the smallest document's are repeats.
-4. Repeats return to their documents as byte ranges.
-
-No step pairs documents; a passage shared by a third of them is one class, whose rows are as many as the documents.
-Long texts are cut into overlapping segments, so arrays stay small.
+   have the same least gram, so runs meet by it. Hashes only bring runs together; what is equal is told by bytes.
+   A gram that several documents of a batch have is known to repeat there and then, and one witness of it travels;
+   of the others each run sends about 12 bytes, packed into one binary row for each batch and part.
+2. The bytes of all runs of grams that several documents have meet by gram. Runs of equal bytes collapse into one, first
+   within a batch, then within a part; the least document of each counts. The suffixes of what is left are sorted
+   deep-shallow: dealt by their first two bytes, a multikey quicksort on eight-byte words to a shallow depth, then
+   blind tries for what still shares its prefix (two suffixes alone need one comparison). Of equal strings all but the
+   smallest document's are repeats.
+3. Repeats return to their documents as byte ranges.
+
+A gram that is crowded in a batch (a common line in ever other surroundings) is dealt over all parts by document.
+Each part then sends one row for each of the gram's strings it holds, with its least document, and the least of all is
+a grouped minimum. No step pairs documents or holds all runs of a gram. A part stands for about `part_bytes` of text,
+so memory doesn't grow with the corpus. Long texts are cut into overlapping segments, so arrays stay small.
 
 Edge cases: null counts as empty; texts under 50 bytes lose nothing; a null doc_id has no order, so it neither loses
 bytes nor makes others lose them; rows that share a doc_id don't affect one another (nor do equal rows, which have
-equal results); an empty table gives an empty result; other columns pass through `deduplicated` untouched.
+equal results); an empty table gives an empty result; other columns pass through `deduplicated` untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, shuffles_reaped, spare, text_bytes, written
+from .common import Batches, blocks, discard, lean, shuffles_reaped, spare, text_bytes, written
 
-LENGTH, GRAM, SEGMENT, LONGEST_RUN = 50, 24, 1 << 20, 255
+LENGTH, GRAM, SEGMENT = 50, 24, 1 << 20
+LONGEST_RUN, WITNESS, CROWD = 254, 255, 64
 SHALLOW = 16
 MIX, ROOT = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 
@@ -61,13 +65,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """The runs of string starts in texts data[bounds[i]:bounds[i+1]] (SEGMENT bytes and a bit in all at most):
-    text, start in data, number of starts, hash of the gram, hash of the bytes."""
+    text, start in data, number of starts, hash of the gram."""
     if not _tables:
         _tables.extend(_powers())
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     power, inverse = (t[: n + 1] for t in _tables)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(data * power[:n], out=total[1:])
@@ -88,9 +92,7 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         starts, ends = np.repeat(starts, many) + k * LONGEST_RUN, np.repeat(ends, many)
         ends = np.minimum(starts + LONGEST_RUN, ends)
-    count = ends - starts
-    whole = (total[starts + count + LENGTH - 1] - total[starts]) * inverse[starts]
-    return text[starts], starts, count, _mixed(least[starts] ^ np.uint64(ROOT)), _mixed(whole ^ count.astype(np.uint64) << np.uint64(40))
+    return text[starts], starts, ends - starts, _mixed(least[starts] ^ np.uint64(ROOT)) >> np.uint64(16)
 
 
 def segments(at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -119,129 +121,203 @@ def _unplaned(data: memoryview, at: int, n: int, width: int) -> tuple[np.ndarray
     return out.view("<u8")[:, 0], at + n * width
 
 
-def run_rows(parts: int):
-    """Map side: one binary row of runs for each batch and part."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_bytes(batch.column("text"))
-            ids, twin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_d"))
-            kept = []
-            for a, b, bounds, rows in segments(at):
-                text, start, count, gram, whole = runs(data[a:b], bounds)
-                row = rows[text]
-                kept.append((row, a + start - at[row], count, gram, whole))
-            row, start, count, gram, whole = (np.concatenate(x) for x in zip(*kept)) if kept else [np.zeros(0, np.int64)] * 5
-            if not len(row):
-                continue
-            part = ((gram >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            out: tuple[list, list] = ([], [])
-            for p in range(parts):
-                o = order[cuts[p] : cuts[p + 1]]
-                if not len(o):
-                    continue
-                new = np.concatenate([[True], row[o][1:] != row[o][:-1]])
-                docs = row[o][new]
-                size = np.diff(np.concatenate([np.flatnonzero(new), [len(o)]]))
-                head = np.array([len(o), len(docs)], "<u4").tobytes()
-                out[0].append(p)
-                out[1].append(head + _planes(ids[docs].view(np.uint64), 8) + _planes(twin[docs].view(np.uint64), 4) + _planes(size, 4) + _planes(start[o], 5) + _planes(count[o], 1) + _planes(gram[o], 6) + _planes(whole[o], 6))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["part", "runs"])
+def part_of(gram: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a 48-bit gram hash, by its upper bits."""
+    return ((gram >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+
+
+PARTED, PARTED_NAMES = "part int, packed binary, doc_id long, _d long, at binary", ["part", "packed", "doc_id", "_d", "at"]
+MARKS, MARK_NAMES = "doc_id long, _d long, at binary, string binary", ["doc_id", "_d", "at", "string"]
 
-    return run
 
+def _parted(part: list[int], packed: list, own: list[tuple]) -> pa.RecordBatch:
+    """Packed rows for parts, and rows (part, doc_id, _d, at) that only pass through the shuffle."""
+    columns = [part + [x[0] for x in own], packed + [None] * len(own), *([None] * len(part) + [x[k] for x in own] for k in (1, 2, 3))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], PARTED_NAMES)
 
-def _by_document(ids, twins, need: bool, values: np.ndarray) -> Iterator[tuple]:
+
+def _by_document(ids: np.ndarray, twins: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """One row of values for each document."""
     order = np.lexsort((twins, ids))
     ids, twins, values = ids[order], twins[order], values[order]
     cut = np.flatnonzero((ids[1:] != ids[:-1]) | (twins[1:] != twins[:-1])) + 1
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)]):
         if b > a:
-            yield int(ids[a]), int(twins[a]), need, values[a:b].tobytes()
+            yield int(ids[a]), int(twins[a]), values[a:b].tobytes()
+
+
+def _marks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], MARK_NAMES)
+
+
+def _passed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that only pass through, as marks."""
+    own = batch.filter(pa.array(batch.column("part").to_numpy() < 0))
+    return pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("_d"), own.column("at"), pa.nulls(len(own), pa.binary())], MARK_NAMES)
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where each group of equal neighbours begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def _spread(values: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
+    """A group's value for each of its members."""
+    return np.repeat(values, np.diff(np.concatenate([heads, [n]])))
+
+
+def _packed(ids, twins, row, columns: tuple[tuple[np.ndarray, int], ...], part: np.ndarray, parts: int, data: np.ndarray | None = None, length: np.ndarray | None = None) -> tuple[list[int], list[bytes]]:
+    """One binary for each part: documents with their numbers of rows, the rows' columns by byte planes, and their bytes."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    begins = np.cumsum(length) - length if data is not None else None
+    out: tuple[list, list] = ([], [])
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        o = order[cuts[p] : cuts[p + 1]]
+        heads = _heads(row[o])
+        docs = row[o[heads]]
+        size = np.diff(np.concatenate([heads, [len(o)]]))
+        packed = np.array([len(o), len(docs)], "<u4").tobytes() + _planes(ids[docs].view(np.uint64), 8) + _planes(twins[docs].view(np.uint64), 4) + _planes(size, 4)
+        packed += b"".join(_planes(x[o], width) for x, width in columns)
+        if data is not None:
+            packed += b"".join(data[a : a + n].tobytes() for a, n in zip(begins[o].tolist(), length[o].tolist()))
+        out[0].append(p)
+        out[1].append(packed)
+    return out
+
+
+def _unpacked(held: list[bytes], widths: tuple[int, ...]) -> tuple[list[np.ndarray], list[bytes]]:
+    """ids, twins and the columns of all rows, and the bytes that follow them in each binary."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(2 + len(widths))]
+    rest = []
+    for packed in held:
+        n, docs = np.frombuffer(packed, "<u4", 2).tolist()
+        at, got = 8, []
+        for m, width in ((docs, 8), (docs, 4), (docs, 4), *((n, w) for w in widths)):
+            x, at = _unplaned(packed, at, m, width)
+            got.append(x)
+        size = got[2].astype(np.int64)
+        for column, x in zip(columns, (np.repeat(got[0].view(np.int64), size), np.repeat(got[1].view(np.int64), size), *got[3:])):
+            column.append(x)
+        rest.append(packed[at:])
+    return [np.concatenate(c) for c in columns], rest
+
+
+def gram_rows(parts: int):
+    """Map side of the grams: rows of runs for the parts, and the runs whose gram two documents of the batch have."""
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            data, at = text_bytes(batch.column("text"))
+            ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_d"))
+            kept = []
+            for a, b, bounds, rows in segments(at):
+                text, start, count, gram = runs(data[a:b], bounds)
+                kept.append((rows[text], a + start - at[rows[text]], count, gram))
+            row, start, count, gram = (np.concatenate(x) for x in zip(*kept)) if kept else [np.zeros(0, np.int64)] * 4
+            if not len(row):
+                continue
+            order = np.argsort(gram, kind="stable")
+            heads, owner = _heads(gram[order]), ids[row[order]]
+            shared = np.minimum.reduceat(owner, heads) < np.maximum.reduceat(owner, heads)
+            known = np.zeros(len(row), bool)
+            known[order] = _spread(shared, heads, len(order))
+            witness = np.zeros(len(row), bool)
+            witness[order[heads[shared]]] = True
+            sent = np.flatnonzero(~known | witness)
+            out = _packed(ids, twins, row[sent], ((start[sent], 5), (np.where(witness, WITNESS, count)[sent], 1), (gram[sent], 6)), part_of(gram[sent], parts), parts)
+            place = (start << 8 | count)[known].astype("<u8")
+            own = _by_document(ids[row[known]], twins[row[known]], np.stack([place, gram[known].astype("<u8")], 1))
+            yield _parted(*out, [(-1 - doc % parts, doc, twin, marks) for doc, twin, marks in own])
 
+    return run
 
-def _mark_batches(rows: Iterator[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], MARK_NAMES)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], MARK_NAMES)
-
-
-MARK_NAMES = ["doc_id", "_d", "need", "at"]
-MARKS = "doc_id long, _d long, need boolean, at binary"
-
-
-def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side of the runs: whole repeats of a class (need: false), and class runs whose gram has other classes (true)."""
-    def settle(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for packed in held:
-            n, docs = np.frombuffer(packed, "<u4", 2).tolist()
-            at, got = 8, []
-            for m, width in ((docs, 8), (docs, 4), (docs, 4), (n, 5), (n, 1), (n, 6), (n, 6)):
-                x, at = _unplaned(packed, at, m, width)
-                got.append(x)
-            ids, twins, size, start, count, gram, whole = got
-            size = size.astype(np.int64)
-            for column, x in zip(columns, (np.repeat(ids, size), np.repeat(twins, size), start, count, gram, whole)):
-                column.append(x)
-        ids, twins, start, count, gram, whole = (np.concatenate(c) for c in columns)
-        ids, twins = ids.view(np.int64), twins.view(np.int64)
-        by = np.argsort(gram)
-        g = gram[by]
-        again = np.zeros(len(g), bool)
-        again[1:] = g[1:] == g[:-1]
-        again[:-1] |= again[1:].copy()
-        o = by[again]  # runs of grams that occur more than once
-        if not len(o):
-            return
-        o = o[np.lexsort((ids[o], whole[o], gram[o]))]
-        ids, twins, start, count, gram, whole = (x[o] for x in (ids, twins, start, count, gram, whole))
-        new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-        new_class = new_gram | np.concatenate([[True], whole[1:] != whole[:-1]])
-        first, group = np.flatnonzero(new_class), np.cumsum(new_gram) - 1
-        own = ids[first]  # the smallest document of each class
-        least = np.repeat(own, np.diff(np.concatenate([first, [len(o)]])))
-        of = group[first]
-        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        differ = np.minimum.reduceat(own, heads) < np.maximum.reduceat(own, heads)
-        place = (start << np.uint64(8) | count).astype("<u8")
-        full = ids > least
-        yield from _mark_batches(_by_document(ids[full], twins[full], False, place[full]))
-        need = ~full & differ[group]
-        key = (gram | np.uint64(part) << np.uint64(48)).astype("<u8")
-        yield from _mark_batches(_by_document(ids[need], twins[need], True, np.stack([place[need], key[need]], 1)))
 
+def _by_part(batches: Batches, settle) -> Batches:
+    """What `settle` makes of the packed rows of each part (sorted by part), and what passes through."""
     part, held = None, []
     for batch in batches:
-        for p, packed in zip(batch.column("part").to_pylist(), batch.column("runs").to_pylist()):
+        yield _passed(batch)
+        for p, packed in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist()):
+            if p < 0:
+                continue
             if p != part:
                 if held:
-                    yield from settle(part, held)
+                    yield from settle(held)
                 part, held = p, []
             held.append(packed)
     if held:
-        yield from settle(part, held)
-
+        yield from settle(held)
+
+
+def shared_grams(batches: Batches) -> Batches:
+    """Reduce side of the grams: the runs whose gram another document has, too."""
+    def settle(held: list[bytes]) -> Batches:
+        (ids, twins, start, count, gram), _ = _unpacked(held, (5, 1, 6))
+        order = np.argsort(gram)
+        ids, twins, start, count, gram = (x[order] for x in (ids, twins, start, count, gram))
+        heads, witness = _heads(gram), count == WITNESS
+        shared = (np.minimum.reduceat(ids, heads) < np.maximum.reduceat(ids, heads)) | np.logical_or.reduceat(witness, heads)
+        found = np.flatnonzero(_spread(shared, heads, len(gram)) & ~witness)
+        values = np.stack([(start << np.uint64(8) | count)[found].astype("<u8"), gram[found].astype("<u8")], 1)
+        rows = [(doc, twin, at, None) for doc, twin, at in _by_document(ids[found], twins[found], values)]
+        for i in range(0, len(rows), 20_000):
+            yield _marks(rows[i : i + 20_000])
+
+    yield from _by_part(batches, settle)
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes data[start:start+length] one after another."""
+    ends = np.cumsum(length)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)]
+
+
+def _classes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number for each of the strings that lie one after another in data: the same for equal bytes."""
+    ends = np.concatenate([[0], np.cumsum(length)])
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+    return strings.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def run_rows(parts: int, crowd: int):
+    """Map side of the bytes: runs for the parts, and whole repeats of a run that a smaller document of the batch has."""
+    def block(data, at, ids, twins, marks) -> pa.RecordBatch:
+        many = np.array([sum(map(len, m)) // 16 for m in marks], np.int64)
+        place, gram = np.frombuffer(b"".join(x for m in marks for x in m), "<u8").reshape(-1, 2).T
+        row, start, count = np.repeat(np.arange(len(marks)), many), (place >> np.uint64(8)).astype(np.int64), (place & np.uint64(255)).astype(np.int64)
+        length = count + LENGTH - 1
+        code = _classes(_gathered(data, at[row] + start, length), length)
+        least = np.full(code.max() + 1 if len(code) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(least, code, ids[row])
+        whole = ids[row] > least[code]
+        own = _by_document(ids[row[whole]], twins[row[whole]], place[whole])
+        o = np.flatnonzero(~whole)
+        row, start, count, gram, length = (x[o] for x in (row, start, count, gram, length))
+        order = np.argsort(gram, kind="stable")
+        heads = _heads(gram[order])
+        size = np.zeros(len(row), np.int64)
+        size[order] = _spread(np.diff(np.concatenate([heads, [len(row)]])), heads, len(row))
+        crowded = size > crowd
+        part = part_of(gram, parts).astype(np.int64)
+        part = np.where(crowded, (part + (_mixed(ids[row].view(np.uint64)) % np.uint64(parts)).astype(np.int64)) % parts, part)
+        out = _packed(ids, twins, row, ((start, 5), (count, 1), (gram, 6), (crowded.astype(np.int64), 1)), part, parts, _gathered(data, at[row] + start, length), length)
+        news = np.unique(gram[crowded])  # tells the gram's own part that there are others
+        if len(news):
+            none = np.zeros(len(news), np.int64)
+            more = _packed(ids, twins, none, ((none, 5), (none + WITNESS, 1), (news, 6), (none + 1, 1)), part_of(news, parts).astype(np.int64), parts)
+            out = (out[0] + more[0], out[1] + more[1])
+        return _parted(*out, [(-1 - doc % parts, doc, twin, x) for doc, twin, x in own])
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            data, at = text_bytes(batch.column("text"))
+            ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_d"))
+            marks = batch.column("_ats").to_pylist()
+            for a, b in blocks(at, 1 << 21):
+                yield block(data, at[a:b], ids[a:b], twins[a:b], marks[a:b])
 
-def class_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the class runs, from their documents."""
-    for batch in batches:
-        data, at = text_bytes(batch.column("text"))
-        out: list[list] = [[], [], [], [], []]
-        for i, (doc, twin, marks) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("_d").to_pylist(), batch.column("_ats").to_pylist())):
-            for place, key in np.frombuffer(b"".join(marks), "<u8").reshape(-1, 2).tolist():
-                start = int(at[i]) + (place >> 8)
-                for column, x in zip(out, (key - (1 << 64) if key >> 63 else key, doc, twin, place, data[start : start + (place & 255) + LENGTH - 1].tobytes())):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "doc_id", "_d", "place", "bytes"])
+    return run
 
 
 class BlindTrie:
@@ -283,6 +359,41 @@ class BlindTrie:
                 stack += [node[1][c] for c in sorted(node[1], reverse=True)]
 
 
+def multikey_quicksort(word: np.ndarray, starts: np.ndarray, order: np.ndarray, new: np.ndarray, shallow: int) -> None:
+    """Sorts the suffixes within each group (a True of `new` begins one) by eight-byte words to the shallow depth, in place.
+
+    All groups take a step at once: three-way partition by the median of three words. The middle part goes on to the
+    next word, and at the shallow depth it is left as a group; the outer parts go on at the same word.
+    """
+    heads = np.flatnonzero(new)
+    size = np.diff(np.concatenate([heads, [len(order)]]))
+    depth = np.zeros(len(heads), np.int64)
+    while True:
+        some = (size > 1) & (depth < shallow)
+        heads, size, depth = heads[some], size[some], depth[some]
+        if not len(heads):
+            return
+        first = np.cumsum(size) - size  # where each group begins among the active
+        at = np.arange(size.sum()) + np.repeat(heads - first, size)
+        members = order[at]
+        w = word[starts[members] + np.repeat(depth, size)]
+        x, y, z = w[first], w[first + size // 2], w[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), size)
+        less, more = w < pivot, w > pivot
+        same = ~(less | more)
+        n_less, n_same = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(same, first, dtype=np.int64)
+        to = np.zeros(len(at), np.int64)
+        for part, before in ((less, np.zeros(len(first), np.int64)), (same, n_less), (more, n_less + n_same)):
+            rank = np.cumsum(part) - part
+            to[part] = (rank - np.repeat(rank[first] - before - heads, size))[part]
+        order[to] = members
+        n_more = size - n_less - n_same
+        for begin, n in ((heads + n_less, n_same), (heads + n_less + n_same, n_more)):
+            new[begin[n > 0]] = True
+        heads = np.concatenate([heads, heads + n_less, heads + n_less + n_same])
+        size, depth = np.concatenate([n_less, n_same, n_more]), np.concatenate([depth, depth + 8, depth])
+
+
 def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes data[s:s+length], and for each in that order whether it equals the one before."""
     n = len(starts)
@@ -292,21 +403,10 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, sha
     word = np.zeros(len(data) + 8, np.uint64)
     for j in range(8):
         word = word << np.uint64(8) | padded[j : j + len(word)]
-    order = np.argsort(word[starts])
-    w = word[starts[order]]
-    new = np.concatenate([[True], w[1:] != w[:-1]])
-    for depth in range(8, shallow, 8):  # the multikey quicksort, a depth at a time: only ties are sorted on
-        tied = ~new | np.concatenate([~new[1:], [False]])
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        group = np.cumsum(new)[at]
-        w = word[starts[order[at]] + depth]
-        by = np.lexsort((w, group))
-        order[at] = order[at][by]
-        w = w[by]
-        fresh = np.concatenate([[True], (w[1:] != w[:-1]) | (group[1:] != group[:-1])])
-        new[at] |= fresh
+    first = (word[starts] >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(first, kind="stable")  # a radix sort: two bytes
+    new = np.concatenate([[True], first[order][1:] != first[order][:-1]])
+    multikey_quicksort(word, starts, order, new, shallow)
     # deep: groups that share `shallow` bytes
     heads = np.flatnonzero(new)
     size = np.diff(np.concatenate([heads, [n]]))
@@ -337,55 +437,89 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, sha
     return order, same
 
 
-def repeats(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Suffix-sort the class runs of grams (sorted by gram): starts of strings that a smaller document has."""
-    held: list[tuple] = []
-    size = 0
-
-    def settle() -> Iterator[pa.RecordBatch]:
-        ids, twins, place, texts = zip(*held)
-        ids, twins, place = np.array(ids), np.array(twins), np.array(place)
-        length = np.array([len(t) for t in texts])
-        count = length - LENGTH + 1
-        run = np.repeat(np.arange(len(texts)), count)
-        offset = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        starts = (np.cumsum(length) - length)[run] + offset
-        order, same = deep_shallow(np.frombuffer(b"".join(texts), np.uint8), starts)
-        heads = np.flatnonzero(~same)
-        owner = ids[run[order]]
-        least = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.concatenate([heads, [len(order)]])))
-        gone = order[owner > least]
-        if len(gone):
-            gone.sort()
-            at = (((place[run[gone]] >> 8) + offset[gone]) << 8 | 1).astype("<u8")
-            yield from _mark_batches(_by_document(ids[run[gone]], twins[run[gone]], False, at))
-
-    key = None
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "_d", "place", "bytes"))):
-            if row[0] != key and size >= most:
-                yield from settle()
-                held.clear()
-                size = 0
-            key = row[0]
-            held.append(row[1:])
-            size += len(row[4])
-    if held:
-        yield from settle()
-
-
-def repeated_places(docs: DataFrame) -> DataFrame:
+def _string_least(ids: np.ndarray, code: np.ndarray, length: np.ndarray, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the distinct runs: where each one's starts begin in the other two, for each start the least document with that string,
+    and the string's number."""
+    n = int(code.max()) + 1
+    owner, some = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
+    np.minimum.at(owner, code, ids)
+    some[code] = np.arange(len(code))
+    size = length[some]
+    texts, count = _gathered(data, begins[some], size), size - LENGTH + 1
+    first = np.cumsum(count) - count
+    of = np.repeat(np.arange(n), count)
+    starts = (np.cumsum(size) - size)[of] + np.arange(len(of)) - first[of]
+    order, same = deep_shallow(texts, starts)
+    heads = np.flatnonzero(~same)
+    least, number = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    least[order] = _spread(np.minimum.reduceat(owner[of[order]], heads), heads, len(of))
+    number[order] = np.cumsum(~same)
+    return first, least, number
+
+
+def repeats(batches: Batches, most: int = 1 << 21) -> Batches:
+    """Reduce side of the bytes: starts of strings that a smaller document has, and strings of crowded grams with their least documents."""
+    def sorted_part(ids, twins, start, count, crowded, data, begins) -> Iterator[tuple]:
+        length = count + LENGTH - 1
+        code = _classes(_gathered(data, begins, length), length)
+        first, least, number = _string_least(ids, code, length, data, begins)
+        row = np.repeat(np.arange(len(ids)), count)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        string = first[code[row]] + offset
+        gone = ids[row] > least[string]
+        edge = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1] | (row[1:] != row[:-1])]))
+        last = np.flatnonzero(gone & np.concatenate([~gone[1:] | (row[1:] != row[:-1]), [True]]))
+        at = ((start[row[edge]] + offset[edge]) << 8 | (last - edge + 1)).astype("<u8")
+        yield from ((doc, twin, x, None) for doc, twin, x in _by_document(ids[row[edge]], twins[row[edge]], at))
+        told = np.flatnonzero(crowded[row] & ~gone)
+        told = told[np.unique(np.stack([number[string[told]], row[told], offset[told]]), axis=1, return_index=True)[1]]
+        for k in told.tolist():
+            r, o = int(row[k]), int(offset[k])
+            b = int(begins[r]) + o
+            yield int(ids[r]), int(twins[r]), np.array([(int(start[r]) + o) << 8 | 1], "<u8").tobytes(), data[b : b + LENGTH].tobytes()
+
+    def settle(held: list[bytes]) -> Batches:
+        (ids, twins, start, count, gram, crowded), rest = _unpacked(held, (5, 1, 6, 1))
+        start, count, data = start.astype(np.int64), count.astype(np.int64), np.frombuffer(b"".join(rest), np.uint8)
+        length = np.where(count == WITNESS, 0, count + LENGTH - 1)
+        begins = np.cumsum(length) - length
+        order = np.argsort(gram, kind="stable")
+        heads = _heads(gram[order])
+        crowd = np.zeros(len(gram), bool)
+        crowd[order] = _spread(np.logical_or.reduceat(crowded[order] > 0, heads), heads, len(gram))
+        bounds, held_bytes = [0], np.concatenate([[0], np.cumsum(length[order])])
+        for h in [*heads[1:].tolist(), len(order)]:  # whole grams, about `most` bytes at a time
+            if held_bytes[h] - held_bytes[bounds[-1]] >= most or h == len(order):
+                bounds.append(h)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            o = order[a:b]
+            o = o[count[o] != WITNESS]
+            if len(o):
+                rows = list(sorted_part(ids[o], twins[o], start[o], count[o], crowd[o], data, begins[o]))
+                for i in range(0, len(rows), 20_000):
+                    yield _marks(rows[i : i + 20_000])
+
+    yield from _by_part(batches, settle)
+
+
+def repeated_places(docs: DataFrame, part_bytes: int = 1 << 24, crowd: int = CROWD) -> DataFrame:
     """doc_id, _d (hash of the text), _ats (binary rows of start << 8 | number of string starts) of what repeats."""
     spark = docs.sparkSession
     text = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50").select("doc_id", "_d", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = text.mapInArrow(run_rows(parts), "part int, runs binary").repartition(parts, "part").sortWithinPartitions("part")
-    marks = written(dealt.mapInArrow(classes, MARKS), "runs")
-    wanted = marks.where("need").groupBy("doc_id", "_d").agg(F.collect_list("at").alias("_ats"))
-    moved = text.join(wanted, ["doc_id", "_d"]).mapInArrow(class_bytes, "key long, doc_id long, _d long, place long, bytes binary")
-    sorted_ = moved.repartition("key").sortWithinPartitions("key")
-    found = written(sorted_.mapInArrow(repeats, MARKS), "repeats")
-    return marks.where("NOT need").unionByName(found).groupBy("doc_id", "_d").agg(F.collect_list("at").alias("_ats"))
+    with shuffles_reaped(spark):
+        total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+        dealt = text.mapInArrow(lean(gram_rows(parts)), PARTED).repartition(parts, "part").sortWithinPartitions("part")
+        grams = written(dealt.mapInArrow(lean(shared_grams), MARKS), "grams")
+        wanted = grams.groupBy("doc_id", "_d").agg(F.collect_list("at").alias("_ats"))
+        moved = text.join(wanted, ["doc_id", "_d"]).mapInArrow(lean(run_rows(parts, crowd)), PARTED)
+        found = written(moved.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(repeats), MARKS), "repeats")
+        told = found.where("string IS NOT NULL")
+        least = told.groupBy("string").agg(F.min("doc_id").alias("least"))
+        more = written(told.join(least, "string").where("doc_id > least").select("doc_id", "_d", "at"), "crowded")
+    discard(grams)
+    marks = found.where("string IS NULL").select("doc_id", "_d", "at").unionByName(more)
+    return marks.groupBy("doc_id", "_d").agg(F.collect_list("at").alias("_ats"))
 
 
 def covered(size: int, marks: list[bytes] | None) -> list[tuple[int, int]]:
@@ -399,22 +533,26 @@ def covered(size: int, marks: list[bytes] | None) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), reach[np.concatenate([new[1:], [True]])].tolist()))
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    typed = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_d", F.xxhash64("_text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    places = repeated_places(typed.select(F.col("doc_id").cast("long").alias("doc_id"), "_d", F.col("_text").alias("text")))
-    places = places.select(F.col("doc_id").alias("_id"), F.col("_d").alias("_twin"), "_ats")
-    return typed.join(places, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_d") == F.col("_twin")), "left")
+def _joined(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the text (never null) and the places that repeat, in two more columns, and their names."""
+    text, twin, own, other, ats = spare(docs, "own_text", "twin", "own_id", "other_twin", "ats")
+    typed = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    typed = typed.withColumns({twin: F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)), own: F.col("doc_id").cast("long")})
+    places = repeated_places(typed.select(F.col(own).alias("doc_id"), F.col(twin).alias("_d"), F.col(text).alias("text")))
+    places = places.select(F.col("doc_id").alias(own), F.col("_d").alias(twin), F.col("_ats").alias(ats))
+    return typed.join(places, [own, twin], "left"), text, ats
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their repeats cut out of `text` (characters cut in two go as a whole) and n_chars set anew."""
     names, kept = docs.columns, docs.schema
+    joined, own_text, ats = _joined(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            data, at = text_bytes(batch.column("_text"))
+            data, at = text_bytes(batch.column(own_text))
             texts = batch.column("text").to_pylist()
-            for i, marks in enumerate(batch.column("_ats").to_pylist()):
+            for i, marks in enumerate(batch.column(ats).to_pylist()):
                 if marks:
                     own, left, last = data[at[i] : at[i + 1]], [], 0
                     for a, b in covered(len(own), marks):
@@ -426,17 +564,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 fresh["n_chars"] = [old if t is None else len(t) for t, old in zip(texts, batch.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(fresh[n], batch.schema.field(n).type) if n in fresh else batch.column(n) for n in names], names)
 
-    return _joined(docs).select(*names, "_text", "_ats").mapInArrow(run, kept)
+    return joined.select(*names, own_text, ats).mapInArrow(lean(run), kept)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    joined, own_text, ats = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+    def run(batches: Batches) -> Batches:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
-            data, at = text_bytes(batch.column("_text"))
+            data, at = text_bytes(batch.column(own_text))
             rows = []
-            for i, marks in enumerate(batch.column("_ats").to_pylist()):
+            for i, marks in enumerate(batch.column(ats).to_pylist()):
                 own, last, gone, digest = data[at[i] : at[i + 1]], 0, 0, hashlib.sha256()
                 spans = covered(len(own), marks)
                 for a, b in spans:
@@ -447,8 +587,7 @@ def digests(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return joined.select("doc_id", "_text", "_ats").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", own_text, ats).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_deep_shallow(spark, sf_dir) -> DataFrame:
