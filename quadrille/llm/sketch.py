@@ -12,6 +12,8 @@ follows itself. Nothing of the input but doc_id and text is read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from .common import let
 CELLS = 4096
 
 
-def sketch(text: Column, words: int = 5, scale: int = 4) -> Column:
+def sketch(text: Column, words: int = 5, scale: int = 8) -> Column:
     """Sorted distinct shingle hashes that fall in the lowest 1/scale of the range."""
     below = -(2**63) + 2**64 // scale
     hashed = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -38,41 +40,81 @@ def containment(a: Column, b: Column, equal: Column) -> Column:
     return F.when(equal, 1.0).when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def cell_of(value: Column, bounds: list[int]) -> Column:
+    """Twice the number of bounds up to the value, and one more unless the value is a bound; null for null.
+
+    Bounds (sorted) are looked up in two steps, so a value meets about twice the root of them.
+    """
+    if not bounds:
+        return F.when(value.isNotNull(), F.lit(1))
+    step = math.isqrt(len(bounds)) + 1
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    fine = F.array(*map(longs, blocks))
+    place = lambda n: let(F.element_at(fine, F.greatest(n, F.lit(1))), lambda own: 2 * ((F.greatest(n, F.lit(1)) - 1) * step + F.size(F.filter(own, lambda x: x <= value))) + F.when(F.array_contains(own, value), 0).otherwise(1))
+    return F.when(value.isNotNull(), let(F.size(F.filter(longs(x[0] for x in blocks), lambda x: x <= value)), place))
+
+
+def first_bytes(text: Column) -> Column:
+    """The first seven bytes of a text as a number, in the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def _quantiles(column: Column, n: int) -> Column:
+    return F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(1, n)]), 4 * n)
+
+
+def with_buckets(docs: DataFrame, partitions: int) -> tuple[DataFrame, int]:
+    """docs with `_bucket`, ranges of (doc_id, text) of about equal counts in ascending order from 0, and how many there are.
+
+    Ranges are cut at quantiles of the ids. An id at which a quantile lies has a cell of its own, and so have null ids; a
+    crowded cell of one id is cut again at quantiles of the texts' first bytes.
+    """
+    found = docs.agg(_quantiles(F.col("doc_id"), CELLS)).first()[0]
+    cell = F.coalesce(cell_of(F.col("doc_id"), sorted(set(found or []))), F.lit(-1))
+    counts = {r.cell: r.n for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}  # 2 x CELLS rows at most
+    total = sum(counts.values())
+    crowded = [k for k, n in counts.items() if k % 2 == 0 or k == -1 if n * partitions > 2 * total]  # partitions / 2 at most
+    sub = F.lit(0)
+    if crowded:
+        texts = docs.where(cell.isin(crowded)).groupBy(cell.alias("cell")).agg(_quantiles(first_bytes(F.col("text")), 4 * partitions).alias("q")).collect()
+        for r in texts:
+            sub = F.when(cell == r.cell, cell_of(first_bytes(F.col("text")), sorted(set(r.q)))).otherwise(sub)
+        sizes = {(r.cell, r.sub): r.n for r in docs.groupBy(cell.alias("cell"), sub.alias("sub")).agg(F.count("*").alias("n")).collect()}
+    else:
+        sizes = {(k, 0): n for k, n in counts.items()}
+    bucket, filled = {}, 0
+    for key in sorted(sizes):
+        bucket[key] = filled * partitions // max(1, total)
+        filled += sizes[key]
+    numbers = {b: i for i, b in enumerate(sorted(set(bucket.values())))}
+    of = {key: numbers[b] for key, b in bucket.items()}
+    plain = F.array(*[F.lit(of.get((k, 0), -1)) for k in range(-1, max(counts, default=-1) + 1)])
+    number = F.element_at(plain, cell + 2)
+    for k in crowded:
+        own = [of.get((k, j), -1) for j in range(max(j for c, j in of if c == k) + 1)]
+        number = F.when(cell == k, F.element_at(F.array(*map(F.lit, own)), sub + 1)).otherwise(number)
+    return docs.withColumn("_bucket", number), len(numbers)
+
+
 def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     """Columns next_* from the document that follows in descending (doc_id, text); the last one gets the first.
 
-    The ids are dealt into ranges of about equal counts. Each range also gets the head of the range that follows as
-    a ghost row, so one window per range sees every neighbour and no task sees more than a range.
+    Each bucket also gets the head of the bucket that follows as a ghost row, so one window per bucket sees every
+    neighbour and no task sees more than a bucket. Rows that agree in id and in the first bytes stay in one bucket.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    cell = F.lit(-1) if low is None else F.coalesce(F.least(F.lit(CELLS - 1), F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit((high - low + 1) / CELLS))).cast("int"), F.lit(-1))
-    counts = {r.cell: (r.n, r.head) for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("doc_id").alias("head")).collect()}  # CELLS + 1 rows at most
-    if not counts:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in docs.columns])
-    total, bucket, heads, filled = sum(n for n, _ in counts.values()), {}, [], None
-    for k in sorted(counts):
-        if filled is None or filled >= total / partitions or k == 0:
-            heads.append(None)
-            filled = 0
-        bucket[k] = len(heads) - 1
-        heads[-1] = counts[k][1]
-        filled += counts[k][0]
-    numbers = F.array(*[F.lit(bucket.get(k, 0)) for k in range(-1, CELLS)])
-    dealt = docs.select("*", F.element_at(numbers, cell + 2).alias("_bucket"), F.lit(False).alias("_ghost"))
-    follows = {head: (k + 1) % len(heads) for k, head in enumerate(heads)}
-    ghosts = dealt.where(F.col("doc_id").isin([h for h in heads if h is not None]))
-    if None in follows:
-        ghosts = ghosts.unionByName(dealt.where("doc_id IS NULL").orderBy(F.desc_nulls_last("text")).limit(1))
-    named = [h for h in heads if h is not None]
-    table = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*[F.lit(follows[h]) for h in named])) if named else F.create_map(F.lit(0), F.lit(0))
-    moved = F.coalesce(F.element_at(table, F.col("doc_id")), F.lit(follows.get(None, 0)))
-    ghosts = ghosts.select(*docs.columns, moved.alias("_bucket"), F.lit(True).alias("_ghost"))
+    dealt, n = with_buckets(docs, partitions)
+    dealt = dealt.withColumn("_ghost", F.lit(False))
+    ids = dealt.groupBy("_bucket").agg(F.max("doc_id").alias("_id"))  # a row a bucket, `partitions` at most
+    firsts = dealt.join(F.broadcast(ids.withColumnRenamed("_bucket", "_b")), (F.col("_bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    heads = firsts.groupBy("_bucket").agg(F.max_by(F.struct(*docs.columns), "text").alias("h"))
+    ghosts = heads.select("h.*", ((F.col("_bucket") + 1) % max(n, 1)).alias("_bucket"), F.lit(True).alias("_ghost"))
     order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
     following = dealt.unionByName(ghosts).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in docs.columns])
     return following.where("NOT _ghost").drop("_bucket", "_ghost")
 
 
-def fingerprints(docs: DataFrame, words: int = 5, scale: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 5, scale: int = 8) -> DataFrame:
     """The sketch of every document, of its edited text, and the likeness of both and of the next document."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
