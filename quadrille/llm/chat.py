@@ -1,17 +1,22 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes windows of turns. Each turn costs the tokens of its formatted text; with the prefix sums of
-these costs the longest span of whole turns that fits is the next window. Each window but the first starts with the
-conversation's system turn (if its first turn is one) and repeats the last turns before the span, up to
-`history` tokens; repeated turns are context only. The loss mask covers the texts of the span's own assistant turns,
-so every target is learned once. A turn that exceeds the budget gets a window of its own.
+A conversation becomes windows of turns. Each turn costs the tokens of its formatted text; prefix sums of these costs
+run along the whole conversation, and the longest span of whole turns that fits the budget, found by a search in the
+prefix sums, is the next window. Each window but the first begins with the conversation's system turn (if its first
+turn is one) and repeats the last turns before the span, up to `history` tokens; both count towards the budget. The
+system turn is left out only where it doesn't fit with the span's first turn, and repeated turns make room before that.
+A turn that exceeds the budget by itself gets a window of its own. Repeated turns are context only: the loss mask covers
+the texts of the span's own assistant turns, so every target is learned once.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Inside role and text, `<|` and `<\\|` and so on get one
 more backslash before the bar, which takes their power and is undone in reading back; in a role also backslash and
 newline are escaped.
 
-Tasks stream the turns of their conversations in order (a sorted shuffle by conversation) and hold one window and its
-history; token counts and escapes are made before the shuffle, where a hot conversation is spread over all tasks.
+Token counts and escapes are made on all tasks. Turns are then sorted over ranges of (conversation, turn), so that a
+conversation of any length is spread; each range sums its costs, and a conversation that goes on from one range to the
+next (one a range at most) gets the sum before. The prefix sums cut a conversation into segments of `segment` tokens,
+which are windowed independently, each with copies of the system turn and of the last turns before it. A window doesn't
+cross the edge of a segment. `read_back` digests a conversation in order, which one task has to do, turn by turn.
 
 Edge cases: null text and role count as empty; a null conv_id is one conversation; null turns come first; rows of one
 turn number are ordered by role, then text, and repeated rows are turns of their own; an empty table gives an empty
@@ -22,12 +27,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Batches, lean, written
+
 START, END = "<|im_start|>", "<|im_end|>"
 BARE, ARMED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -64,65 +72,62 @@ WINDOW = "conv_id long, window long, text string, repeated long, turns long, tok
 MASK = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
-class _Windows:
-    """Windows of one conversation, turn by turn."""
-
-    def __init__(self, conv_id, budget: int, history: int):
-        self.conv_id, self.budget, self.history = conv_id, budget, history
-        self.system = None  # (turn text, cost)
-        self.context: list[tuple[str, int]] = []  # repeated in the open window
-        self.span: list[tuple[str, int, tuple[int, int] | None]] = []  # its own turns: text, cost, mask within the text
-        self.past: list[tuple[str, int]] = []  # last turns, for the history
-        self.cost = self.number = self.seen = 0
-
-    def add(self, role: str, shown: str, cost: int, mask):
-        """Take in a turn; the window that it closes, or None."""
-        closed = None
-        if self.span and self.cost + cost > self.budget:
-            closed = self.close()
-            self.context = [self.system] if self.system else []
-            tail, used = [], sum(c for _, c in self.context)
-            for text, c in reversed(self.past):
-                if sum(x[1] for x in tail) + c > self.history or used + c + cost > self.budget:
-                    break
-                tail.append((text, c))
-                used += c
-            self.context += reversed(tail)
-            self.cost = used
-        if self.seen == 0 and role == "system":
-            self.system = (shown, cost)
-        else:
-            self.past.append((shown, cost))
-            while len(self.past) > 1 and sum(c for _, c in self.past[1:]) >= self.history:
-                self.past.pop(0)
-        self.seen += 1
-        self.span.append((shown, cost, mask))
-        self.cost += cost
-        return closed
-
-    def close(self):
-        text, masks = [], []
-        at = 0
-        for shown, _ in self.context:
-            text.append(shown)
-            at += len(shown)
-        for shown, _, mask in self.span:
-            if mask:
-                masks.append({"start": at + mask[0], "length": mask[1]})
-            text.append(shown)
-            at += len(shown)
-        out = (self.conv_id, self.number, "".join(text), len(self.context), len(self.span), self.cost, masks)
-        self.number += 1
-        self.span = []
-        return out
-
-
-def format_chats(turns: DataFrame, path: str, pattern: str, budget: int = 1024, history: int = 192) -> DataFrame:
+def spans(costs: list[int], past: list[int], system: int | None, opens: bool, budget: int, history: int) -> list[tuple[int, int, int, bool]]:
+    """Windows of a segment's turns: first turn, end, turns of history before it, whether the system turn is repeated.
+
+    `past`: costs of the turns before the segment; `system`: cost of the system turn; `opens`: the segment's first turn is
+    the conversation's first (with a system turn: that turn, which is never history).
+    """
+    all_costs = past + costs
+    sums = np.concatenate([[0], np.cumsum(all_costs)]).astype(np.int64)
+    floor = len(past) + (opens and system is not None)
+    out, i = [], 0
+    while i < len(costs):
+        here, cost = len(past) + i, costs[i]
+        begins = opens and i == 0
+        kept = not begins and system is not None and system + cost <= budget
+        used = system if kept else 0
+        room = 0 if begins else max(0, min(history, budget - used - cost))
+        back = min(here, max(floor, int(np.searchsorted(sums, sums[here] - room))))
+        used += int(sums[here] - sums[back])
+        end = int(np.searchsorted(sums, sums[here] + budget - used, "right")) - 1
+        end = max(end, here + 1) - len(past)
+        out.append((i, end, here - back, kept))
+        i = end
+    return out
+
+
+def _segment_rows(rows: list[tuple], budget: int, history: int) -> list[tuple]:
+    """The windows of one segment from its rows (kind, number, role, shown, cost, at), copies first."""
+    copy = next((r for r in rows if r[0] == SYSTEM), None)
+    past, own = [r for r in rows if r[0] == PAST], [r for r in rows if r[0] == OWN]
+    if not own:
+        return []
+    opens = own[0][1] == 0
+    system = own[0] if opens and own[0][2] == "system" else copy
+    out, tail = [], len(END) + 1
+    for i, end, back, kept in spans([r[4] for r in own], [r[4] for r in past], system and system[4], opens, budget, history):
+        context = [system] * kept + (past + own)[len(past) + i - back : len(past) + i]
+        at = sum(len(r[3]) for r in context)
+        masks = []
+        for r in own[i:end]:
+            if r[5] >= 0:
+                masks.append({"start": at + r[5], "length": len(r[3]) - r[5] - tail})
+            at += len(r[3])
+        turns = context + own[i:end]
+        out.append((own[i][1], "".join(r[3] for r in turns), len(context), end - i, sum(r[4] for r in turns), masks))
+    return out
+
+
+SYSTEM, PAST, OWN = 0, 1, 2  # kinds of a segment's rows: copies of the system turn and of earlier turns, its own turns
+
+
+def format_chats(turns: DataFrame, path: str, pattern: str, budget: int = 1024, history: int = 192, segment: int = 65536) -> DataFrame:
     """Windows of all conversations: text, the number of repeated and of own turns, tokens, and the mask's spans.
 
-    The windows of a conversation lie together and in order within a partition.
+    `window` is the number of the window's first own turn in its conversation.
     """
-    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shown(batches: Batches) -> Batches:
         count = token_counter(path, pattern)
         for batch in batches:
             texts, costs, at = [], [], []
@@ -134,64 +139,104 @@ def format_chats(turns: DataFrame, path: str, pattern: str, budget: int = 1024,
             added = [pa.array(texts, pa.string()), pa.array(costs, pa.int64()), pa.array(at, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "shown", "cost", "at"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, tail = None, len(END) + 1
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), MASK))], ["conv_id", "window", "text", "repeated", "turns", "tokens", "mask"])
+    def summed(batches: Batches) -> Batches:
+        """The range's number, and for each turn how many turns and tokens of its conversation lie before it in the range."""
+        own, conv, turns_so_far, cost_so_far = TaskContext.get().partitionId(), (), 0, 0
+        for batch in batches:
+            number, before = [], []
+            for c, cost in zip(batch.column("conv_id").to_pylist(), batch.column("cost").to_pylist()):
+                if conv != (c,):
+                    conv, turns_so_far, cost_so_far = (c,), 0, 0
+                number.append(turns_so_far)
+                before.append(cost_so_far)
+                turns_so_far, cost_so_far = turns_so_far + 1, cost_so_far + cost
+            added = [pa.array([own] * len(batch), pa.int32()), pa.array(number, pa.int64()), pa.array(before, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "range", "number", "before"])
+
+    def windows(batches: Batches) -> Batches:
+        key, held = None, []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), MASK)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["conv_id", "window", "text", "repeated", "turns", "tokens", "mask"])
 
         for batch in batches:
             out = []
-            for conv, role, text, cost, at in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "shown", "cost", "at"))):
-                if open_ is None or open_.conv_id != conv:
-                    if open_:
-                        out.append(open_.close())
-                    open_ = _Windows(conv, budget, history)
-                if done := open_.add(role, text, cost, (at, len(text) - at - tail) if at >= 0 else None):
-                    out.append(done)
+            for conv, part, *row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "kind", "number", "role", "shown", "cost", "at"))):
+                if key != (conv, part):
+                    if held:
+                        out += [(key[0], *w) for w in _segment_rows(held, budget, history)]
+                    key, held = (conv, part), []
+                held.append(tuple(row))
             yield batch_of(out)
-        if open_:
-            yield batch_of([open_.close()])
+        if held:
+            yield batch_of([(key[0], *w) for w in _segment_rows(held, budget, history)])
 
     plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    costed = plain.mapInArrow(shown, "conv_id long, turn long, role string, text string, shown string, cost long, at long")
-    ordered = costed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "shown", "cost", "at").mapInArrow(windows, WINDOW)
+    costed = plain.mapInArrow(lean(shown), "conv_id long, turn long, role string, text string, shown string, cost long, at long")
+    order = ["conv_id", "turn", "role", "text"]
+    ordered = costed.repartitionByRange(*order).sortWithinPartitions(*order).drop("text", "turn")
+    ranges = written(ordered.mapInArrow(lean(summed), "conv_id long, role string, shown string, cost long, at long, range int, number long, before long"), "turns")
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("conv_id", "range").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"))
+    sums = totals.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), F.sum("cost").over(earlier).alias("cost_before"), F.sum("n").over(earlier).alias("turns_before"))
+    carried = F.broadcast(sums.where("turns_before IS NOT NULL"))  # a range goes on with one conversation at most: a row a range
+    whole = ranges.join(carried, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")), "left")
+    whole = whole.withColumns({"number": F.col("number") + F.coalesce("turns_before", F.lit(0)), "before": F.col("before") + F.coalesce("cost_before", F.lit(0))})
+    placed = whole.select("conv_id", F.floor(F.col("before") / segment).alias("segment"), F.lit(OWN).alias("kind"), "number", "role", "shown", "cost", "at", "before")
+    opening = (F.col("number") == 0) & (F.col("role") == "system")
+    reach = F.floor((F.col("before") + F.col("cost") + history) / segment)
+    past = placed.where(~opening & (reach > F.col("segment"))).withColumns({"kind": F.lit(PAST), "segment": F.explode(F.sequence(F.col("segment") + 1, reach))})
+    later = placed.where("segment > 0").select(F.col("conv_id").alias("c"), F.col("segment").alias("later")).distinct()
+    system = placed.where(opening).join(later, F.col("conv_id").eqNullSafe(F.col("c"))).withColumns({"kind": F.lit(SYSTEM), "segment": F.col("later")})
+    names = ["conv_id", "segment", "kind", "number", "role", "shown", "cost", "at"]
+    dealt = placed.select(names).unionByName(past.select(names)).unionByName(system.select(names)).repartition("conv_id", "segment")
+    return dealt.sortWithinPartitions("conv_id", "segment", "kind", "number").mapInArrow(lean(windows), WINDOW)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """From the formatted windows alone: turns, targets and their digests for each conversation."""
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plain(batches: Batches) -> Batches:
+        """What each window adds to the digests, unescaped."""
+        for batch in batches:
+            turns, said, n = [], [], []
+            for text, repeated, mask in zip(*(batch.column(c).to_pylist() for c in ("text", "repeated", "mask"))):
+                own = TURN.findall(text)[repeated:]
+                turns.append("".join(f"{unescape_role(role)}\n{unescape(body)}\n" for role, body in own))
+                said.append("".join(unescape(text[m["start"] : m["start"] + m["length"]]) for m in mask))
+                n.append(len(own))
+            chars = [len(t) for t in batch.column("text").to_pylist()]
+            columns = [pa.array(turns, pa.string()), pa.array(said, pa.string()), pa.array(n, pa.int64()), pa.array(chars, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("window"), *columns], ["conv_id", "window", "said_turns", "said", "n", "chars"])
+
+    def digest(batches: Batches) -> Batches:
         conv, state = None, None
 
-        def row():
+        def row() -> tuple:
             turns, said, n, chars, total = state
             return (conv[0], n, turns.hexdigest(), chars, said.hexdigest(), total)
 
-        def batch_of(rows):
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for batch in batches:
             out = []
-            for own, text, repeated, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "repeated", "mask"))):
-                if conv is None or conv[0] != own:
+            for own, turns, said, n, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "said_turns", "said", "n", "chars"))):
+                if conv != (own,):
                     if conv:
                         out.append(row())
                     conv, state = (own,), [hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
-                for role, body in TURN.findall(text)[repeated:]:
-                    state[0].update(f"{unescape_role(role)}\n{unescape(body)}\n".encode())
-                    state[2] += 1
-                for span in mask:
-                    target = unescape(text[span["start"] : span["start"] + span["length"]])
-                    state[1].update(target.encode())
-                    state[3] += len(target)
-                state[4] += len(text)
+                state[0].update(turns.encode())
+                state[1].update(said.encode())
+                state[2:] = state[2] + n, state[3] + len(said), state[4] + chars
             yield batch_of(out)
         if conv:
             yield batch_of([row()])
 
-    return windows.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    said = windows.mapInArrow(lean(plain), "conv_id long, window long, said_turns string, said string, n long, chars long")
+    ordered = said.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return ordered.mapInArrow(lean(digest), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def with_planted(spark: SparkSession, turns: DataFrame) -> DataFrame:
