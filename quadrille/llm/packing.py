@@ -4,8 +4,8 @@ Each document's ids (with an end mark) are cut into windows of the full capacity
 The rests of a block are parted into as few windows as could hold them: every rest starts as a partial partition of
 its own, and the two partial partitions of the largest imbalance merge, largest window with smallest, until one is
 left, whose windows are near-equal. Where a window exceeds the capacity the window count rises and all is parted
-anew. Rests stay whole unless that leaves more than `padding` of the windows empty; then they are cut into smaller
-pieces, which even out better. What would begin a poorly filled window waits for the next block, and at a
+anew. Rests stay whole where six or more go into a window, else they are cut into smaller pieces, which even out to
+less than `padding`. What would begin a poorly filled window waits for the next block, and at a
 partition's end is dealt out in sequences of power-of-two lengths, which aren't padded.
 
 A task packs the documents of its partition block by block, and a block is bounded by ids and by rests, so memory
@@ -167,12 +167,17 @@ COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 
-def block_windows(sizes: list[int], capacity: int, padding: float) -> list[list[tuple[int, int, int]]]:
-    """The rests of a block in windows of pieces (rest, start, length)."""
-    for most in (capacity, capacity // 4, capacity // 8):
+def block_windows(sizes: list[int], capacity: int, padding: float, slack: float) -> list[list[tuple[int, int, int]]]:
+    """The rests of a block in windows of pieces (rest, start, length).
+
+    `slack`: ids that a window is expected to stay short of, where the window count starts. Rests are cut into quarters
+    of a window where there are fewer than six of them a window, and into eighths where that leaves too much padding.
+    """
+    total = sum(sizes)
+    for most in (capacity if len(sizes) * capacity >= 6 * total else capacity // 4, capacity // 8):
         pieces = [(i, at, min(most, size - at)) for i, size in enumerate(sizes) for at in range(0, size, most)]
-        parts = windows_of([n for _, _, n in pieces], capacity, -(-sum(sizes) // capacity))
-        if sum(sizes) >= (1 - padding) * capacity * len(parts):
+        parts = windows_of([n for _, _, n in pieces], capacity, max(-(-total // capacity), int(total / (capacity - slack))))
+        if total >= (1 - padding) * capacity * len(parts):
             break
     return [[pieces[k] for k in part] for part in parts]
 
@@ -186,7 +191,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, block: int = 256, m
         own, names = WordTokenizer(path), NAMES + ["ids"] * keep_ids
         next_id = TaskContext.get().partitionId() << 40
         rests: list[tuple] = []  # doc_id, ids, start and length of the rest
-        waiting, rows = 0, {n: [] for n in names}
+        waiting, slack, rows = 0, 0.0, {n: [] for n in names}
 
         def lay(sequence: list[tuple], offset: int = 0) -> None:
             nonlocal next_id
@@ -203,7 +208,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, block: int = 256, m
 
         def pack() -> None:
             """Pack what fills windows; what is beyond that keeps waiting."""
-            nonlocal waiting
+            nonlocal waiting, slack
             kept, fill = [], waiting // (capacity - 8) * (capacity - 8)
             while waiting > fill:
                 doc_id, ids, start, length = rests.pop()
@@ -213,7 +218,9 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, block: int = 256, m
                     start, length, waiting = start + fill - waiting, length - (fill - waiting), fill
                 kept.append((doc_id, ids, start, length))
             if rests:
-                lay_all(block_windows([r[3] for r in rests], capacity, padding))
+                parts = block_windows([r[3] for r in rests], capacity, padding, slack)
+                slack = 0.9 * min(capacity - fill / len(parts), padding * capacity)
+                lay_all(parts)
             rests[:] = reversed(kept)
             waiting = sum(r[3] for r in rests)
 
