@@ -32,7 +32,7 @@ from .common import lean
 #: Cuts a text where PATTERN always cuts too: words with the one space before them, and white space.
 ROUGH = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
 
-MOST_WORDS = 200_000
+MOST_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -139,7 +139,7 @@ class Codec:
         self.size, self.start = size, np.cumsum(size) - size
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.split(c) for c in chunks]
         new = list({w for p in parts for w in p if w not in self.done})
         if len(self.done) + len(new) > MOST_WORDS:
@@ -150,10 +150,11 @@ class Codec:
         done.update((w, (ranks[b],)) for w, b in zip(new, coded) if b in ranks)
         rest = [(w, b) for w, b in zip(new, coded) if b not in ranks]
         done.update(zip([w for w, _ in rest], map(tuple, replay([b for _, b in rest], ranks, self.tokens))))
-        out = [done[p[0]] if len(p) == 1 else [t for w in p for t in done[w]] for p in parts]
+        sizes = np.array([sum(len(done[w]) for w in p) for p in parts], np.int64)
+        flat = np.array([t for p in parts for w in p for t in done[w]], np.uint32)
         if len(done) > MOST_WORDS:
             self.done = {}
-        return out
+        return flat, sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.cache.ids([ROUGH.findall(t) for t in texts])

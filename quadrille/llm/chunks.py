@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
 
 class ChunkIds:
-    """Ids of every chunk seen, computed once each by `encode` (list of chunks to list of id lists).
+    """Ids of every chunk seen, computed once each by `encode` (a list of chunks to all their ids and how many each has).
 
     Kept in flat arrays; where new chunks would make more than `most`, all is forgotten first, and a call that has more
     by itself leaves nothing behind. Callers pass texts of bounded size at a time, so memory stays bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -26,30 +26,29 @@ class ChunkIds:
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The ids of each text, given as its chunks."""
-        found, lacking, new = self._known(texts)
-        if len(self.number) and len(self.number) + len(new) > self.most:
+        chunks = list(chain.from_iterable(texts))
+        which, holes, new = self._known(chunks)
+        if self.number and len(self.number) + len(new) > self.most:
             self.clear()
-            found, lacking, new = self._known(texts)
-        number = self.number
-        for chunk, ids in zip(new, self.encode(new)):
-            number[chunk] = len(self.ends) - 1
-            self.flat.extend(ids)
-            self.ends.append(len(self.flat))
-        for chunks, which, holes in zip(texts, found, lacking):
-            which[holes] = [number[chunks[i]] for i in holes.tolist()]
-        flat, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
-        out = []
-        for which in found:
-            start = ends[which]
-            size = ends[which + 1] - start
-            last = np.cumsum(size)
-            out.append(flat[np.arange(last[-1] if len(last) else 0) + np.repeat(start - (last - size), size)])
-        if len(number) > self.most:
+            which, holes, new = self._known(chunks)
+        if new:
+            flat, sizes = self.encode(new)
+            self.number.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new))))
+            self.ends.frombytes((len(self.flat) + np.cumsum(sizes, dtype=np.int64)).tobytes())
+            self.flat.frombytes(flat.astype(np.uint32).tobytes())
+            which[holes] = np.fromiter(map(self.number.__getitem__, [chunks[i] for i in holes.tolist()]), np.int64, len(holes))
+        flat, ends = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
+        start, size = ends[which], ends[which + 1] - ends[which]
+        last = np.concatenate([[0], np.cumsum(size)])
+        found = flat[np.arange(last[-1]) + np.repeat(start - last[:-1], size)]
+        cuts = last[np.cumsum([len(t) for t in texts], dtype=np.int64)] if texts else []
+        del flat, ends, start  # views keep the arrays from growing
+        if len(self.number) > self.most:
             self.clear()
-        return out
+        return [found[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
-    def _known(self, texts: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], list[str]]:
+    def _known(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The number of each chunk or -1, the places of those, and the new chunks."""
-        found = [np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks)) for chunks in texts]
-        lacking = [np.flatnonzero(which < 0) for which in found]
-        return found, lacking, list(dict.fromkeys(chunks[i] for chunks, holes in zip(texts, lacking) for i in holes.tolist()))
+        which = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        holes = np.flatnonzero(which < 0)
+        return which, holes, list(dict.fromkeys([chunks[i] for i in holes.tolist()]))

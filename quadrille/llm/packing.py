@@ -63,18 +63,20 @@ class WordTokenizer:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache = ChunkIds(self._encode)
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(pieces), 5000):
             part = pieces[i : i + 5000]
             ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
-                flat = ids.tolist()
-                out += [flat[a:b] for a, b in zip([0, *ends], ends)]
+                flat.append(ids[: ends[-1]])
+                sizes.append(np.diff(ends, prepend=0))
             else:
-                out += [e.ids for e in self.own.encode_batch_fast(part, add_special_tokens=False)]
-        return out
+                each = [e.ids for e in self.own.encode_batch_fast(part, add_special_tokens=False)]
+                flat.append(np.array([t for own in each for t in own], np.int64))
+                sizes.append(np.array([len(own) for own in each], np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         odd = {i for i, t in enumerate(texts) if "<|" in t or (ODD.search(t) if not t.isascii() or any(c in t for c in "\x1c\x1d\x1e\x1f") else False)}
