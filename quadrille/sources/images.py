@@ -82,7 +82,22 @@ def decoded(content: Column, decoder: Callable[[bytes], dict] = tiff) -> Column:
         names = ["height", "width", "left", "bottom", "right", "top", "data"]
         return pd.DataFrame([decoder(bytes(x)) if x is not None else dict.fromkeys(names) for x in v], columns=names)
 
-    return run(content)
+    return F.when(content.isNotNull(), run(content))
+
+
+PICTURE = "struct<height:int,width:int,channels:int,data:array<int>>"
+
+
+def picture(content: Column, decoder: Callable[[bytes], np.ndarray] = png) -> Column:
+    """Binary column of pictures to a struct with all samples, row by row, pixel by pixel; null stays null."""
+
+    @F.pandas_udf(PICTURE)
+    def run(v: pd.Series) -> pd.DataFrame:
+        found = [None if x is None else decoder(bytes(x)) for x in v]
+        rows = [(None,) * 4 if p is None else (*p.shape, p.astype(int).ravel().tolist()) for p in found]
+        return pd.DataFrame(rows, columns=["height", "width", "channels", "data"])
+
+    return F.when(content.isNotNull(), run(content))
 
 
 def write_tiff(data: np.ndarray, left: float = 0.0, top: float = 0.0, pixel: float = 1.0) -> bytes:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.sources.images import decoded, picture
+
 
 def read_metadata(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A metadata table; a timestamp in text becomes a timestamp without zone. Positions stay two plain columns."""
@@ -44,23 +50,69 @@ def band_columns(names: list[str], extra: str = "cloud_mask") -> list[str]:
     return [n for n in names if n.startswith("B")] + [extra] * (extra in names)
 
 
+def read_samples(meta: DataFrame, images: DataFrame, rasters: list[str], pictures: list[str] = ["thumbnail"], raster: Callable = decoded, image: Callable = picture) -> DataFrame:  # noqa: B006
+    """Metadata rows with the decoded bands and pictures of the archive rows they point to (images as `archive` reads them)."""
+    own = images.select("parquet_url", "parquet_row", *[raster(F.col(b)).alias(b) for b in rasters], *[image(F.col(p)).alias(p) for p in pictures])
+    return rows_of(meta, own)
+
+
+def rows_one_by_one(df: DataFrame) -> Iterator[Row]:
+    """The rows, fetched a partition at a time as they are asked for."""
+    return df.toLocalIterator(prefetchPartitions=True)
+
+
 def row_at(df: DataFrame, ordinal: int, order: list[str]) -> DataFrame:
     """The row at a position of a total order, counted from 0, without a global sort on one task.
 
-    Counts of range partitions tell which of them holds the position.
+    Only the ordering columns are sorted; counts of range partitions tell which of them holds the position. Rows that
+    agree in all of them are told apart by nothing, so the order has to be total.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()
-    before = 0
+    keys = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()
     try:
-        for p, n in sorted((r._p, r.n) for r in ordered.groupBy("_p").agg(F.count("*").alias("n")).collect()):  # one row a partition
+        before = 0
+        for p, n in sorted((r._p, r.n) for r in keys.groupBy("_p").agg(F.count("*").alias("n")).collect()):  # one row a partition
             if ordinal < before + n:
-                w = Window.partitionBy("_p").orderBy(*order)
-                row = ordered.where(F.col("_p") == p).withColumn("_k", F.row_number().over(w)).where(F.col("_k") == ordinal - before + 1).drop("_p", "_k")
-                return df.sparkSession.createDataFrame(row.collect(), df.schema)
+                rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+                found = keys.where(F.col("_p") == p).withColumn("_k", rank).where(F.col("_k") == ordinal - before + 1).drop("_p", "_k").first()
+                return df.where(reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(found[c])) for c in order])).limit(1)
             before += n
         raise IndexError(f"there is no row {ordinal}; the table has {before}")
     finally:
-        ordered.unpersist()
+        keys.unpersist()
+
+
+@dataclass
+class SampleTable:
+    """Samples of an unpacked tree by their metadata: `len`, one by position, or all as a table.
+
+    `raster_transform` and `picture_transform` take and return columns: a raster struct and a picture struct.
+    """
+
+    meta: DataFrame
+    root: str
+    rasters: list[str] = field(default_factory=lambda: ["B04", "B03", "B02"])
+    pictures: list[str] = field(default_factory=lambda: ["thumbnail"])
+    raster_transform: Callable[[Column], Column] = lambda column: column
+    picture_transform: Callable[[Column], Column] = lambda column: column
+    order: tuple[str, ...] = ("grid_cell", "product_id")
+
+    def __len__(self) -> int:
+        return self.meta.count()
+
+    def samples(self, meta: DataFrame | None = None) -> DataFrame:
+        """Metadata rows with a column for each band and picture; null where the tree lacks the file."""
+        out = self.meta if meta is None else meta
+        files = unpacked_files(out.sparkSession, self.root)
+        for names, decode, change in ((self.rasters, decoded, self.raster_transform), (self.pictures, picture, self.picture_transform)):
+            for name in names:
+                own = files.where(F.col("band") == name).select("grid_cell", "product_id", change(decode(F.col("content"))).alias(name))
+                out = out.join(own, ["grid_cell", "product_id"], "left")
+        return out
+
+    def __getitem__(self, ordinal: int) -> Row:
+        if ordinal < 0:
+            raise IndexError("positions count from 0")
+        return self.samples(row_at(self.meta, ordinal, list(self.order))).first()
 
 
 def unpacked_files(spark: SparkSession, root: str) -> DataFrame:

@@ -9,9 +9,9 @@ from quadrille.functions.text import sample_path
 
 
 def unpack(samples: DataFrame, path: str, source: str) -> None:
-    """Samples as Parquet by grid row, each with the path it has in an unpacked tree."""
+    """Samples as Parquet by grid row, each with the path it has in an unpacked tree; a large row is written by several tasks."""
     placed = samples.withColumn("path", sample_path(F.lit(source), F.col("grid_cell"), F.col("product_id"))).withColumn("grid_row", F.split_part("grid_cell", F.lit("_"), F.lit(1)))
-    placed.repartition("grid_row").write.mode("overwrite").partitionBy("grid_row").parquet(path)
+    placed.hint("rebalance", "grid_row").write.mode("overwrite").partitionBy("grid_row").parquet(path)
 
 
 def unpack_files(samples: DataFrame, root: str, source: str, bands: list[str], thumbnail: str = "thumbnail") -> None:
