@@ -80,7 +80,7 @@ def spans(costs: list[int], past: list[int], system: int | None, opens: bool, bu
     """
     all_costs = past + costs
     sums = np.concatenate([[0], np.cumsum(all_costs)]).astype(np.int64)
-    floor = len(past) + (opens and system is not None)
+    floor = int(opens and system is not None)
     out, i = [], 0
     while i < len(costs):
         here, cost = len(past) + i, costs[i]

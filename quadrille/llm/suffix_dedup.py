@@ -15,8 +15,8 @@ alike meet in one task, and no others are moved, the corpus is first thinned:
    smallest document's are repeats.
 3. Repeats return to their documents as byte ranges.
 
-A gram that is crowded in a batch (a common line in ever other surroundings) is dealt over all parts by document.
-Each part then sends one row for each of the gram's strings it holds, with its least document, and the least of all is
+A gram that is crowded in a batch (a common line in ever other surroundings) is dealt by document over so many parts
+that each gets about `SLICE` of its runs. Each of these parts then sends one row for each of the gram's strings it holds, with its least document, and the least of all is
 a grouped minimum. No step pairs documents or holds all runs of a gram. A part stands for about `part_bytes` of text,
 so memory doesn't grow with the corpus. Long texts are cut into overlapping segments, so arrays stay small.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Batches, blocks, discard, lean, shuffles_reaped, spare, text_bytes, written
 
 LENGTH, GRAM, SEGMENT = 50, 24, 1 << 20
-LONGEST_RUN, WITNESS, CROWD = 254, 255, 64
+LONGEST_RUN, WITNESS, CROWD, SLICE = 254, 255, 256, 64
 SHALLOW = 16
 MIX, ROOT = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 
@@ -299,8 +299,8 @@ def run_rows(parts: int, crowd: int):
         size = np.zeros(len(row), np.int64)
         size[order] = _spread(np.diff(np.concatenate([heads, [len(row)]])), heads, len(row))
         crowded = size > crowd
-        part = part_of(gram, parts).astype(np.int64)
-        part = np.where(crowded, (part + (_mixed(ids[row].view(np.uint64)) % np.uint64(parts)).astype(np.int64)) % parts, part)
+        slices = np.where(crowded, np.minimum(parts, -(-size // SLICE)), 1).astype(np.uint64)
+        part = (part_of(gram, parts).astype(np.int64) + (_mixed(ids[row].view(np.uint64)) % slices).astype(np.int64)) % parts
         out = _packed(ids, twins, row, ((start, 5), (count, 1), (gram, 6), (crowded.astype(np.int64), 1)), part, parts, _gathered(data, at[row] + start, length), length)
         news = np.unique(gram[crowded])  # tells the gram's own part that there are others
         if len(news):
