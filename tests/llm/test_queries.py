@@ -36,9 +36,10 @@ def docs_table(rows):
 
 def tables(folder, rows, vectors, turns, pages, labels):
     pq.write_table(docs_table(rows), f"{folder}/documents.parquet")
-    pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())), "id": pa.array(["z"] * len(vectors), pa.string())}), f"{folder}/embeddings.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())), "label": pa.array([None if k % 3 == 0 else k % 2 for k in range(len(vectors))], pa.int32()), "id": pa.array(["z"] * len(vectors), pa.string())}), f"{folder}/embeddings.parquet")
     pq.write_table(pa.table({n: pa.array([t[k] for t in turns], kind) for k, (n, kind) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("shown", pa.string())))}), f"{folder}/conversations.parquet")
     pq.write_table(pa.table({n: pa.array([p[k] for p in pages], kind) for k, (n, kind) in enumerate((("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("host", pa.string())))}), f"{folder}/pages.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([1, 2] if rows else [], pa.int64()), "text": pa.array(["One two, the PASSAGE", None] if rows else [], pa.string())}), f"{folder}/benchmark.parquet")
     pq.write_table(pa.table({n: pa.array([x[k] for x in labels], pa.int64()) for k, n in enumerate(("doc_id", "quality", "toxic"))}), f"{folder}/labels.parquet")
     return str(folder)
 
