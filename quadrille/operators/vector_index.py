@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -63,22 +65,59 @@ def sample_per_file(df: DataFrame, file: str, id_column: str, per_file: int = 30
     return picked.drop("_k", "_n")
 
 
+def _spread(values: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(values, np.float32).reshape(-1, width)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of an Arrow column of vectors, all known and of one width."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), width)
+
+
+def nearest_rows(x: np.ndarray, centroids: np.ndarray, count: int = 1, block: int = 1 << 22) -> np.ndarray:
+    """The `count` nearest centroids of each row of x, nearest first, ties to the smaller number.
+
+    Products of a block of rows with a block of centroids hold `block` numbers at most, whatever the sizes.
+    """
+    out = np.zeros((len(x), count), np.int32)
+    wide = max(count, min(len(centroids), 4096))
+    step = max(1, block // (wide + count))
+    halves = [(centroids[first : first + wide].astype(np.float64) ** 2).sum(1) / 2 for first in range(0, len(centroids), wide)]
+    for at in range(0, len(x), step):
+        rows = x[at : at + step].astype(np.float64)
+        best, which = np.full((len(rows), 0), np.inf), np.zeros((len(rows), 0), np.int32)
+        for first in range(0, len(centroids), wide):
+            part = halves[first // wide] - rows @ centroids[first : first + wide].T.astype(np.float64)
+            here = np.broadcast_to(np.arange(first, first + part.shape[1], dtype=np.int32), part.shape)
+            if count == 1:
+                least = part.argmin(1)[:, None]
+                part, here = np.take_along_axis(part, least, 1), np.take_along_axis(here, least, 1)
+            best, which = np.concatenate([best, part], 1), np.concatenate([which, here], 1)
+            keep = np.argsort(best, axis=1, kind="stable")[:, :count]  # centroids come in order, so ties keep the smaller number
+            best, which = np.take_along_axis(best, keep, 1), np.take_along_axis(which, keep, 1)
+        out[at : at + step] = which
+    return out
+
+
 def nearest_centroid(df: DataFrame, centroids: np.ndarray, vector: str = "embedding", name: str = "list_id") -> DataFrame:
-    """Adds the number of the nearest centroid (a matrix of bounded size), by matrix products over Arrow batches; null
-    for vectors that are null, of another length or not finite."""
-    half = (centroids**2).sum(1) / 2
+    """Adds the number of the nearest centroid (a matrix of bounded size, broadcast), by products of blocks; null for
+    vectors that are null, of another length or not finite."""
+    shared = df.sparkSession.sparkContext.broadcast(centroids)
+    width = centroids.shape[1]
 
     @F.pandas_udf("int")
     def assign(v: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(v), dtype="Int32")
-        known = v.notna().to_numpy()
-        if known.any():
-            out[known] = (half - np.stack(v[known].to_numpy()).astype(np.float64) @ centroids.T).argmin(1).astype(np.int32)
+        known = np.flatnonzero(v.notna())
+        for at in range(0, len(known), 4096):
+            rows = known[at : at + 4096]
+            out.iloc[rows] = nearest_rows(np.stack(v.iloc[rows].to_numpy()).reshape(-1, width), shared.value)[:, 0]
         return out
 
     x = F.col(vector)
     assign = assign.asNondeterministic()  # so that a filter on the list doesn't repeat the whole expression
-    return df.withColumn(name, assign(F.when(sound(x, centroids.shape[1]), doubles(x))))
+    return df.withColumn(name, assign(F.when(sound(x, width), doubles(x))))
 
 
 def kmeans(df: DataFrame, k: int, vector: str, seed: int = 0, rounds: int = 10) -> np.ndarray:
@@ -86,82 +125,358 @@ def kmeans(df: DataFrame, k: int, vector: str, seed: int = 0, rounds: int = 10)
     return np.array(model.clusterCenters())
 
 
+def shares(worth: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
+    """`total` dealt in proportion to `worth` (largest remainders), one at least where the count isn't 0, and the count at most."""
+    total = int(min(total, counts.sum()))
+    out = np.minimum(counts, 1)
+    while (left := total - int(out.sum())) > 0:
+        able = out < counts
+        weight = np.where(able, np.maximum(worth, 1e-12), 0.0)
+        more = np.minimum(np.floor(left * weight / weight.sum()).astype(np.int64), counts - out)
+        if not more.any():
+            want = left * weight / weight.sum()
+            more[np.argsort(-want, kind="stable")[: min(left, int(able.sum()))]] = 1
+        out = out + more
+    return out
+
+
+def _means(parts: DataFrame) -> list[dict]:
+    """Of partial sums (g, e, n, total: bytes of doubles) the mean of each (g, e), as bytes of floats."""
+    def merged(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        out = [(key[0], e, (np.sum([np.frombuffer(t) for t in rows["total"]], axis=0) / rows["n"].sum()).astype(np.float32).tobytes()) for e, rows in own.groupby("e")]
+        return pd.DataFrame(out, columns=["g", "e", "mean"])
+
+    return parts.groupBy("g").applyInPandas(merged, "g int, e int, mean binary").toArrow().to_pylist()  # the codebook's own size
+
+
+def lloyd(df: DataFrame, books: list[np.ndarray], cut: Callable[[np.ndarray, int], np.ndarray], groups: str | None = None, rounds: int = 8, block: int = 4096) -> list[np.ndarray]:
+    """Rounds of k-means on many codebooks at once over the vectors (column v: array<float>) of df.
+
+    Without `groups` each vector feeds every codebook by its part cut(rows, g) (product quantisation); with it, only
+    the codebook that the column names (the second level of a hierarchy), and df should be sorted by it. A task keeps sums
+    of the codebooks it meets and sends one row for each entry; entries without vectors stay.
+    """
+    spark = df.sparkSession
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(books)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, kept = shared.value, {}
+
+            def add(g: int, x: np.ndarray) -> None:
+                if g not in kept:
+                    kept[g] = np.zeros(len(own[g]), np.int64), np.zeros(own[g].shape)
+                which = nearest_rows(x, own[g])[:, 0]
+                order = np.argsort(which, kind="stable")
+                heads = np.flatnonzero(np.diff(which[order], prepend=-1))
+                kept[g][0][which[order][heads]] += np.diff(np.append(heads, len(order)))
+                kept[g][1][which[order][heads]] += np.add.reduceat(x[order].astype(np.float64), heads, axis=0)
+
+            def told() -> Iterator[pa.RecordBatch]:
+                for g, (n, total) in kept.items():
+                    used = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), g, np.int32)), pa.array(used.astype(np.int32)), pa.array(n[used]), pa.array([total[e].tobytes() for e in used], pa.binary())], ["g", "e", "n", "total"])
+                kept.clear()
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, block):
+                    part = batch.slice(at, block)
+                    column = part.column("v")
+                    x = _spread(column.flatten().to_numpy(zero_copy_only=False), len(column.flatten()) // len(column))
+                    if groups is None:
+                        for g in range(len(own)):
+                            add(g, cut(x, g))
+                    else:
+                        of = part.column(groups).to_numpy(zero_copy_only=False)
+                        for g in np.unique(of).tolist():
+                            add(g, x[of == g])
+                        if len(kept) > 16:  # rows come by group, so what is there is mostly done
+                            yield from told()
+            yield from told()
+
+        found = _means(df.select("v", *([groups] if groups else [])).mapInArrow(sums, "g int, e int, n long, total binary"))
+        books = [b.copy() for b in books]
+        for r in found:
+            books[r["g"]][r["e"]] = np.frombuffer(r["mean"], np.float32)
+        shared.unpersist()
+    return books
+
+
+def kmeans_two_level(sample: DataFrame, k: int, seed: int = 0, rounds: int = 8, polish: int = 2, seeds: int = 16, most_bytes: int = 128 << 20) -> np.ndarray:
+    """k centroids of the unit vectors (column v) of a bounded sample, for numbers of lists that flat k-means can't train.
+
+    About sqrt(k) tops are trained flat. Each gets centroids by its share of the error (not of the vectors: a crowd in one
+    place needs few), begun by k-means++ over up to `seeds` vectors a centroid and `most_bytes` in all, and trained by
+    rounds over the sample where a vector meets only the centroids of its own top; then by `polish` rounds where it
+    meets all of them.
+    """
+    tops = kmeans(sample, max(2, round(k**0.5)), "v", seed).astype(np.float32)
+    shared, width = sample.sparkSession.sparkContext.broadcast(tops), tops.shape[1]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _spread(_matrix(batch.column("v"), width), width)
+            top = nearest_rows(x, shared.value)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(top), batch.column("v"), batch.column("mix"), pa.array(((x - shared.value[top]) ** 2).sum(1).astype(np.float64))], ["top", "v", "mix", "away"])
+
+    hashed = sample.select(F.col("v").cast("array<float>").alias("v"), F.xxhash64("v", F.lit(seed)).alias("mix"))
+    placed = hashed.mapInArrow(place, "top int, v array<float>, mix long, away double")
+    placed = placed.repartitionByRange("top", "mix").sortWithinPartitions("top", "mix").persist(StorageLevel.DISK_ONLY)  # the sample is bounded; a lost part is made again
+    try:
+        counts, errors = np.zeros(len(tops), np.int64), np.zeros(len(tops))
+        for r in placed.groupBy("top").agg(F.countDistinct("mix").alias("n"), F.sum("away").alias("away")).collect():  # one row a top
+            counts[r.top], errors[r.top] = r.n, r.away
+        wanted = shares(errors ** (width / (width + 2)), counts, k)
+        limits = sample.sparkSession.createDataFrame([(t, int(n)) for t, n in enumerate(wanted)], "top int, most long")
+        rank = F.row_number().over(Window.partitionBy("top").orderBy("mix"))
+        room = F.greatest(F.col("most"), F.least(seeds * F.col("most"), F.lit(most_bytes // (4 * width))))
+        few = placed.dropDuplicates(["top", "mix"]).join(F.broadcast(limits), "top").withColumn("rank", rank).where(F.col("rank") <= room)  # one row a top is broadcast
+
+        def begin(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(own.sort_values("rank")["v"].to_numpy()).astype(np.float32)
+            chosen = plus_plus(x, int(own["most"].iloc[0]), seed + key[0])
+            return pd.DataFrame({"top": key[0], "c": [r.tobytes() for r in x[chosen]]})
+
+        rows = sorted(few.groupBy("top").applyInPandas(begin, "top int, c binary").toArrow().to_pylist(), key=lambda r: (r["top"], r["c"]))  # k vectors
+        own = np.array([r["top"] for r in rows])
+        flat = np.frombuffer(b"".join(r["c"] for r in rows), np.float32).reshape(-1, width)
+        cuts = np.searchsorted(own, np.arange(len(tops) + 1))
+        flat = np.concatenate(lloyd(placed, [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:])], lambda x, g: x, "top", rounds))
+        for _ in range(polish):
+            flat = lloyd(placed, [flat], lambda x, g: x, None, 1)[0]
+        return flat
+    finally:
+        placed.unpersist()
+
+
+def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Rows of x that k-means++ begins with: each next one by its squared distance to those before."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    away = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < min(k, len(x)):
+        total = np.cumsum(away, dtype=np.float64)
+        if total[-1] <= 0:  # all that is left equals a chosen row
+            chosen += np.setdiff1d(np.arange(len(x)), chosen)[: k - len(chosen)].tolist()
+            break
+        chosen.append(min(int(np.searchsorted(total, rng.random() * total[-1], "right")), len(x) - 1))
+        away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return np.array(chosen)
+
+
 @dataclass
 class VectorIndex:
-    """Inverted lists with product-quantised residual-free codes.
+    """Inverted lists with product-quantised codes of what is left of a vector after its list's centroid (residuals).
 
     `lists` coarse cells, `parts` sub-vectors of which each is one of up to 256 codewords. Codes are a table
-    (id, list_id, code), written by list so that a search reads the probed lists only. Vectors that are null, of
-    another length or not finite are neither learned from nor encoded.
+    (id, list_id, code: a byte a part), written by list so that a search reads the probed lists only. Vectors that are
+    null, of another length or not finite are neither learned from nor encoded. Distances are squared, of unit vectors.
+
+    `train` reads the given sample only (bound it by `sample_per_file`); from `flat` lists on, centroids come from two
+    levels. Workers multiply blocks of rows with blocks of centroids, so no array but the centroids themselves (floats,
+    151 MB for 32,768 lists of 1,152 components) grows with the index's size.
     """
 
     centroids: np.ndarray
     codebooks: np.ndarray  # parts x words x width
 
     @classmethod
-    def train(cls, sample: DataFrame, lists: int, parts: int, words: int = 256, vector: str = "embedding", seed: int = 0) -> VectorIndex:
+    def train(cls, sample: DataFrame, lists: int, parts: int, words: int = 256, vector: str = "embedding", seed: int = 0, flat: int = 1024) -> VectorIndex:
         size = common_width(sample, vector)
         if not size or size % parts:
             raise ValueError(f"vectors of {size} components have no {parts} equal parts")
-        unit = sample.where(sound(F.col(vector), size)).select(l2_normalised(F.col(vector)).alias("v")).persist()
-        width = size // parts
-        books = [kmeans(unit.select(F.slice("v", p * width + 1, width).alias("v")), words, "v", seed) for p in range(parts)]
-        full = [np.concatenate([b, np.full((words - len(b), width), np.inf)]) for b in books]
-        index = cls(kmeans(unit, lists, "v", seed), np.stack(full))
-        unit.unpersist()
-        return index
+        if words > 256:
+            raise ValueError("a codeword's number is a byte")
+        unit = sample.where(sound(F.col(vector), size)).select(l2_normalised(F.col(vector)).alias("v")).persist(StorageLevel.DISK_ONLY)
+        try:
+            centroids = (kmeans(unit, lists, "v", seed) if lists < flat else kmeans_two_level(unit, lists, seed)).astype(np.float32)
+            left = _residuals(unit, centroids).persist(StorageLevel.DISK_ONLY)
+            try:
+                return cls(centroids, _codebooks(left, parts, words, size // parts, seed))
+            finally:
+                left.unpersist()
+        finally:
+            unit.unpersist()
+
+    @property
+    def width(self) -> int:
+        return self.centroids.shape[1]
 
     def encode(self, df: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        books = self.codebooks
-        parts, _, width = books.shape
-
-        @F.pandas_udf("array<smallint>")
-        def code(v: pd.Series) -> pd.Series:
-            if not len(v):
-                return pd.Series([], dtype=object)
-            x = np.stack(v.to_numpy()).astype(np.float64).reshape(len(v), parts, width)
-            out = np.stack([((x[:, p, None, :] - books[None, p]) ** 2).sum(2).argmin(1) for p in range(parts)], 1)
-            return pd.Series(list(out.astype(np.int16)))
-
-        unit = df.where(sound(F.col(vector), parts * width)).select(F.col(id_column), l2_normalised(F.col(vector)).alias("v"))
-        return nearest_centroid(unit, self.centroids, "v").withColumn("code", code("v")).select(id_column, "list_id", "code")
+        """id, list_id, code of every sound vector; further columns of df go along."""
+        shared = df.sparkSession.sparkContext.broadcast((self.centroids, self.codebooks))
+        width = self.width
+        rest = [c for c in df.columns if c not in (id_column, vector)]
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in [id_column, *rest]) + ", list_id int, code binary"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centroids, books = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    x = _spread(_matrix(part.column("_unit"), width), width)
+                    lists = nearest_rows(x, centroids)[:, 0]
+                    code = coded(x - centroids[lists], books)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [id_column, *rest]), pa.array(lists), pa.array([r.tobytes() for r in code], pa.binary())], [id_column, *rest, "list_id", "code"])
+
+        unit = df.where(sound(F.col(vector), width)).select(id_column, *rest, l2_normalised(F.col(vector)).cast("array<float>").alias("_unit"))
+        return unit.mapInArrow(run, schema)
 
     def write(self, codes: DataFrame, path: str) -> None:
         """Centroids, codebooks and the codes, by list; a list of very many codes is written by several tasks."""
-        spark = codes.sparkSession
+        self.write_model(codes.sparkSession, path)
+        codes.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/codes")
+
+    def write_model(self, spark: SparkSession, path: str) -> None:
         tables = {"centroids": self.centroids, "codebooks": self.codebooks.reshape(-1, self.codebooks.shape[2])}
         for name, matrix in tables.items():
-            rows = [(i, [float(x) for x in row]) for i, row in enumerate(matrix)]  # of the index's fixed size
-            spark.createDataFrame(rows, "number int, vector array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+            rows = pa.table({"number": pa.array(range(len(matrix)), pa.int32()), "vector": pa.array([r.astype(np.float32).tobytes() for r in matrix], pa.binary())})  # of the index's fixed size
+            spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
         spark.createDataFrame([self.codebooks.shape], "parts int, words int, width int").write.mode("overwrite").parquet(f"{path}/shape")
-        codes.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/codes")
+
+    @classmethod
+    def load_model(cls, spark: SparkSession, path: str) -> VectorIndex:
+        shape = spark.read.parquet(f"{path}/shape").first()
+        found = []
+        for name in ("centroids", "codebooks"):
+            rows = sorted(spark.read.parquet(f"{path}/{name}").toArrow().to_pylist(), key=lambda r: r["number"])
+            found.append(np.frombuffer(b"".join(r["vector"] for r in rows), np.float32))
+        width = shape.parts * shape.width
+        return cls(found[0].reshape(-1, width), found[1].reshape(shape.parts, shape.words, shape.width))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> tuple[VectorIndex, DataFrame]:
         """The index and its codes as `write` left them."""
-        shape = spark.read.parquet(f"{path}/shape").first()
-        centroids, books = (np.array([r.vector for r in spark.read.parquet(f"{path}/{name}").orderBy("number").collect()]) for name in ("centroids", "codebooks"))
-        return cls(centroids, books.reshape(shape.parts, shape.words, shape.width)), spark.read.parquet(f"{path}/codes")
+        return cls.load_model(spark, path), spark.read.parquet(f"{path}/codes")
 
     def search(self, codes: DataFrame, query, k: int = 5, probes: int = 32, id_column: str = "vec_id", rerank: tuple[DataFrame, int] | None = None, vector: str = "embedding") -> DataFrame:
-        """The k nearest by the codes' distance among the lists nearest to the query.
-
-        `rerank`: the table of vectors and a factor; the best k x factor by their codes are then ranked by the exact
-        distance of their unit vectors.
-        """
+        """The k nearest by the codes' distance among the lists nearest to the query; `rerank` as in `search_many`."""
         q = np.asarray(query, np.float64)
-        q = q / (np.linalg.norm(q) or 1.0)
-        near = np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")[:probes]
-        parts, _, width = self.codebooks.shape
-        tables = ((self.codebooks - q.reshape(parts, 1, width)) ** 2).sum(2)
-        score = sum((F.get(literal(np.minimum(tables[p], 1e9)), F.get("code", F.lit(p)).cast("int")) for p in range(parts)), F.lit(0.0))
-        scored = codes.where(F.col("list_id").isin([int(x) for x in near])).withColumn("score", score)
-        if rerank is None:
-            return scored.orderBy("score", id_column).limit(k)
-        vectors, factor = rerank
-        first = scored.orderBy("score", id_column).limit(k * factor).select(id_column, "list_id", "code")
-        met = vectors.select(id_column, l2_normalised(F.col(vector)).alias("_unit")).join(F.broadcast(first), id_column)  # k x factor rows
-        return met.withColumn("score", l2_squared(F.col("_unit"), literal(q))).drop("_unit").orderBy("score", id_column).limit(k)
+        unit = (q / (np.linalg.norm(q) or 1.0)).astype(np.float32)
+        near = nearest_rows(unit[None], self.centroids, min(probes, len(self.centroids)))[0]  # on the driver, so that the scan is pruned
+        asks = codes.sparkSession.createDataFrame([(0, [float(x) for x in q])], "query_id long, q array<double>")
+        found = self.search_many(codes.where(F.col("list_id").isin(near.tolist())), asks, k, probes, id_column, rerank, vector, query="q")
+        return found.drop("query_id", "rank").orderBy("score", id_column)
+
+    def probed(self, queries: DataFrame, probes: int, query_id: str = "query_id", query: str = "embedding") -> DataFrame:
+        """query_id, list_id, left (the query less the list's centroid) for the `probes` lists nearest to each query."""
+        shared = queries.sparkSession.sparkContext.broadcast(self.centroids)
+        width, count = self.width, min(probes, len(self.centroids))
+        kind = queries.select(query_id).schema[0].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    x = _spread(_matrix(part.column("_unit"), width), width)
+                    lists = nearest_rows(x, shared.value, count)
+                    left = np.repeat(x, count, axis=0) - shared.value[lists.ravel()]
+                    ids = part.column(0).take(pa.array(np.repeat(np.arange(len(x)), count)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(lists.ravel()), pa.array([r.tobytes() for r in left], pa.binary())], ["query_id", "list_id", "left"])
+
+        unit = queries.where(sound(F.col(query), width)).select(query_id, l2_normalised(F.col(query)).cast("array<float>").alias("_unit"))
+        return unit.mapInArrow(run, f"query_id {kind}, list_id int, left binary")
+
+    def search_many(self, codes: DataFrame, queries: DataFrame, k: int = 5, probes: int = 32, id_column: str = "vec_id", rerank: tuple[DataFrame, int] | None = None, vector: str = "embedding",
+                    query_id: str = "query_id", query: str = "embedding", code_rows: int = 1 << 16, query_rows: int = 512) -> DataFrame:
+        """query_id, id, list_id, score, rank: the k nearest of every row of `queries`, in one job.
+
+        Queries meet the codes of the lists they probe; each list gives a query its best k, and the best of all are ranked.
+        A list of many codes, or that many queries probe, is dealt into slices of `code_rows` and `query_rows` that meet
+        pair by pair. Each query has one table of distances for each list (parts x words), of its residual.
+
+        `rerank`: the table of vectors and a factor; the best k x factor by their codes are then ranked by the exact distance
+        of their unit vectors. Queries without a sound vector get no rows.
+        """
+        keep = k * rerank[1] if rerank else k
+        books = codes.sparkSession.sparkContext.broadcast(self.codebooks)
+        asks = self.probed(queries, probes, query_id, query)
+        ask_kind, id_kind = asks.schema["query_id"].dataType.simpleString(), codes.schema[id_column].dataType.simpleString()
+
+        def sliced(df: DataFrame, name: str, rows: int, mix: str) -> tuple[DataFrame, DataFrame]:
+            many = F.broadcast(df.groupBy("list_id").agg(F.ceil(F.count("*") / rows).alias(f"n_{name}")))  # one row a list
+            return df.join(many, "list_id").withColumn(name, F.pmod(F.xxhash64(mix), F.col(f"n_{name}"))).drop(f"n_{name}"), many
+
+        left, many_codes = sliced(codes.select(F.col(id_column).alias("_id"), "list_id", "code"), "s", code_rows, "_id")
+        right, many_asks = sliced(asks, "u", query_rows, "query_id")
+        copied = lambda df, many, name: df.join(many, "list_id").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{name}") - 1))).drop(f"n_{name}")
+        left, right = copied(left, many_asks, "u"), copied(right, many_codes, "s")
+
+        def meet(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"query_id": asked["query_id"][:0], "_id": own["_id"][:0], "list_id": np.zeros(0, np.int32), "score": np.zeros(0)})
+            if not len(own) or not len(asked):
+                return none
+            own = own.sort_values("_id", kind="stable")
+            code = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
+            ids, out = own["_id"].to_numpy(), [none]
+            for q, left in zip(asked["query_id"], asked["left"]):
+                table = distances(np.frombuffer(left, np.float32), books.value)
+                score = np.zeros(len(code))
+                for p in range(code.shape[1]):
+                    score += table[p][code[:, p]]
+                best = np.argsort(score, kind="stable")[:keep] if len(score) <= 4 * keep else _least(score, keep)
+                out.append(pd.DataFrame({"query_id": q, "_id": ids[best], "list_id": np.int32(key[0]), "score": score[best]}))
+            return pd.concat(out[1:] or out)
+
+        keys = ["list_id", "u", "s"]
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query_id {ask_kind}, _id {id_kind}, list_id int, score double")
+        order = Window.partitionBy("query_id").orderBy("score", "_id")
+        first = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)  # a query has probes x slices x k rows
+        if rerank:
+            units = rerank[0].where(sound(F.col(vector), self.width)).select(F.col(id_column).alias("_id"), l2_normalised(F.col(vector)).alias("_unit"))
+            own = queries.where(sound(F.col(query), self.width)).select(F.col(query_id).alias("query_id"), l2_normalised(F.col(query)).alias("_ask"))
+            exact = units.join(first.drop("score", "rank"), "_id").join(own, "query_id").withColumn("score", l2_squared(F.col("_unit"), F.col("_ask")))
+            first = exact.drop("_unit", "_ask").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return first.select("query_id", F.col("_id").alias(id_column), "list_id", "score", "rank")
+
+
+def _least(score: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the `keep` least scores in order, ties to the earlier place."""
+    edge = np.partition(score, keep - 1)[keep - 1]
+    near = np.flatnonzero(score <= edge)
+    return near[np.argsort(score[near], kind="stable")][:keep]
+
+
+def coded(left: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The number of the nearest codeword of each part of each residual, as bytes."""
+    parts, _, width = books.shape
+    return np.stack([nearest_rows(left[:, p * width : (p + 1) * width], books[p])[:, 0] for p in range(parts)], 1).astype(np.uint8) if parts else np.zeros((len(left), 0), np.uint8)
+
+
+def distances(left: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Squared distance of each part of a residual to each codeword: parts x words."""
+    away = books.astype(np.float64) - left.astype(np.float64).reshape(books.shape[0], 1, books.shape[2])
+    return (away * away).sum(2)
+
+
+def _residuals(unit: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """v: the unit vectors less their nearest centroids."""
+    shared = unit.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = shared.value.shape[1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = _spread(_matrix(batch.column("v").slice(at, 4096), width), width)
+                x = x - shared.value[nearest_rows(x, shared.value)[:, 0]]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width), pa.int32()), pa.array(x.ravel()))], ["v"])
+
+    return unit.select(F.col("v").cast("array<float>").alias("v")).mapInArrow(run, "v array<float>")
+
+
+def _codebooks(left: DataFrame, parts: int, words: int, width: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Codewords of all parts, trained in the same rounds, from residuals of least hash; fewer residuals than words leave
+    the rest of a book infinitely far."""
+    first = left.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(words).toArrow().to_pylist()
+    if not first:
+        return np.full((parts, words, width), 1e9, np.float32)
+    x = np.array([r["v"] for r in first], np.float32).reshape(len(first), parts, width)
+    books = lloyd(left, [np.ascontiguousarray(x[:, p]) for p in range(parts)], lambda rows, g: rows[:, g * width : (g + 1) * width], None, rounds)
+    out = np.full((parts, words, width), 1e9, np.float32)  # far from any residual of unit vectors
+    for p, b in enumerate(books):
+        out[p, : len(b)] = b
+    return out
 
 
 @dataclass

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quadrille.functions import geo, raster, text
 from quadrille.functions import vectors as vx
@@ -13,6 +14,9 @@ from quadrille.operators.grid import GridSpec
 from quadrille.plans import oracles as o
 from quadrille.plans import views
 from quadrille.plans.views import EUROPE
+from quadrille.sources import archive_rows as archives
+from quadrille.sources import readers
+from quadrille.sources.shared import shared_path
 
 COARSE, MEDIUM, FINE = GridSpec(1000), GridSpec(100), GridSpec(10)
 REGISTERED: dict = {}
@@ -259,6 +263,19 @@ def archive_row_join(spark, sf_dir):
     return meta.join(images, ["parquet_url", "parquet_row"]).select("event_id", "archived")
 
 
+@query(o.vec("SELECT event_id, vec_id, round(list_sum(v), 5) AS total FROM events JOIN e ON event_id % (SELECT count(*) FROM e) = vec_id WHERE event_type IN ('purchase', 'signup')"))
+def archive_point_read(spark, sf_dir):
+    """Metadata rows of two modalities point into an archive of one raster a row group; only their groups are opened."""
+    path = shared_path(spark, "archive")
+    px = views.vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("px"), F.lit("never read").alias("other"))
+    px.write.option("parquet.block.row.count.limit", 1).parquet(path)
+    spots = readers.archive(spark, path, ["vec_id"])
+    meta = views.metadata(spark, sf_dir).where(F.col("modality").isin("purchase", "signup")).withColumn("vec_id", F.col("event_id") % spots.count())
+    meta = meta.select("event_id", "vec_id").join(spots, "vec_id")
+    images = archives.read_rows(meta, StructType([StructField("px", ArrayType(DoubleType()))]))
+    return readers.rows_of(meta, images).select("event_id", "vec_id", F.round(F.aggregate("px", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
 # Coverage and sets
 
 @query(o.located_meta(1000) + " SELECT DISTINCT CAST(21 - (k + 10) - 1 AS INTEGER) AS y, CAST(c + 21 AS INTEGER) AS x, 255 AS value FROM loc WHERE NOT nodata > 0.5")
@@ -353,12 +370,28 @@ def top_k_with_metadata(spark, sf_dir):
     return vector_index.search_with_metadata(found, meta).select("vec_id", "score", "file")
 
 
+def _index(df: DataFrame) -> tuple[vector_index.VectorIndex, int]:
+    """An index with 4 sqrt(n) lists, trained on a bounded sample, and a tenth of its lists to probe."""
+    lists = max(16, round(4 * df.count() ** 0.5))
+    sample = vector_index.sample_per_file(df.withColumn("file", F.input_file_name()), "file", "vec_id")
+    return vector_index.VectorIndex.train(sample, lists, 16, 64), max(8, lists // 10)
+
+
 @query()
 def ivf_pq_search(spark, sf_dir):
-    """Approximate: held against the exact search by recall (tests/test_vector_index.py)."""
+    """Approximate: its recall is held against the exact search in tests/test_vector_index.py."""
+    df = views.vectors(spark, sf_dir)
+    index, probes = _index(df)
+    return index.search(index.encode(df.select("vec_id", "embedding")), QUERY_VECTOR, 10, probes, rerank=(df, 20))
+
+
+@query()
+def ivf_pq_batch(spark, sf_dir):
+    """A twentieth of all vectors as queries of one job; held against single searches in tests/test_vector_index.py."""
     df = views.vectors(spark, sf_dir)
-    index = vector_index.VectorIndex.train(df, 8, 8, 32)
-    return index.search(index.encode(df), QUERY_VECTOR, 10, 6, rerank=(df, 20))
+    index, probes = _index(df)
+    asks = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.search_many(index.encode(df.select("vec_id", "embedding")), asks, 10, probes, rerank=(df, 20)).select("query_id", "vec_id", "score", "rank")
 
 
 @query()
@@ -370,7 +403,7 @@ def pca_composite(spark, sf_dir):
 
 @query()
 def raster_pca_composite(spark, sf_dir):
-    """Each raster by components of its own; held against a singular value decomposition in tests/test_rasters.py."""
+    """Each raster by components of its own; held against a singular value decomposition in tests/test_reference.py."""
     px = views.rasters(spark, sf_dir)
     return px.select("vec_id", composite.pca_rgb(F.col("px"), 4).alias("shades"))
 

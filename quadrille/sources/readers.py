@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +52,12 @@ def band_columns(names: list[str], extra: str = "cloud_mask") -> list[str]:
 
 
 def read_samples(meta: DataFrame, images: DataFrame, rasters: list[str], pictures: list[str] = ["thumbnail"], raster: Callable = decoded, image: Callable = picture) -> DataFrame:  # noqa: B006
-    """Metadata rows with the decoded bands and pictures of the archive rows they point to (images as `archive` reads them)."""
-    own = images.select("parquet_url", "parquet_row", *[raster(F.col(b)).alias(b) for b in rasters], *[image(F.col(p)).alias(p) for p in pictures])
-    return rows_of(meta, own)
+    """Metadata rows with the decoded bands and pictures of the archive rows they point to (images as `archive` or `archive_rows.read_rows` reads them).
+
+    Rows meet by address first; only those that are wanted are decoded.
+    """
+    met = rows_of(meta, images.select("parquet_url", "parquet_row", *rasters, *pictures))
+    return met.withColumns({b: raster(F.col(b)) for b in rasters} | {p: image(F.col(p)) for p in pictures})
 
 
 def rows_one_by_one(df: DataFrame) -> Iterator[Row]:
@@ -102,21 +106,32 @@ class SampleTable:
     def samples(self, meta: DataFrame | None = None) -> DataFrame:
         """Metadata rows with a column for each band and picture; null where the tree lacks the file."""
         out = self.meta if meta is None else meta
-        files = unpacked_files(out.sparkSession, self.root)
         for names, decode, change in ((self.rasters, decoded, self.raster_transform), (self.pictures, picture, self.picture_transform)):
             for name in names:
-                own = files.where(F.col("band") == name).select("grid_cell", "product_id", change(decode(F.col("content"))).alias(name))
-                out = out.join(own, ["grid_cell", "product_id"], "left")
+                files = unpacked_files(out.sparkSession, self.root, name)
+                out = out.join(files.select("grid_cell", "product_id", F.col("content").alias(name)), ["grid_cell", "product_id"], "left")
+                out = out.withColumn(name, change(decode(F.col(name))))
         return out
 
     def __getitem__(self, ordinal: int) -> Row:
+        """The sample at a position; of the tree only its own folder is listed, if it has one."""
         if ordinal < 0:
             raise IndexError("positions count from 0")
-        return self.samples(row_at(self.meta, ordinal, list(self.order))).first()
-
-
-def unpacked_files(spark: SparkSession, root: str) -> DataFrame:
-    """row, grid_cell, product_id, band, content of the files of an unpacked tree root/row/cell/product/band.ext."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        found = row_at(self.meta, ordinal, list(self.order))
+        cell, product = found.select("grid_cell", "product_id").first()
+        own = replace(self, root=f"{self.root}/{cell.split('_')[0]}/{cell}/{product}")
+        try:
+            return own.samples(found).first()
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return self.samples(found).first()
+
+
+def unpacked_files(spark: SparkSession, root: str, band: str | None = None) -> DataFrame:
+    """row, grid_cell, product_id, band, content of the files of an unpacked tree root/row/cell/product/band.ext, or of a
+    folder below; of one band, only its files are listed and read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", f"{band}.*") if band else reader).load(root)
     part = lambda i: F.element_at(F.split("path", "/"), F.lit(i))
     return files.select(part(-4).alias("row"), part(-3).alias("grid_cell"), part(-2).alias("product_id"), F.regexp_replace(part(-1), r"\.[^.]*$", "").alias("band"), "content")
