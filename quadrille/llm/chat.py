@@ -186,7 +186,8 @@ def format_chats(turns: DataFrame, path: str, pattern: str, budget: int = 1024,
     placed = whole.select("conv_id", F.floor(F.col("before") / segment).alias("segment"), F.lit(OWN).alias("kind"), "number", "role", "shown", "cost", "at", "before")
     opening = (F.col("number") == 0) & (F.col("role") == "system")
     reach = F.floor((F.col("before") + F.col("cost") + history) / segment)
-    past = placed.where(~opening & (reach > F.col("segment"))).withColumns({"kind": F.lit(PAST), "segment": F.explode(F.sequence(F.col("segment") + 1, reach))})
+    begin = F.greatest(F.col("segment") + 1, F.floor((F.col("before") + F.col("cost")) / segment))  # no turn begins in the segments that one turn spans
+    past = placed.where(~opening & (reach > F.col("segment"))).withColumns({"kind": F.lit(PAST), "segment": F.explode(F.sequence(begin, reach))})
     later = placed.where("segment > 0").select(F.col("conv_id").alias("c"), F.col("segment").alias("later")).distinct()
     system = placed.where(opening).join(later, F.col("conv_id").eqNullSafe(F.col("c"))).withColumns({"kind": F.lit(SYSTEM), "segment": F.col("later")})
     names = ["conv_id", "segment", "kind", "number", "role", "shown", "cost", "at"]

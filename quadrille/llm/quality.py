@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 5000, unlabelled:
     good_ids = labels.where(learn).where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     text = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     trusted = text.join(good_ids, "doc_id", "left_semi")
-    pos, unl = _gather(trusted, positives, good_ids.count()), _gather(text, unlabelled, text.count())
+    pos, unl = _gather(trusted, positives, trusted.count()), _gather(text, unlabelled, text.count())
     if not len(pos) or not len(unl):
         return {"constant": 1.0}
     return fit(pos, unl, min(max(estimated_prior(pos, unl), 0.01), 0.99))

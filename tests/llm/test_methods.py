@@ -161,3 +161,31 @@ def test_spare_names_and_folder(spark):
     df = spark.createDataFrame([(1, 2)], "own long, OWN_ long")
     assert spare(df, "own", "other") == ["own__", "other"]
     assert shared_folder(spark)
+
+
+def test_positives_are_bounded_by_rows(spark, monkeypatch):
+    """All texts under one id: about as many rows come to the driver as were asked for."""
+    from quadrille.llm import quality
+
+    seen = []
+    gather = quality._gather
+    monkeypatch.setattr(quality, "_gather", lambda *a: seen.append(gather(*a)) or seen[-1])
+    docs = spark.createDataFrame([(1, f"text number {i} of one id") for i in range(1500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    quality.train(docs, labels, positives=40, unlabelled=60)
+    assert 10 < len(seen[0]) < 100 and 20 < len(seen[1]) < 140
+
+
+def test_long_turns_are_copied_twice_at_most(spark):
+    """A turn of a million characters between short ones, in small segments: windows as in one segment, and few copies."""
+    import public_tokenizers
+    from quadrille.llm import chat
+
+    turns = [(1, k, ("user", "assistant")[k % 2], f"word {k} " * (3 if k != 5 else 150_000)) for k in range(12)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = [[(r.window, r.text, r.repeated) for r in chat.format_chats(df, path, pattern, segment=s).orderBy("window").collect()] for s in (512, 1 << 40)]
+    own = lambda rows: [(t, n) for w, t, n in rows]
+    assert sum(len(t) for t, _ in own(found[0])) < 1.1 * sum(len(x[3]) for x in turns) + 20_000
+    back = [chat.read_back(chat.format_chats(df, path, pattern, segment=s)).first()[:5] for s in (512, 1 << 40)]
+    assert back[0] == back[1]
