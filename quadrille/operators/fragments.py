@@ -60,6 +60,25 @@ def with_fragments(df: DataFrame, plan: FragmentPlan, transposed: bool = True) -
     return out.withColumn("pixel_bbox", F.array(x, y, x + plan.size, y + plan.size))
 
 
+def unfolded(df: DataFrame, bands: list[str], height: int, width: int, window: tuple[int, int], stride: tuple[int, int]) -> DataFrame:
+    """One row for each window of `window` (height, width) at every `stride` (down, across) that lies wholly inside the image:
+    frag_row, frag_col and `pixels`, the window's pixels of all bands, band after band and row after row.
+
+    Bands are arrays of height x width pixels; a window of a null band is null. An image smaller than a window has none.
+    """
+    (h, w), (down, across) = window, stride
+    if min(h, w, down, across) < 1:
+        raise ValueError("windows and strides count from one pixel")
+    out = df.select("*", F.explode(F.expr(f"if({height} < {h}, array(), sequence(0, {max(height - h, 0) // down}))")).alias("frag_row"))
+    out = out.select("*", F.explode(F.expr(f"if({width} < {w}, array(), sequence(0, {max(width - w, 0) // across}))")).alias("frag_col"))
+    at = F.col("frag_row") * down * width + F.col("frag_col") * across + 1
+
+    def lines(band: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda r: F.slice(F.col(band), at + r * width, w))
+
+    return out.withColumn("pixels", F.flatten(F.concat(*map(lines, bands))))
+
+
 def crop_footprint(left: Column, bottom: Column, right: Column, top: Column, height: int, width: int, bbox: Column) -> dict[str, Column]:
     """The map box of a pixel box [x0, y0, x1, y1] within a raster's footprint."""
     w, h = F.lit(width), F.lit(height)

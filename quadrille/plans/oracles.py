@@ -42,6 +42,11 @@ def located_meta(dist: float, more: str = "") -> str:
     return f"WITH {META}, {grid_sql(dist)}, {located('meta')}{more}"
 
 
+def sampled(dist: float) -> str:
+    """CTEs n (k, c, samples) and nr (k, samples): how many samples of meta lie in a cell and in a row."""
+    return located_meta(dist, ", n AS (SELECT k, c, count(*) AS samples FROM loc GROUP BY k, c), nr AS (SELECT k, count(*) AS samples FROM loc GROUP BY k)")
+
+
 def filtered(region=EUROPE) -> str:
     return f"timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND centre_lon BETWEEN {region[0]} AND {region[2]} AND centre_lat BETWEEN {region[1]} AND {region[3]} AND cloud_cover BETWEEN 0 AND 60 AND nodata BETWEEN 0 AND 0.8"
 

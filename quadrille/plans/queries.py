@@ -70,39 +70,46 @@ def nodata_exclusion(spark, sf_dir):
     return views.metadata(spark, sf_dir).where(coverage.has_data()).select("event_id", (F.col("nodata") <= 0.5).alias("has_data"))
 
 
-# Grid
+# Grid: every row or point, with the number of samples that lie in it
 
-@query(f"WITH {o.grid_sql(10)} SELECT row_idx, k, abs(k) || CASE WHEN k >= 0 THEN 'U' ELSE 'D' END AS row, round(lat, 9) AS lat, m AS cells FROM gr")
+def sampled(df: DataFrame, spark, sf_dir, spec: GridSpec, cell: str | None = "name") -> DataFrame:
+    """Adds `samples`: those of the cell that the column names, or of the row `k`."""
+    of = F.col("grid_cell").alias(cell) if cell else F.col("grid_row_u").alias("k")
+    counts = located(spark, sf_dir, spec).groupBy(of).agg(F.count("*").alias("samples"))
+    return df.join(counts, cell or "k", "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
+
+
+@query(f"{o.sampled(10)} SELECT row_idx, k, abs(k) || CASE WHEN k >= 0 THEN 'U' ELSE 'D' END AS row, round(lat, 9) AS lat, m AS cells, coalesce(samples, 0) AS samples FROM gr LEFT JOIN nr USING (k)")
 def grid_rows_10km(spark, sf_dir):
-    return grid.grid_rows(spark, FINE).withColumn("lat", F.round("lat", 9))
+    return sampled(grid.grid_rows(spark, FINE).withColumn("lat", F.round("lat", 9)), spark, sf_dir, FINE, None)
 
 
-@query(f"WITH {o.grid_sql(100)} SELECT {o.name()} AS name, row_idx, col_idx, round(lat, 9) AS lat, round(lon, 9) AS lon, {o.EPSG.format(lat='lat', lon='lon')} AS utm_zone, 'EPSG:' || {o.EPSG.format(lat='lat', lon='lon')} AS epsg FROM gc JOIN gr USING (k)")
+@query(f"{o.sampled(100)} SELECT {o.name()} AS name, row_idx, col_idx, round(lat, 9) AS lat, round(lon, 9) AS lon, {o.EPSG.format(lat='lat', lon='lon')} AS utm_zone, 'EPSG:' || {o.EPSG.format(lat='lat', lon='lon')} AS epsg, coalesce(samples, 0) AS samples FROM gc JOIN gr USING (k) LEFT JOIN n USING (k, c)")
 def grid_points_100km(spark, sf_dir):
-    return grid.grid_points(spark, MEDIUM).select("name", "row_idx", "col_idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "utm_zone", "epsg")
+    return sampled(grid.grid_points(spark, MEDIUM), spark, sf_dir, MEDIUM).select("samples", "name", "row_idx", "col_idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "utm_zone", "epsg")
 
 
 @query()
 def grid_points_10km(spark, sf_dir):
     """The reference's default grid, 5,094,350 points; tested by counts, names and a band of rows."""
-    return grid.grid_points(spark, FINE).select("name", "row_idx", "col_idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "utm_zone", "epsg")
+    return sampled(grid.grid_points(spark, FINE), spark, sf_dir, FINE).select("samples", "name", "row_idx", "col_idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "utm_zone", "epsg")
 
 
-@query(f"WITH {o.grid_sql(1000)} SELECT {o.name()} AS name, {o.EPSG.format(lat='(lat + 500000/111120.0)', lon='(lon + 500000/(111120.0*cos((lat + 500000/111120.0)*pi()/180)))')} AS utm_zone FROM gc JOIN gr USING (k)")
+@query(f"{o.sampled(1000)} SELECT coalesce(samples, 0) AS samples, {o.name()} AS name, {o.EPSG.format(lat='(lat + 500000/111120.0)', lon='(lon + 500000/(111120.0*cos((lat + 500000/111120.0)*pi()/180)))')} AS utm_zone FROM gc JOIN gr USING (k) LEFT JOIN n USING (k, c)")
 def grid_points_utm_centre(spark, sf_dir):
-    return grid.grid_points(spark, GridSpec(1000, utm_definition="center")).select("name", "utm_zone")
+    return sampled(grid.grid_points(spark, GridSpec(1000, utm_definition="center")), spark, sf_dir, COARSE).select("samples", "name", "utm_zone")
 
 
-@query(f"WITH {o.grid_sql(100)} SELECT {o.name()} AS name FROM gc WHERE lon BETWEEN 5 AND 15")
+@query(f"{o.sampled(100)} SELECT {o.name()} AS name, coalesce(samples, 0) AS samples FROM gc LEFT JOIN n USING (k, c) WHERE gc.lon BETWEEN 5 AND 15")
 def grid_longitude_range(spark, sf_dir):
-    return grid.grid_points(spark, GridSpec(100, longitude_range=(5.0, 15.0))).select("name")
+    return sampled(grid.grid_points(spark, GridSpec(100, longitude_range=(5.0, 15.0))), spark, sf_dir, MEDIUM).select("name", "samples")
 
 
-@query(f"WITH {o.grid_sql(10)} SELECT k, count(*) AS cells, round(min(lon), 9) AS west, round(max(lon), 9) AS east FROM gc GROUP BY k")
+@query(f"{o.sampled(10)} SELECT gc.k, count(*) AS cells, round(min(lon), 9) AS west, round(max(lon), 9) AS east, coalesce(any_value(samples), 0) AS samples FROM gc LEFT JOIN nr ON gc.k = nr.k GROUP BY gc.k")
 def grid_row_extents_10km(spark, sf_dir):
     c = grid.first_col(F.col("cells"))
-    rows = grid.grid_rows(spark, FINE)
-    return rows.select("k", "cells", F.round(grid.col_longitude(c, F.col("cells")), 9).alias("west"), F.round(grid.col_longitude(c + F.col("cells") - 1, F.col("cells")), 9).alias("east"))
+    rows = sampled(grid.grid_rows(spark, FINE), spark, sf_dir, FINE, None)
+    return rows.select("samples", "k", "cells", F.round(grid.col_longitude(c, F.col("cells")), 9).alias("west"), F.round(grid.col_longitude(c + F.col("cells") - 1, F.col("cells")), 9).alias("east"))
 
 
 @query(o.located_meta(1000) + f" SELECT event_id, {o.name()} AS grid_cell, k AS grid_row_u, c AS grid_col_r FROM loc")
@@ -142,18 +149,18 @@ w AS (SELECT k, c, lon, coalesce(lead(lon) OVER (PARTITION BY k ORDER BY c) - lo
 SELECT {o.name()} AS name, round(lon - 0.1 * w, 8) AS "left", round(lat - 0.1 * h, 8) AS bottom, round(lon + 1.1 * w, 8) AS "right", round(lat + 1.1 * h, 8) AS top FROM w JOIN h USING (k)"""
 
 
-@query(FOOTPRINT)
+@query(f"WITH foot AS ({FOOTPRINT}), {o.sampled(1000)[5:]}, nn AS (SELECT {o.name()} AS name, samples FROM n) SELECT foot.*, coalesce(samples, 0) AS samples FROM foot LEFT JOIN nn USING (name)")
 def cell_footprints(spark, sf_dir):
     rows, cols = grid.cell_ints(F.col("name"))
     cells = grid.grid_points(spark, COARSE).select("name", rows.alias("grid_row_u"), cols.alias("grid_col_r"))
-    return grid.with_footprint(cells, COARSE, 0.1).select("name", *[F.round(c, 8).alias(c) for c in ("left", "bottom", "right", "top")])
+    return sampled(grid.with_footprint(cells, COARSE, 0.1), spark, sf_dir, COARSE).select("name", "samples", *[F.round(c, 8).alias(c) for c in ("left", "bottom", "right", "top")])
 
 
-@query(f"WITH {o.grid_sql(1000)} SELECT {o.name()} AS name, lead({o.name()}) OVER (PARTITION BY k ORDER BY c) AS east_of FROM gc")
+@query(f"{o.sampled(1000)} SELECT {o.name()} AS name, lead({o.name()}) OVER (PARTITION BY k ORDER BY c) AS east_of, coalesce(samples, 0) AS samples FROM gc LEFT JOIN n USING (k, c)")
 def east_neighbours(spark, sf_dir):
     row, col = grid.cell_ints(F.col("name"))
     cells = grid.grid_points(spark, COARSE).select("name", row.alias("k"), col.alias("c"))
-    return cells.select("name", F.lead("name").over(Window.partitionBy("k").orderBy("c")).alias("east_of"))
+    return sampled(cells.select("name", F.lead("name").over(Window.partitionBy("k").orderBy("c")).alias("east_of")), spark, sf_dir, COARSE)
 
 
 @query(f"WITH {o.META} SELECT event_id, {o.EPSG.format(lat='centre_lat', lon='centre_lon')} AS utm FROM meta")
@@ -576,8 +583,12 @@ def sample_checksums(spark, sf_dir):
 
 
 def queries():
+    from quadrille.plans import table_queries  # noqa: F401  registers its own
+
     return dict(REGISTERED)
 
 
 def oracle_sql():
+    from quadrille.plans import table_queries  # noqa: F401
+
     return dict(SQL)

@@ -27,4 +27,5 @@ def test_grid_points_10km(spark, sf_dir):
     n, names = points.agg(F.count("*"), F.countDistinct("name")).first()
     assert n == names == 5094350
     band = f"WITH {o.grid_sql(10)} SELECT {o.name()} AS name, row_idx, col_idx, round(lat, 9) AS lat, round(lon, 9) AS lon, {o.EPSG.format(lat='lat', lon='lon')} AS utm_zone, 'EPSG:' || {o.EPSG.format(lat='lat', lon='lon')} AS epsg FROM gc JOIN gr USING (k) WHERE k BETWEEN 452 AND 454"
-    assert same(points.where(F.split_part("name", F.lit("_"), F.lit(1)).isin("452U", "453U", "454U")), duck(sf_dir), band) is None
+    assert points.agg(F.sum("samples")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert same(points.drop("samples").where(F.split_part("name", F.lit("_"), F.lit(1)).isin("452U", "453U", "454U")), duck(sf_dir), band) is None
