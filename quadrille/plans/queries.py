@@ -230,9 +230,9 @@ def points_without_sample(spark, sf_dir):
     return metadata.points_without_sample(views.points(spark, sf_dir), meta, COARSE, "lat", "lon").select("point_id")
 
 
-@query(POINT_CELLS + " SELECT point_id, event_id FROM locp JOIN loc ON locp.k = loc.k AND locp.c = loc.c WHERE nodata = 0")
+@query(POINT_CELLS + " SELECT point_id, event_id FROM locp JOIN loc ON locp.k = loc.k AND locp.c = loc.c")
 def samples_at_points(spark, sf_dir):
-    meta = located(spark, sf_dir).where("nodata = 0").select("grid_cell", "event_id")
+    meta = located(spark, sf_dir).select("grid_cell", "event_id")
     return metadata.samples_at(views.points(spark, sf_dir), meta, COARSE, "lat", "lon").select("point_id", "event_id")
 
 
@@ -290,9 +290,9 @@ def coverage_mask(spark, sf_dir):
     return coverage.coverage_mask(located(spark, sf_dir), COARSE)
 
 
-@query(o.located_meta(1000) + " SELECT k AS grid_row_u, c AS grid_col_r, CASE WHEN count(*) FILTER (modality = 'click') = 0 THEN 'second' WHEN count(*) FILTER (modality = 'view') = 0 THEN 'first' ELSE 'both' END AS status FROM loc WHERE modality IN ('click', 'view') AND cloud_cover < 5 GROUP BY k, c")
+@query(o.located_meta(1000) + " SELECT k AS grid_row_u, c AS grid_col_r, CASE WHEN count(*) FILTER (modality = 'click') = 0 THEN 'second' WHEN count(*) FILTER (modality = 'view') = 0 THEN 'first' ELSE 'both' END AS status FROM loc WHERE modality IN ('click', 'view') GROUP BY k, c")
 def coverage_comparison(spark, sf_dir):
-    meta = located(spark, sf_dir).where("cloud_cover < 5").select(F.col("grid_row_u").cast("long").alias("grid_row_u"), F.col("grid_col_r").cast("long").alias("grid_col_r"), "modality")
+    meta = located(spark, sf_dir).select(F.col("grid_row_u").cast("long").alias("grid_row_u"), F.col("grid_col_r").cast("long").alias("grid_col_r"), "modality")
     return coverage.compare_coverage(meta.where("modality = 'click'"), meta.where("modality = 'view'"))
 
 
