@@ -29,6 +29,21 @@ def compare_coverage(first: DataFrame, second: DataFrame, keys=("grid_row_u", "g
     return a.join(b, list(keys), "full_outer").select(*keys, status.alias("status"))
 
 
+def colour_mix(first: Column, second: Column) -> Column:
+    """One colour of two (struct<r,g,b>): red where both are equally bright, green of the first, blue of the second."""
+    bright = lambda c: c["r"] + c["g"] + c["b"]
+    red = F.when(bright(first) == bright(second), first["r"]).otherwise(F.lit(0))
+    return F.struct(red.alias("r"), first["g"].alias("g"), second["b"].alias("b"))
+
+
+def mixed_coverage(first: DataFrame, second: DataFrame) -> DataFrame:
+    """y, x, r, g, b of two masks (y, x, value; as `coverage_mask` gives) laid over each other: white where both cover a
+    cell, green and blue where only the first or second does. A cell of neither has no row."""
+    a, b = (df.groupBy("y", "x").agg(F.max("value").alias(n)) for df, n in ((first, "_a"), (second, "_b")))
+    grey = lambda n: F.struct(*[F.coalesce(F.col(n), F.lit(0)).alias(c) for c in "rgb"])
+    return a.join(b, ["y", "x"], "full_outer").select("y", "x", colour_mix(grey("_a"), grey("_b")).alias("_c")).select("y", "x", "_c.*")
+
+
 def coverage_stats(df: DataFrame, by: list[str]) -> DataFrame:
     """Samples and cells for each combination of `by`, with subtotals."""
     return df.rollup(*by).agg(F.count("*").alias("samples"), F.countDistinct("grid_cell").alias("cells"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.text import sample_path
+from quadrille.sources.file_sink import write_files
 
 
 def unpack(samples: DataFrame, path: str, source: str) -> None:
@@ -14,22 +15,13 @@ def unpack(samples: DataFrame, path: str, source: str) -> None:
     placed.hint("rebalance", "grid_row").write.mode("overwrite").partitionBy("grid_row").parquet(path)
 
 
-def unpack_files(samples: DataFrame, root: str, source: str, bands: list[str], thumbnail: str = "thumbnail") -> None:
-    """Writes source/row/cell/product/{band}.tif and thumbnail.png under a folder that all executors share."""
-    placed = samples.select(sample_path(F.lit(source), F.col("grid_cell"), F.col("product_id")).alias("path"), *[b for b in [*bands, thumbnail] if b in samples.columns])
-
-    def save(rows) -> None:
-        import os
-
-        for row in rows:
-            folder = os.path.join(root, row["path"])
-            os.makedirs(folder, exist_ok=True)
-            for name, content in row.asDict().items():
-                if name != "path" and content is not None:
-                    with open(os.path.join(folder, "thumbnail.png" if name == thumbnail else f"{name}.tif"), "wb") as out:
-                        out.write(content)
-
-    placed.foreachPartition(save)
+def unpack_files(samples: DataFrame, root: str, source: str, bands: list[str], thumbnail: str = "thumbnail") -> int:
+    """Writes source/row/cell/product/{band}.tif and thumbnail.png under a folder that all executors share, whole or not at all
+    (`file_sink`); how many files. A missing band gives no file; two samples of one cell and product are an error."""
+    folder = sample_path(F.lit(source), F.col("grid_cell"), F.col("product_id"))
+    names = {b: "thumbnail.png" if b == thumbnail else f"{b}.tif" for b in [*bands, thumbnail] if b in samples.columns}
+    each = F.array(*[F.struct(F.concat_ws("/", folder, F.lit(n)).alias("path"), F.col(b).alias("content")) for b, n in names.items()])
+    return write_files(samples.select(F.inline(each)), root)
 
 
 def write_embeddings(df: DataFrame, path: str) -> None:
