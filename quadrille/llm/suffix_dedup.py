@@ -6,8 +6,9 @@ alike meet in one task, and no others are moved, the corpus is first thinned:
 
 1. The 50-byte strings starting in a document form runs that share their least 24-byte gram (by hash). Equal strings
    have the same least gram, so runs meet by it. Hashes only bring runs together; what is equal is told by bytes.
-   A gram that several documents of a batch have is known to repeat there and then, and one witness of it travels;
-   of the others each run sends about 12 bytes, packed into one binary row for each batch and part.
+   A gram that several documents of a batch have is known to repeat there and then, and one witness of it travels with
+   the number of its runs; of the others each run sends about 12 bytes, packed into one binary row for each batch and
+   part. So the runs of every gram are counted over the whole table.
 2. The bytes of all runs of grams that several documents have meet by gram. Runs of equal bytes collapse into one, first
    within a batch, then within a part; the least document of each counts. The suffixes of what is left are sorted
    deep-shallow: dealt by their first two bytes, a multikey quicksort on eight-byte words to a shallow depth, then
@@ -15,10 +16,12 @@ alike meet in one task, and no others are moved, the corpus is first thinned:
    smallest document's are repeats.
 3. Repeats return to their documents as byte ranges.
 
-A gram that is crowded in a batch (a common line in ever other surroundings) is dealt by document over so many parts
-that each gets about `SLICE` of its runs. Each of these parts then sends one row for each of the gram's strings it holds, with its least document, and the least of all is
+A crowded gram (a common line in ever other surroundings), one with more than `crowd` runs in the table, is dealt by
+document over so many parts that each gets about `crowd` of its runs. Each of these parts then sends one row for each of
+the gram's strings it holds, with its least document, and the least of all is
 a grouped minimum. No step pairs documents or holds all runs of a gram. A part stands for about `part_bytes` of text,
-so memory doesn't grow with the corpus. Long texts are cut into overlapping segments, so arrays stay small.
+so memory doesn't grow with the corpus. Tasks get the crowded grams and their counts as a broadcast of at most `MOST_CROWDED`
+entries (64 MB): if there were more, the bound on runs rises to their mean, which at most so many exceed. Long texts are cut into overlapping segments, so arrays stay small.
 
 Edge cases: null counts as empty; texts under 50 bytes lose nothing; a null doc_id has no order, so it neither loses
 bytes nor makes others lose them; rows that share a doc_id don't affect one another (nor do equal rows, which have
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import Batches, blocks, discard, lean, shuffles_reaped, spare, text_bytes, written
 
 LENGTH, GRAM, SEGMENT = 50, 24, 1 << 20
-LONGEST_RUN, WITNESS, CROWD, SLICE = 254, 255, 256, 64
+LONGEST_RUN, WITNESS, CROWD, MOST_CROWDED = 254, 255, 4096, 1 << 22
 SHALLOW = 16
 MIX, ROOT = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 
@@ -224,10 +227,12 @@ def gram_rows(parts: int):
             shared = np.minimum.reduceat(owner, heads) < np.maximum.reduceat(owner, heads)
             known = np.zeros(len(row), bool)
             known[order] = _spread(shared, heads, len(order))
-            witness = np.zeros(len(row), bool)
+            witness, size = np.zeros(len(row), bool), np.diff(np.concatenate([heads, [len(order)]]))
             witness[order[heads[shared]]] = True
+            told = start.copy()  # a witness tells the number of runs in place of its start
+            told[order[heads[shared]]] = size[shared]
             sent = np.flatnonzero(~known | witness)
-            out = _packed(ids, twins, row[sent], ((start[sent], 5), (np.where(witness, WITNESS, count)[sent], 1), (gram[sent], 6)), part_of(gram[sent], parts), parts)
+            out = _packed(ids, twins, row[sent], ((told[sent], 5), (np.where(witness, WITNESS, count)[sent], 1), (gram[sent], 6)), part_of(gram[sent], parts), parts)
             place = (start << 8 | count)[known].astype("<u8")
             own = _by_document(ids[row[known]], twins[row[known]], np.stack([place, gram[known].astype("<u8")], 1))
             yield _parted(*out, [(-1 - doc % parts, doc, twin, marks) for doc, twin, marks in own])
@@ -252,8 +257,9 @@ def _by_part(batches: Batches, settle) -> Batches:
         yield from settle(held)
 
 
-def shared_grams(batches: Batches) -> Batches:
-    """Reduce side of the grams: the runs whose gram another document has, too."""
+def shared_grams(crowd: int):
+    """Reduce side of the grams: the runs whose gram another document has, too, and crowded grams: gram as doc_id, number of
+    runs as _d, an empty string."""
     def settle(held: list[bytes]) -> Batches:
         (ids, twins, start, count, gram), _ = _unpacked(held, (5, 1, 6))
         order = np.argsort(gram)
@@ -263,10 +269,26 @@ def shared_grams(batches: Batches) -> Batches:
         found = np.flatnonzero(_spread(shared, heads, len(gram)) & ~witness)
         values = np.stack([(start << np.uint64(8) | count)[found].astype("<u8"), gram[found].astype("<u8")], 1)
         rows = [(doc, twin, at, None) for doc, twin, at in _by_document(ids[found], twins[found], values)]
+        runs_of = np.add.reduceat(np.where(witness, start.astype(np.int64), 1), heads)
+        many = np.flatnonzero(shared & (runs_of > crowd))
+        rows += [(g, n, None, b"") for g, n in zip(gram[heads[many]].tolist(), runs_of[many].tolist())]
         for i in range(0, len(rows), 20_000):
             yield _marks(rows[i : i + 20_000])
 
-    yield from _by_part(batches, settle)
+    return lambda batches: _by_part(batches, settle)
+
+
+def crowded_grams(grams: DataFrame, crowd: int, most: int = MOST_CROWDED) -> tuple[np.ndarray, np.ndarray]:
+    """The grams with more than `crowd` runs, ascending, and their numbers of runs; `most` of them or fewer.
+
+    If the runs of all these grams exceed crowd x most, only grams above their total / most are given: at most `most` can be.
+    """
+    found = grams.where("string IS NOT NULL")
+    least = max(crowd, (found.agg(F.sum("_d")).first()[0] or 0) // most)
+    table = found.where(F.col("_d") > least).select("doc_id", "_d").toArrow()
+    gram, size = (table.column(c).to_numpy() for c in ("doc_id", "_d"))
+    order = np.argsort(gram)
+    return gram[order].astype(np.uint64), size[order].astype(np.int64)
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -282,8 +304,18 @@ def _classes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
     return strings.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-def run_rows(parts: int, crowd: int):
-    """Map side of the bytes: runs for the parts, and whole repeats of a run that a smaller document of the batch has."""
+def slices_of(gram: np.ndarray, crowds: tuple[np.ndarray, np.ndarray], parts: int, crowd: int) -> np.ndarray:
+    """Over how many parts each gram is dealt."""
+    known, size = crowds
+    if not len(known):
+        return np.ones(len(gram), np.int64)
+    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+    return np.where(known[at] == gram, np.clip(-(-size[at] // max(crowd, 1)), 2, max(parts, 2)), 1)
+
+
+def run_rows(parts: int, crowd: int, crowds):
+    """Map side of the bytes: runs for the parts, and whole repeats of a run that a smaller document of the batch has.
+    crowds: a broadcast of `crowded_grams`."""
     def block(data, at, ids, twins, marks) -> pa.RecordBatch:
         many = np.array([sum(map(len, m)) // 16 for m in marks], np.int64)
         place, gram = np.frombuffer(b"".join(x for m in marks for x in m), "<u8").reshape(-1, 2).T
@@ -296,19 +328,9 @@ def run_rows(parts: int, crowd: int):
         own = _by_document(ids[row[whole]], twins[row[whole]], place[whole])
         o = np.flatnonzero(~whole)
         row, start, count, gram, length = (x[o] for x in (row, start, count, gram, length))
-        order = np.argsort(gram, kind="stable")
-        heads = _heads(gram[order])
-        size = np.zeros(len(row), np.int64)
-        size[order] = _spread(np.diff(np.concatenate([heads, [len(row)]])), heads, len(row))
-        crowded = size > crowd
-        slices = np.where(crowded, np.minimum(parts, -(-size // SLICE)), 1).astype(np.uint64)
-        part = (part_of(gram, parts).astype(np.int64) + (_mixed(ids[row].view(np.uint64)) % slices).astype(np.int64)) % parts
-        out = _packed(ids, twins, row, ((start, 5), (count, 1), (gram, 6), (crowded.astype(np.int64), 1)), part, parts, _gathered(data, at[row] + start, length), length)
-        news = np.unique(gram[crowded])  # tells the gram's own part that there are others
-        if len(news):
-            none = np.zeros(len(news), np.int64)
-            more = _packed(ids, twins, none, ((none, 5), (none + WITNESS, 1), (news, 6), (none + 1, 1)), part_of(news, parts).astype(np.int64), parts)
-            out = (out[0] + more[0], out[1] + more[1])
+        slices = slices_of(gram, crowds.value, parts, crowd)
+        part = (part_of(gram, parts).astype(np.int64) + (_mixed(ids[row].view(np.uint64)) % slices.astype(np.uint64)).astype(np.int64)) % parts
+        out = _packed(ids, twins, row, ((start, 5), (count, 1), (gram, 6), ((slices > 1).astype(np.int64), 1)), part, parts, _gathered(data, at[row] + start, length), length)
         return _parted(*out, [(-1 - doc % parts, doc, twin, x) for doc, twin, x in own])
 
     def run(batches: Batches) -> Batches:
@@ -483,19 +505,16 @@ def repeats(batches: Batches, most: int = 1 << 21) -> Batches:
     def settle(held: list[bytes]) -> Batches:
         (ids, twins, start, count, gram, crowded), rest = _unpacked(held, (5, 1, 6, 1))
         start, count, data = start.astype(np.int64), count.astype(np.int64), np.frombuffer(b"".join(rest), np.uint8)
-        length = np.where(count == WITNESS, 0, count + LENGTH - 1)
+        length = count + LENGTH - 1
         begins = np.cumsum(length) - length
         order = np.argsort(gram, kind="stable")
-        heads = _heads(gram[order])
-        crowd = np.zeros(len(gram), bool)
-        crowd[order] = _spread(np.logical_or.reduceat(crowded[order] > 0, heads), heads, len(gram))
+        heads, crowd = _heads(gram[order]), crowded > 0
         bounds, held_bytes = [0], np.concatenate([[0], np.cumsum(length[order])])
         for h in [*heads[1:].tolist(), len(order)]:  # whole grams, about `most` bytes at a time
             if held_bytes[h] - held_bytes[bounds[-1]] >= most or h == len(order):
                 bounds.append(h)
         for a, b in zip(bounds[:-1], bounds[1:]):
             o = order[a:b]
-            o = o[count[o] != WITNESS]
             if len(o):
                 rows = list(sorted_part(ids[o], twins[o], start[o], count[o], crowd[o], data, begins[o]))
                 for i in range(0, len(rows), 20_000):
@@ -512,9 +531,10 @@ def repeated_places(docs: DataFrame, part_bytes: int = 1 << 24, crowd: int = CRO
         total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
         dealt = text.mapInArrow(lean(gram_rows(parts)), PARTED).repartition(parts, "part").sortWithinPartitions("part")
-        grams = written(dealt.mapInArrow(lean(shared_grams), MARKS), "grams")
-        wanted = grams.groupBy("doc_id", "_d").agg(F.collect_list("at").alias("_ats"))
-        moved = text.join(wanted, ["doc_id", "_d"]).mapInArrow(lean(run_rows(parts, crowd)), PARTED)
+        grams = written(dealt.mapInArrow(lean(shared_grams(crowd)), MARKS), "grams")
+        crowds = spark.sparkContext.broadcast(crowded_grams(grams, crowd))
+        wanted = grams.where("string IS NULL").groupBy("doc_id", "_d").agg(F.collect_list("at").alias("_ats"))
+        moved = text.join(wanted, ["doc_id", "_d"]).mapInArrow(lean(run_rows(parts, crowd, crowds)), PARTED)
         found = written(moved.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(repeats), MARKS), "repeats")
         told = found.where("string IS NOT NULL")
         least = told.groupBy("string").agg(F.min("doc_id").alias("least"))

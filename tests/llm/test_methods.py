@@ -30,6 +30,39 @@ def test_crowded_grams_change_nothing(spark, sf_dir, crowd, part_bytes):
     assert places(crowd=crowd, part_bytes=part_bytes) == plain and len(plain) >= 299
 
 
+@pytest.mark.parametrize("share", [0.25, 0.9])
+def test_hot_gram_stays_flat(spark, share):
+    """Four times the documents in four times the parts: the hottest part gets no more runs of a common line, in whatever batches
+    they come. The line lies in few texts of each batch, so that only counts of the whole table tell that it is crowded."""
+    line, hottest, crowd = "a line of well over fifty bytes that very many of the documents have in common", [], 32
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for n, parts in ((1000, 16), (4000, 64)):
+            rng = np.random.default_rng(n)
+            rows = [(i, f"{rng.integers(10**18)} {line if rng.random() < share else 'x'} {rng.integers(10**18)} {rng.integers(10**18)}") for i in range(n)]
+            text = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("_d", F.lit(0).cast("long")).select("doc_id", "_d", "text").cache()
+            dealt = text.mapInArrow(suffix_dedup.gram_rows(parts), suffix_dedup.PARTED).repartition(parts, "part").sortWithinPartitions("part")
+            grams = dealt.mapInArrow(suffix_dedup.shared_grams(crowd), suffix_dedup.MARKS).cache()
+            gram, size = suffix_dedup.crowded_grams(grams, crowd)
+            runs = grams.where("string IS NULL").groupBy("doc_id", "_d").agg(F.collect_list("at").alias("_ats"))
+            marks = [m for r in runs.collect() for m in r["_ats"]]
+            all_grams, counts = np.unique(np.frombuffer(b"".join(marks), "<u8").reshape(-1, 2)[:, 1], return_counts=True)
+            assert dict(zip(gram.tolist(), size.tolist())) == {g: c for g, c in zip(all_grams.tolist(), counts.tolist()) if c > crowd} and len(gram)
+            limited, _ = suffix_dedup.crowded_grams(grams, crowd, 2)
+            assert len(limited) <= 2
+            crowds = spark.sparkContext.broadcast((gram, size))
+            moved = text.join(runs, ["doc_id", "_d"]).mapInArrow(suffix_dedup.run_rows(parts, crowd, crowds), suffix_dedup.PARTED).where("part >= 0")
+            held: dict[int, int] = {}
+            for r in moved.collect():
+                (*_, crowded), _ = suffix_dedup._unpacked([bytes(r.packed)], (5, 1, 6, 1))
+                held[r.part] = held.get(r.part, 0) + int(crowded.sum())
+            hottest.append(max(held.values()))
+            assert max(held.values()) <= 3 * sum(held.values()) / parts
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert hottest[1] <= 1.5 * hottest[0]
+
+
 def test_tally_decides(spark):
     """A pair that shares five bytes meets in one posting and is dropped by the tally; six bytes give all six."""
     for planes in range(256):
