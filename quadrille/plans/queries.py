@@ -296,6 +296,12 @@ def coverage_comparison(spark, sf_dir):
     return coverage.compare_coverage(meta.where("modality = 'click'"), meta.where("modality = 'view'"))
 
 
+@query(o.located_meta(1000) + ", seen AS (SELECT CAST(21 - (k + 10) - 1 AS INTEGER) AS y, CAST(c + 21 AS INTEGER) AS x, bool_or(modality = 'click') AS a, bool_or(modality = 'view') AS b FROM loc WHERE modality IN ('click', 'view') AND NOT nodata > 0.5 GROUP BY ALL) SELECT y, x, CASE WHEN a AND b THEN 255 ELSE 0 END AS r, CASE WHEN a THEN 255 ELSE 0 END AS g, CASE WHEN b THEN 255 ELSE 0 END AS b FROM seen")
+def coverage_colour_mix(spark, sf_dir):
+    meta = located(spark, sf_dir)
+    return coverage.mixed_coverage(*[coverage.coverage_mask(meta.where(F.col("modality") == m), COARSE) for m in ("click", "view")])
+
+
 @query(o.located_meta(1000) + f" SELECT k AS grid_row_u, modality, count(*) AS samples, count(DISTINCT {o.name()}) AS cells FROM loc GROUP BY ROLLUP (k, modality)")
 def coverage_statistics(spark, sf_dir):
     return coverage.coverage_stats(located(spark, sf_dir).withColumn("grid_row_u", F.col("grid_row_u").cast("long")), ["grid_row_u", "modality"])
