@@ -126,13 +126,3 @@ def write_png(pixels: np.ndarray) -> bytes:
     lines = np.zeros((height, 1 + width * n), np.uint8)
     lines[:, 1:] = pixels.reshape(height, width * n)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
-
-
-def encoded(samples: Column, height: Column, width: Column, channels: int, encoder: Callable[[np.ndarray], bytes] = write_png) -> Column:
-    """Samples of a picture (0..255, row by row, pixel by pixel) to its file; null stays null."""
-
-    @F.pandas_udf("binary")
-    def run(v: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else encoder(np.asarray(x).astype(np.uint8).reshape(int(a), int(b), channels)) for x, a, b in zip(v, h, w)], dtype=object)
-
-    return run(samples, height, width)
