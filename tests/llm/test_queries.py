@@ -310,3 +310,11 @@ def test_sketch(spark, at):
             text = next(t for has, k, t in docs if has and k == d) if d is not None else None
             if text is not None:
                 assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+    held = 0
+    for (has, d, text), (_, _, after) in zip(docs, [*docs[1:], docs[0]] if docs else []):
+        if has and len(want[d]) == 1 and after in by_text:
+            r = next(r for r in found if r["doc_id"] == d)
+            a, b = chunks(r["fingerprint"]), chunks(by_text[after])
+            assert r["near_next"] == (1.0 if text == after else len(a & b) / len(a) if a else 0.0)
+            held += 1
+    assert held > len(docs) / 3  # the edge cases repeat ids, whose rows cannot be told apart here
