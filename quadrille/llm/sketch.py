@@ -13,6 +13,7 @@ follows itself. Nothing of the input but doc_id and text is read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,11 @@ def containment(a: Column, b: Column, equal: Column) -> Column:
     return F.when(equal, 1.0).when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def listed(values: Iterable[float], of: str) -> Column:
+    """A constant array of numbers, as one literal text that the optimizer folds: a literal for each takes seconds to plan."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{of}>")
+
+
 def cell_of(value: Column, bounds: list[int]) -> Column:
     """Twice the number of bounds up to the value, and one more unless the value is a bound; null for null.
 
@@ -48,11 +54,9 @@ def cell_of(value: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.when(value.isNotNull(), F.lit(1))
     step = math.isqrt(len(bounds)) + 1
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    fine = F.array(*map(longs, blocks))
-    place = lambda n: let(F.element_at(fine, F.greatest(n, F.lit(1))), lambda own: 2 * ((F.greatest(n, F.lit(1)) - 1) * step + F.size(F.filter(own, lambda x: x <= value))) + F.when(F.array_contains(own, value), 0).otherwise(1))
-    return F.when(value.isNotNull(), let(F.size(F.filter(longs(x[0] for x in blocks), lambda x: x <= value)), place))
+    heads, flat = listed(bounds[::step], "bigint"), listed(bounds, "bigint")
+    place = lambda n: let(F.slice(flat, (n - 1) * step + 1, F.lit(step)), lambda own: 2 * ((n - 1) * step + F.size(F.filter(own, lambda x: x <= value))) + F.when(F.array_contains(own, value), 0).otherwise(1))
+    return F.when(value.isNotNull(), let(F.greatest(F.size(F.filter(heads, lambda x: x <= value)), F.lit(1)), place))
 
 
 def first_bytes(text: Column) -> Column:
@@ -61,7 +65,7 @@ def first_bytes(text: Column) -> Column:
 
 
 def _quantiles(column: Column, n: int) -> Column:
-    return F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(1, n)]), 4 * n)
+    return F.percentile_approx(column, listed((i / n for i in range(1, n)), "double"), 4 * n)
 
 
 def with_buckets(docs: DataFrame, partitions: int) -> tuple[DataFrame, int]:
@@ -89,17 +93,19 @@ def with_buckets(docs: DataFrame, partitions: int) -> tuple[DataFrame, int]:
         filled += sizes[key]
     numbers = {b: i for i, b in enumerate(sorted(set(bucket.values())))}
     of = {key: numbers[b] for key, b in bucket.items()}
-    plain = F.array(*[F.lit(of.get((k, 0), -1)) for k in range(-1, max(counts, default=-1) + 1)])
+    plain = listed((of.get((k, 0), -1) for k in range(-1, max(counts, default=-1) + 1)), "int")
     number = F.element_at(plain, cell + 2)
     for k in crowded:
         own = [of.get((k, j), -1) for j in range(max(j for c, j in of if c == k) + 1)]
-        number = F.when(cell == k, F.element_at(F.array(*map(F.lit, own)), sub + 1)).otherwise(number)
+        number = F.when(cell == k, F.element_at(listed(own, "int"), sub + 1)).otherwise(number)
     return docs.withColumn("_bucket", number), len(numbers)
 
 
-def with_next(docs: DataFrame, partitions: int) -> DataFrame:
+def with_next(docs: DataFrame, partitions: int, derived: dict[str, Column] | None = None) -> DataFrame:
     """Columns next_* from the document that follows in descending (doc_id, text); the last one gets the first.
 
+    Derived columns are computed once a row, after the rows are dealt, and have a next_* as well.
+
     Each bucket also gets the head of the bucket that follows as a ghost row, so one window per bucket sees every
     neighbour and no task sees more than a bucket. Rows that agree in id and in the first bytes stay in one bucket.
     """
@@ -110,7 +116,8 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     heads = firsts.groupBy("_bucket").agg(F.max_by(F.struct(*docs.columns), "text").alias("h"))
     ghosts = heads.select("h.*", ((F.col("_bucket") + 1) % max(n, 1)).alias("_bucket"), F.lit(True).alias("_ghost"))
     order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-    following = dealt.unionByName(ghosts).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in docs.columns])
+    every = dealt.unionByName(ghosts).withColumns(derived or {})
+    following = every.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in [*docs.columns, *(derived or {})]])
     return following.where("NOT _ghost").drop("_bucket", "_ghost")
 
 
@@ -118,8 +125,8 @@ def fingerprints(docs: DataFrame, words: int = 5, scale: int = 8) -> DataFrame:
     """The sketch of every document, of its edited text, and the likeness of both and of the next document."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("sketch", sketch(F.col("text"), words, scale))
-    both = with_next(own, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = docs.select("doc_id", text.alias("text"))
+    both = with_next(own, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), {"sketch": sketch(F.col("text"), words, scale)})
     cut = F.floor(F.length("text") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut)))
     both = both.withColumn("edited_sketch", sketch(F.col("edited"), words, scale))
