@@ -409,7 +409,7 @@ def ivf_pq_batch(spark, sf_dir):
 
 @query()
 def pca_composite(spark, sf_dir):
-    """Components are free in sign, so there is no SQL."""
+    """Components are free in sign, so there is no SQL; held against a singular value decomposition in tests/test_brute_force.py."""
     found = vector_index.rgb_of_components(vector_index.pca_composite(views.vectors(spark, sf_dir), "embedding"))
     return found.select("vec_id", "r", "g", "b")
 
@@ -513,7 +513,7 @@ def composite_mean_pool(spark, sf_dir):
 
 @query()
 def dem_hillshade(spark, sf_dir):
-    """Needs neighbours in two directions; tested for rows only so far."""
+    """Needs neighbours in two directions; held against plain loops in tests/test_brute_force.py."""
     return views.rasters(spark, sf_dir, 1000.0).select("vec_id", hillshade.hillshade(F.col("px"), 8, 8).alias("shades"))
 
 
@@ -543,7 +543,7 @@ def fragment_footprints(spark, sf_dir):
 
 @query()
 def embedded_fragments(spark, sf_dir):
-    """A Python model runs on each fragment; tested for rows only so far."""
+    """A Python model runs on each fragment; held against plain arithmetic in tests/test_brute_force.py."""
     px = views.rasters(spark, sf_dir)
     images = px.select(
         F.col("px").alias("B04"), F.lit(8).alias("B04_size"), F.slice("px", 1, 16).alias("B03"), F.lit(4).alias("B03_size"), F.lit("10U_5R").alias("grid_cell"), F.lit(10).cast("smallint").alias("grid_row_u"), F.lit(5).cast("smallint").alias("grid_col_r"),
