@@ -19,6 +19,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,18 +141,21 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.split(c) for c in chunks]
-        new = list({w for p in parts for w in p if w not in self.done})
+        parts = list(map(self.split, chunks))
+        words = list(chain.from_iterable(parts))
+        distinct = dict.fromkeys(words)
+        new = [w for w in distinct if w not in self.done]
         if len(self.done) + len(new) > MOST_WORDS:
-            self.done = {}
-            new = list({w for p in parts for w in p})
+            self.done, new = {}, list(distinct)
         done, ranks = self.done, self.ranks
         coded = [w.encode() for w in new]
         done.update((w, (ranks[b],)) for w, b in zip(new, coded) if b in ranks)
         rest = [(w, b) for w, b in zip(new, coded) if b not in ranks]
         done.update(zip([w for w, _ in rest], map(tuple, replay([b for _, b in rest], ranks, self.tokens))))
-        sizes = np.array([sum(len(done[w]) for w in p) for p in parts], np.int64)
-        flat = np.array([t for p in parts for w in p for t in done[w]], np.uint32)
+        ids = list(map(done.__getitem__, words))
+        last = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        sizes = np.diff(last[np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, last[-1])
         if len(done) > MOST_WORDS:
             self.done = {}
         return flat, sizes
@@ -165,7 +169,7 @@ class Codec:
         return self.bytes[np.arange(last[-1] if len(last) else 0) + np.repeat(self.start[ids] - (last - size), size)].tobytes()
 
 
-def groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str], size: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `size` characters."""
     first = total = 0
     for i, t in enumerate(texts):
