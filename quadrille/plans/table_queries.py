@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadrille.functions import table_functions
+from quadrille.functions.rounding import rounded
 from quadrille.operators import asof, fragments, layout
 from quadrille.plans import oracles as o
 from quadrille.plans import views
@@ -18,7 +19,7 @@ def box_by_layout(spark, sf_dir):
     """The samples of a box from a table along the curve; tests/test_layout.py counts the files that are opened."""
     path = shared_path(spark, "layout")
     layout.write_clustered(views.metadata(spark, sf_dir), path, "centre_lat", "centre_lon")
-    return layout.read_box(spark, path, EUROPE, "centre_lat", "centre_lon").select("event_id", F.round("centre_lat", 6).alias("lat"), F.round("centre_lon", 6).alias("lon"))
+    return layout.read_box(spark, path, EUROPE, "centre_lat", "centre_lon").select("event_id", rounded(F.col("centre_lat"), 6).alias("lat"), rounded(F.col("centre_lon"), 6).alias("lon"))
 
 
 @query(f"WITH {o.META}, {o.POINTS}, b AS (SELECT lat, max(point_id) AS point_id FROM pts GROUP BY lat) SELECT event_id, b.point_id FROM meta ASOF LEFT JOIN b ON centre_lat > b.lat")
@@ -34,7 +35,7 @@ def pixel_windows(spark, sf_dir):
     px = views.rasters(spark, sf_dir).withColumn("up", F.transform("px", lambda v: v + 1))
     q = fragments.unfolded(px, ["px", "up"], 8, 8, (3, 5), (2, 3))
     total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x)
-    return q.select("vec_id", "frag_row", "frag_col", F.size("pixels").alias("n"), F.round(total, 5).alias("total"), F.round(F.get("pixels", F.lit(0)), 6).alias("first_px"), F.round(F.get("pixels", F.lit(15)), 6).alias("second_band"))
+    return q.select("vec_id", "frag_row", "frag_col", F.size("pixels").alias("n"), rounded(total, 5).alias("total"), rounded(F.get("pixels", F.lit(0)), 6).alias("first_px"), rounded(F.get("pixels", F.lit(15)), 6).alias("second_band"))
 
 
 @query(f"WITH s AS (SELECT p_partkey, CAST(p_size + 60 AS INTEGER) AS height FROM part), {', '.join(f'f{h} AS (WITH ' + o.fragments_sql(h, 40, 'p_partkey', f'(SELECT p_partkey FROM s WHERE height = {h})', 0.25) + ' SELECT * FROM frag)' for h in range(61, 111))} {' UNION ALL '.join(f'SELECT *, 40 AS size FROM f{h}' for h in range(61, 111))}")

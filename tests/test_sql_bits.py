@@ -30,7 +30,7 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["composite_mean_pool", "flip_and_crop"])
+@pytest.mark.parametrize("name", ["composite_mean_pool", "flip_and_crop", "l2_normalise", "s2_reflectance", "raster_statistics", "dequantise"])
 def test_signs_of_zeros(spark, folder, name):
     mine, theirs = bits(QUERIES[name](spark, folder), duck(folder), SQL[name])
     assert mine == theirs
