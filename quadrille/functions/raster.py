@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,31 +68,42 @@ def grayscale(dem: Column) -> Column:
     return F.transform(stretched(dem), lambda x: F.floor(x).cast("int"))
 
 
-def radar_channel(band: Column, nodata: float = NODATA) -> Column:
-    """A radar band to 0..255: negatives become the least non-negative value, then decibels and min-max over valid
-    pixels; pixels without data are 0. Zero pixels have no logarithm: they count as the floor of the decibel scale."""
-    def in_decibels(v: Column, least: Column) -> Column:
-        return F.transform(v, lambda x: F.when(x == nodata, F.lit(None)).otherwise(10 * F.log10(F.greatest(F.when(x < 0, least).otherwise(x), F.lit(1e-10)))))
+def radar_pixels(vv: np.ndarray, vh: np.ndarray, nodata: float = NODATA) -> np.ndarray:
+    """Two radar bands to r, g, b of uint8 in a last axis: red vv, blue vh, green their sum over its maximum.
 
-    def over_valid(db: Column) -> Column:
-        return let(_span(F.filter(db, lambda x: x.isNotNull())), lambda s: F.transform(_between(db, s["low"], s["high"]), lambda x: F.coalesce(x, F.lit(0.0))))
+    In each band negatives become the least non-negative value, then decibels and min-max over valid pixels; pixels without
+    data are 0. Zero and unknown (NaN) pixels have no logarithm: they count as the floor of the decibel scale. Logarithms are
+    the C library's, as in SQL engines: others differ in the last bit of some, which decides whether the brightest
+    pixel is cut off to 255 or to 254.
+    """
+    def channel(x: np.ndarray) -> np.ndarray:
+        valid = x != nodata
+        least = x[x >= 0].min(initial=np.inf)
+        power = np.where(np.isnan(x), 1e-10, np.maximum(np.where(x < 0, least if least < np.inf else 1e-10, x), 1e-10))
+        db = 10 * np.array([math.log10(p) for p in power.ravel().tolist()]).reshape(x.shape)
+        low, high = db[valid].min(initial=np.inf), db[valid].max(initial=-np.inf)
+        return np.where(valid, 255 * (db - low) / (high - low), 0.0) if low < high < np.inf else np.zeros_like(x)
 
-    return let(band, lambda v: let(F.array_min(F.filter(v, lambda x: x >= 0)), lambda least: let(in_decibels(v, least), over_valid)))
+    r, b = channel(vv), channel(vh)
+    top = (r + b).max(initial=0)
+    return np.stack([r, 255 * (r + b) / top if top > 0 else np.zeros_like(r), b], -1).astype(np.uint8)
 
 
 def radar_thumbnail(vv: Column, vh: Column, nodata: float = NODATA) -> Column:
-    """Pixels as struct<r,g,b> of uint8: red vv, blue vh, green their sum over its maximum."""
-    byte = lambda x: F.floor(x).cast("int")
-
-    def pixel(p: Column, top: Column) -> Column:
-        green = F.when(top > 0, 255 * (p["r"] + p["b"]) / top).otherwise(F.lit(0.0))
-        return F.struct(byte(p["r"]).alias("r"), byte(green).alias("g"), byte(p["b"]).alias("b"))
-
-    def shaded(pairs: Column) -> Column:
-        return let(F.array_max(F.transform(pairs, lambda p: p["r"] + p["b"])), lambda top: F.transform(pairs, lambda p: pixel(p, top)))
-
-    both = F.zip_with(radar_channel(vv, nodata), radar_channel(vh, nodata), lambda r, b: F.struct(r.alias("r"), b.alias("b")))
-    return let(both, shaded)
+    """Pixels as struct<r,g,b> of uint8, by `radar_pixels`; null if a band is. Bands of one row have one size."""
+    names = ["r", "g", "b"]
+
+    @F.arrow_udf("array<struct<r:int,g:int,b:int>>")
+    def run(first: pa.Array, second: pa.Array) -> pa.Array:
+        bands = [(a.to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)) for a in (first, second)]
+        known = pc.and_(first.is_valid(), second.is_valid()).to_numpy(zero_copy_only=False)
+        sizes = np.where(known, bands[0][1], 0)
+        shades = [radar_pixels(np.asarray(a, np.float64), np.asarray(b, np.float64), nodata) for a, b, k in zip(bands[0][0], bands[1][0], known) if k]
+        flat = np.concatenate([np.zeros((0, 3), np.uint8), *shades]).astype(np.int32)
+        pixels = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], names)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pixels, mask=pa.array(~known))
+
+    return run(vv.cast("array<double>"), vh.cast("array<double>"))
 
 
 def dequantised(values: Column) -> Column:

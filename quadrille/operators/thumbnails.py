@@ -45,19 +45,7 @@ def optical(red: Column, green: Column, blue: Column, gain: float = 1.3, gamma:
 
 def radar(vv: Column, vh: Column, nodata: float = raster.NODATA, decoder: Callable = tiff, encoder: Callable = write_png) -> Column:
     """Two bands of backscatter to a colour picture, as `raster.radar_thumbnail`."""
-    def channel(x: np.ndarray) -> np.ndarray:
-        valid = x != nodata
-        least = x[x >= 0].min(initial=np.inf)
-        db = 10 * np.log10(np.maximum(np.where(x < 0, least, x), 1e-10))
-        low, high = db[valid].min(initial=np.inf), db[valid].max(initial=-np.inf)
-        return np.where(valid, 255 * (db - low) / (high - low), 0.0) if low < high < np.inf else np.zeros_like(x)
-
-    def pixels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        r, b = channel(a), channel(b)
-        top = (r + b).max(initial=0)
-        return np.stack([r, 255 * (r + b) / top if top > 0 else np.zeros_like(r), b], -1).astype(np.uint8)
-
-    return _file([vv, vh], pixels, decoder, encoder)
+    return _file([vv, vh], lambda a, b: raster.radar_pixels(a, b, nodata), decoder, encoder)
 
 
 def elevation(dem: Column, decoder: Callable = tiff, encoder: Callable = write_png) -> Column:

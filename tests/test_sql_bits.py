@@ -41,3 +41,11 @@ def test_rounded(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), 6)).collect()]
     want = [duck("/nowhere").execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
     assert list(map(repr, got)) == list(map(repr, want))
+
+
+def test_brightest_pixels(spark, tmp_path):
+    """Decibels of random pixels: the brightest of a raster is cut off to 255 or 254 by the last bit of its logarithm."""
+    x = np.abs(np.random.default_rng(1).normal(0, 0.12, (20000, 64))).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    mine, theirs = bits(QUERIES["s1_thumbnail"](spark, str(tmp_path)), duck(str(tmp_path)), SQL["s1_thumbnail"])
+    assert mine == theirs
