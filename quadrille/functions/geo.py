@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadrille.functions.binding import let
+
 # Fixed values of the ellipsoid (WGS 84) and of the projection (UTM).
 A_AXIS, FLATTENING, SCALE, EASTING, NORTHING_SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
 N3 = FLATTENING / (2 - FLATTENING)
@@ -78,23 +80,37 @@ def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) ->
     return lon.between(box[0], box[2]) & lat.between(box[1], box[3])
 
 
-def in_polygon(x: Column, y: Column, ring: Column) -> Column:
-    """Strictly inside a ring, array<struct<x,y>> with or without the closing point; the boundary is outside.
+def ring_edges(ring: Column) -> Column:
+    """west and south of a ring's box, and its edges (a to b) counted from that corner: what `within` takes; null for a null ring."""
+    n = F.size(ring)
+    corner = F.struct(F.array_min(F.transform(ring, lambda p: p.x)).alias("west"), F.array_min(F.transform(ring, lambda p: p.y)).alias("south"))
+
+    def edges(o: Column) -> Column:
+        local = lambda p: F.struct((p.x - o.west).alias("x"), (p.y - o.south).alias("y"))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(local(F.get(ring, i)).alias("a"), local(F.get(ring, (i + 1) % n)).alias("b")))
+
+    return F.when(n > 0, let(corner, lambda o: F.struct(o.west.alias("west"), o.south.alias("south"), edges(o).alias("edges"))))
 
-    Counts the edges that a ray to the right crosses, and looks for an edge that the point lies on.
+
+def within(x: Column, y: Column, own: Column) -> Column:
+    """Strictly inside the ring of `ring_edges`; the boundary is outside.
+
+    Counts the edges that a ray to the right crosses. On which side of an edge the point lies is told by the sign of a cross
+    product of differences from the corner of the ring's box: a quotient's rounding would move points that lie on a
+    slanting edge off it.
     """
-    n = F.size(ring)
-    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, (i + 1) % n).alias("b")))
+    def inside(p: Column) -> Column:
+        cross = lambda e: (e.b.x - e.a.x) * (p.y - e.a.y) - (e.b.y - e.a.y) * (p.x - e.a.x)
+        crossed = F.filter(own.edges, lambda e: ((e.a.y > p.y) != (e.b.y > p.y)) & ((cross(e) > 0) == (e.b.y > e.a.y)))
+        beside = lambda e: p.x.between(F.least(e.a.x, e.b.x), F.greatest(e.a.x, e.b.x)) & p.y.between(F.least(e.a.y, e.b.y), F.greatest(e.a.y, e.b.y))
+        return (F.size(crossed) % 2 == 1) & ~F.exists(own.edges, lambda e: beside(e) & (cross(e) == 0))
 
-    def crosses(e):
-        over = (e.a.y > y) != (e.b.y > y)
-        return over & (x < (e.b.x - e.a.x) * (y - e.a.y) / F.when(over, e.b.y - e.a.y) + e.a.x)
+    return F.coalesce(let(F.struct((x - own.west).alias("x"), (y - own.south).alias("y")), inside), F.lit(False))
 
-    def touches(e):
-        flat = (e.b.x - e.a.x) * (y - e.a.y) == (e.b.y - e.a.y) * (x - e.a.x)
-        return flat & x.between(F.least(e.a.x, e.b.x), F.greatest(e.a.x, e.b.x)) & y.between(F.least(e.a.y, e.b.y), F.greatest(e.a.y, e.b.y))
 
-    return F.coalesce((F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, touches), F.lit(False))
+def in_polygon(x: Column, y: Column, ring: Column) -> Column:
+    """Strictly inside a ring, array<struct<x,y>> with or without the closing point; see `within`."""
+    return let(ring_edges(ring), lambda own: within(x, y, own))
 
 
 def ring_centroid(ring: Column) -> Column:

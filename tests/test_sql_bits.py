@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quadrille.functions.geo import in_polygon
 from quadrille.functions.rounding import rounded
 from quadrille.plans import queries as plans
 
@@ -43,6 +44,22 @@ def test_rounded(spark):
     assert list(map(repr, got)) == list(map(repr, want))
 
 
+def test_points_on_slanting_edges(spark):
+    """A hexagon of the lattice, and points whose decimals lie on its edges: the cross product's sign decides, as in the SQL."""
+    west, south = -150.0, -40.0
+    ring = [(west + a, south + b) for a, b in ((2.5, 0), (7.5, 0), (10, 5), (7.5, 10), (2.5, 10), (0, 5))]
+    points = [(-148.711, -32.422000000000004), (-148.711, -32.43), (-148.711, -32.41)] + [(west + i / 1000, south + 5 + 2 * i / 1000) for i in range(1, 2500, 7)]
+
+    def side(p, a, b):
+        return (b[0] - a[0]) * (p[1] - south - (a[1] - south)) - (b[1] - a[1]) * (p[0] - west - (a[0] - west))
+
+    want = [all(side(p, a, b) > 0 for a, b in zip(ring, ring[1:] + ring[:1])) for p in points]
+    df = spark.createDataFrame([(i, *p, ring) for i, p in enumerate(points)], "i int, x double, y double, ring array<struct<x:double,y:double>>")
+    assert [r[0] for r in df.orderBy("i").select(in_polygon(F.col("x"), F.col("y"), F.col("ring"))).collect()] == want and 0 < sum(want) < len(want)
+    closed = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]), (2, None), (3, [])], "i int, ring array<struct<x:double,y:double>>")
+    assert [r[0] for r in closed.orderBy("i").select(in_polygon(F.lit(1.0), F.lit(1.0), F.col("ring"))).collect()] == [True, False, False]
+
+
 def test_brightest_pixels(spark, tmp_path):
     """Decibels of random pixels: the brightest of a raster is cut off to 255 or 254 by the last bit of its logarithm."""
     x = np.abs(np.random.default_rng(1).normal(0, 0.12, (20000, 64))).astype(np.float32)
