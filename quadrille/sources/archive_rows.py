@@ -4,8 +4,8 @@
     spark.read.format("archive_rows").schema("thumbnail binary").option("wanted", folder).load()
 
 `wanted` is a folder of Parquet files with a row for each file and portion of its rows (parquet_url, rows: array<int>), as
-`plan_rows` writes it. Each such row is a partition: its task reads the footer of one file, finds the row groups that hold the
-rows, and reads these groups and the named columns, nothing else. The rows come with their address (parquet_url,
+`plan_rows` writes it, a row group each. Each such row is a partition: its task reads this row of the plan and the footer of one
+file, finds the row groups that hold the rows, and reads these groups and the named columns, nothing else. The rows come with their address (parquet_url,
 parquet_row) in front. The driver only counts the rows of the plan, from its footers; the ordinals stay with the tasks. A row
 that a file doesn't have is an error.
 
@@ -64,7 +64,7 @@ def picked(url: str, rows: list[int], columns: list[str], opener=opened) -> Iter
 @dataclass
 class Portion(InputPartition):
     file: str  # of the plan
-    ordinal: int  # of the row there
+    ordinal: int  # of the row group there, which is one row
 
     def __init__(self, file: str, ordinal: int):
         super().__init__((file, ordinal))
@@ -83,14 +83,17 @@ class ArchiveRowReader(DataSourceReader):
         out = []
         for file in sorted(files):
             with opened(prefix + file) as source:
-                out += [Portion(prefix + file, k) for k in range(pq.ParquetFile(source).metadata.num_rows)]
+                found = pq.ParquetFile(source).metadata
+                if found.num_row_groups != found.num_rows:
+                    raise ValueError(f"{file} is no plan: it has {found.num_rows} rows in {found.num_row_groups} row groups")
+                out += [Portion(prefix + file, k) for k in range(found.num_rows)]
         return out
 
     def read(self, partition: Portion | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # so Spark reads a plan without rows
             return
         with opened(partition.file) as source:
-            plan = pq.read_table(source, columns=["parquet_url", "rows"]).slice(partition.ordinal, 1).to_pylist()[0]
+            plan = pq.ParquetFile(source).read_row_groups([partition.ordinal], columns=["parquet_url", "rows"]).to_pylist()[0]
         columns = [n for n in self.names if n not in ADDRESS]
         for batch in picked(plan["parquet_url"], plan["rows"], columns, self.opener):
             address = {"parquet_url": pa.array([plan["parquet_url"]] * batch.num_rows, pa.string())}
@@ -112,11 +115,37 @@ class ArchiveRows(DataSource):
 def plan_rows(wanted: DataFrame, path: str, portion: int = 256) -> None:
     """Write the plan of a read: the addresses (parquet_url, parquet_row) of `wanted`, each once, by file and portion of rows.
 
-    A portion spans `portion` ordinals, so a file of which very many rows are wanted is read by many tasks.
+    A portion spans `portion` ordinals, so a file of which very many rows are wanted is read by many tasks. Each portion is a row
+    group and a file of the plan has few, so that a task reads its own portion and not the plan.
     """
     own = wanted.select(F.col("parquet_url").cast("string").alias("parquet_url"), F.col("parquet_row").cast("int").alias("parquet_row")).where("parquet_url IS NOT NULL AND parquet_row IS NOT NULL")
     by_file = own.groupBy("parquet_url", F.floor(F.col("parquet_row") / portion).alias("portion")).agg(F.sort_array(F.collect_set("parquet_row")).alias("rows"))
-    by_file.select("parquet_url", "rows").write.parquet(path)
+    by_file.select("parquet_url", "rows").write.option("parquet.block.row.count.limit", 1).option("maxRecordsPerFile", 64).parquet(path)
+
+
+def addresses(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of all rows of the archives below `path`, with their address (parquet_url, parquet_row).
+
+    A task takes whole files and reads the chunks of these columns only. Spark's own reader (`readers.archive`) fetches some
+    128 KB around each chunk, which in an archive of one raster a row group is far more than the archive.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    kept = spark.read.parquet(path).select(*columns).schema
+    kinds = to_arrow_schema(StructType([StructField("parquet_url", StringType()), StructField("parquet_row", IntegerType()), *kept.fields]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url in batch.column("path").to_pylist():
+                with opened(url) as source:
+                    at = 0
+                    for part in pq.ParquetFile(source).iter_batches(8192, columns=columns):
+                        n = part.num_rows
+                        arrays = [pa.array([url] * n, pa.string()), pa.array(np.arange(at, at + n, dtype=np.int32)), *[part.column(c) for c in columns]]
+                        yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, kinds)], schema=kinds)
+                        at += n
+
+    schema = StructType([StructField("parquet_url", StringType()), StructField("parquet_row", IntegerType()), *kept.fields])
+    return files.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(run, schema)
 
 
 def read_rows(wanted: DataFrame, columns: StructType, portion: int = 256, opener: str | None = None) -> DataFrame:

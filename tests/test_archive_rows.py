@@ -77,6 +77,25 @@ def test_decodes_after_the_join(spark, folder):
     assert plan.index("ArrowEvalPython") < plan.index("Join")
 
 
+def test_plan_is_read_by_portion(spark, folder, tmp_path, monkeypatch):
+    wanted = spark.createDataFrame([(f"{folder}/{f}.parquet", i) for f in "xyz" for i in range(0, 1000, 3)], "parquet_url string, parquet_row int")
+    archive_rows.plan_rows(wanted.coalesce(1), f"{tmp_path}/plan", 5)
+    reader = archive_rows.ArchiveRowReader(StructType([StructField("id", LongType())]), {"wanted": f"{tmp_path}/plan"})
+    parts, taken, own = reader.partitions(), [], pq.ParquetFile.read_row_groups
+    monkeypatch.setattr(pq, "read_table", None)  # the whole plan is never read
+    monkeypatch.setattr(pq.ParquetFile, "read_row_groups", lambda self, groups, **k: taken.append((self.metadata.num_row_groups, len(groups))) or own(self, groups, **k))
+    got = [v for p in parts for b in reader.read(p) for v in b.column(0).to_pylist()]
+    assert sorted(got) == [i + k for k in (0, 1000, 2000) for i in range(0, 1000, 3)]
+    assert len(taken) == len(parts) > 500 and {n for _, n in taken} == {1} and max(n for n, _ in taken) <= 64
+
+
+def test_addresses(spark, folder):
+    mine = archive_rows.addresses(spark, str(folder), ["id"])
+    theirs = readers.archive(spark, str(folder), ["id"])
+    plain = lambda df: sorted((archive_rows.uri(r.parquet_url), r.parquet_row, r.id) for r in df.collect())
+    assert plain(mine) == plain(theirs) and mine.columns == theirs.columns and mine.count() == 3000
+
+
 def test_query(spark, sf_dir):
     from quadrille.plans import queries
 
