@@ -26,6 +26,12 @@ class ChunkIds:
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The ids of each text, given as its chunks."""
+        found, cuts = self.flat_ids(texts)
+        cuts = cuts.tolist()
+        return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def flat_ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin."""
         chunks = list(chain.from_iterable(texts))
         which, holes, new = self._known(chunks)
         if self.number and len(self.number) + len(new) > self.most:
@@ -41,11 +47,11 @@ class ChunkIds:
         start, size = ends[which], ends[which + 1] - ends[which]
         last = np.concatenate([[0], np.cumsum(size)])
         found = flat[np.arange(last[-1]) + np.repeat(start - last[:-1], size)]
-        cuts = last[np.cumsum([len(t) for t in texts], dtype=np.int64)] if texts else []
+        cuts = last[np.cumsum([0, *map(len, texts)], dtype=np.int64)]
         del flat, ends, start  # views keep the arrays from growing
         if len(self.number) > self.most:
             self.clear()
-        return [found[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+        return found, cuts
 
     def _known(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The number of each chunk or -1, the places of those, and the new chunks."""

@@ -222,3 +222,18 @@ def test_long_turns_are_copied_twice_at_most(spark):
     assert sum(len(t) for t, _ in own(found[0])) < 1.1 * sum(len(x[3]) for x in turns) + 20_000
     back = [chat.read_back(chat.format_chats(df, path, pattern, segment=s)).first()[:5] for s in (512, 1 << 40)]
     assert back[0] == back[1]
+
+
+def test_words_are_cut_once_a_run():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    texts = ["", " ", "it's  they'll,ok don't'", "a_b_ 12x3 été naïve 中文 é", "x\x1cy\u0085z", "Ⅷ ΣΟΣ <|endoftext|>", "Word, word. " * 50]
+    assert [x.tolist() for x in own.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"word,", "word.", "they'll,ok"} <= set(own.cache.number) and {"word", ",", "'ll"} <= set(own.pieces.number)
+    cut = []
+    own.cache.encode = lambda runs: cut.append(runs) or own._cut(runs)
+    own.ids(["word, word. new! word,"])
+    assert cut == [["new!"]]
