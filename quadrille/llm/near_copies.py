@@ -9,15 +9,16 @@ near the edge of a class (a power of two) are posted under both classes, so that
 
 Under 64 shingles two documents alike by 0.8 differ in at most a quarter of them, so one section at least is free of
 differences: the guaranteed minimum. From 64 on, `LEAST_SHARED` equal sections are asked for; 99.9 % of pairs at 0.8
-have them, and more above. Before that count, pairs are held to a bound that loses nothing: each set has an odd sketch
+have them, and more above. They are tallied as in simhash: a row for each posting that a pair meets in, and a grouped count. Before that count, pairs are held to a bound that loses nothing: each set has an odd sketch
 (512 bits, bit h mod 512 turned over for each shingle hash h), two of which differ in no more bits than the sets in
 shingles, at most a ninth of both sizes together at 0.8. It tells 0.75 from 0.8 up to some 500 shingles and little above
 1,000. Pairs that pass are compared exactly, on their whole sets, so nothing below 0.8 is ever linked. Sets, not documents, are compared: equal sets collapse first, however many documents have them.
 
 Pairs of a large group would grow with its square. So each set is first compared with the least set of each of its
 postings, then, where a posting still holds several components, with some members of the largest one; what that connects
-needs no more pairs. The few sets that stay outside a posting's largest component are compared with all others there
-that they aren't connected to; each pair counts once, and only if it shares enough positions.
+needs no more pairs. The few sets that stay outside a posting's largest component meet all others there that they
+aren't connected to; pairs stay if the tally of their meetings reaches enough positions. A pair meets its star's centre
+in some of their common postings only, so such pairs meet again in all of them to be tallied.
 
 A posting with more than `most_others` sets outside (a passage that very many documents share) says little. Its sets
 meet by their rarest shingles instead: of two sets alike by 0.8 each has one at least of the other's among the fifth (and
@@ -176,9 +177,10 @@ def _possible(n: str, m: str, odd: str, other: str):
     return sized & (9 * differing.cast("long") <= F.col(n).cast("long") + F.col(m))
 
 
-def _enough(keys: str, others: str, n: str, m: str):
-    """Sets share as many positions as sets alike by 0.8 do."""
-    return F.size(F.array_intersect(keys, others)) >= F.when(F.least(n, m) >= 64, LEAST_SHARED).otherwise(1)
+def _tallied(meetings: DataFrame) -> DataFrame:
+    """The count filter: of meetings (a, b, least: the smaller size), one for each position that a and b share, the pairs (a, b) that share as many as sets alike by 0.8 do."""
+    tally = meetings.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least"))
+    return tally.where(F.col("shared") >= F.when(F.col("least") >= 64, LEAST_SHARED).otherwise(1)).select("a", "b")
 
 
 def _similar(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -189,16 +191,21 @@ def _similar(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def _stars(index: DataFrame, order, centres: int) -> DataFrame:
-    """Pairs (a, b) of each set of index (set, n, odd, key, keys) with the first sets of its postings by `order`."""
-    first = F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("set").alias("s"), F.col("n").alias("m"), "keys", "odd"))), 1, centres)
+    """Pairs (a, b) of each set of index (set, n, root, odd, key) with the first sets of its postings by `order`, of another root."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("set").alias("s"), F.col("n").alias("m"), F.col("root").alias("r"), "odd"))), 1, centres)
     kept = index.groupBy("key", F.pmod(F.xxhash64("set"), F.lit(64)).alias("slice")).agg(first.alias("low"))  # so that no group holds a whole posting
     kept = kept.select("key", F.explode("low").alias("c")).groupBy("key").agg(F.slice(F.array_sort(F.collect_list("c")), 1, centres).alias("low"))
     kept = kept.select(F.col("key").alias("k"), F.explode("low").alias("c"))
-    compared = (F.col("key") == F.col("k")) & (F.col("set") != F.col("c.s")) & _possible("n", "c.m", "odd", "c.odd")
-    pairs = index.join(kept, compared & _enough("keys", "c.keys", "n", "c.m"))
+    pairs = index.join(kept, (F.col("key") == F.col("k")) & (F.col("root") != F.col("c.r")) & _possible("n", "c.m", "odd", "c.odd"))
     return pairs.select(F.greatest("set", "c.s").alias("a"), F.least("set", "c.s").alias("b")).distinct()
 
 
+def _meetings(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """A row (a, b, least) for each posting that both sets of a pair are in: a pair meets its star's centre in some of them only."""
+    one, other = (postings.select(F.col("set").alias(name), F.col("n").alias(size), "key") for name, size in (("a", "n"), ("b", "m")))
+    return pairs.join(one, "a").join(other, ["b", "key"]).select("a", "b", F.least("n", "m").alias("least"))
+
+
 def _unsettled(index: DataFrame) -> DataFrame:
     """Of index (set, n, root, key), the rows under keys that hold several roots, with `main` (the commonest root), `others` (sets outside it) and `all`."""
     sizes = index.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
@@ -207,12 +214,12 @@ def _unsettled(index: DataFrame) -> DataFrame:
 
 
 def _by_rarest(index: DataFrame, hashes: DataFrame) -> DataFrame:
-    """The sets of index (set, n, root, keys, odd) under the rarest fifth, and one, of their shingles.
+    """The sets of index (set, n, root, odd) under the rarest fifth, and one, of their shingles.
 
     Rare by the number of these sets that hold a shingle, ties by its hash: one order for all, so that like sets share one.
     Shingles that a single set holds come first and make no posting.
     """
-    sets = index.dropDuplicates(["set"]).select("set", "n", "root", "keys", "odd")
+    sets = index.dropDuplicates(["set"]).select("set", "n", "root", "odd")
     held = sets.select("set").join(hashes, "set").select("set", F.explode("hashes").alias("h"))
     counts = held.groupBy("h").agg(F.count("*").alias("c"))
     ranked = held.join(counts, "h").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("all"))  # one text's shingles
@@ -221,15 +228,13 @@ def _by_rarest(index: DataFrame, hashes: DataFrame) -> DataFrame:
     return sets.join(ranked.select("set", F.explode(F.transform(prefix, lambda x: x["h"])).alias("key")), "set")
 
 
-def _across(index: DataFrame, counted: bool = True) -> DataFrame:
-    """Pairs (a, b) under one key that aren't connected yet, each under the least key that they share; `counted`: only those that share enough positions."""
-    left = index.where("root <> main").select(F.col("key").alias("k"), F.col("set").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("keys").alias("sk"), F.col("odd").alias("sd"), F.col("own").alias("so"))
-    right = index.select("key", "set", "n", "root", "main", "keys", "odd", "own")
+def _across(index: DataFrame) -> DataFrame:
+    """A row (a, b, least) for each key under which two sets meet that aren't connected yet."""
+    left = index.where("root <> main").select(F.col("key").alias("k"), F.col("set").alias("s"), F.col("n").alias("sn"), F.col("root").alias("sr"), F.col("odd").alias("sd"))
+    right = index.select("key", "set", "n", "root", "main", "odd")
     apart = (F.col("sr") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("s") > F.col("set")))
-    once = F.col("key") == F.array_min(F.array_intersect("so", "own"))
-    enough = _enough("sk", "keys", "sn", "n") if counted else F.lit(True)
-    pairs = left.join(right, (F.col("k") == F.col("key")) & apart & _possible("sn", "n", "sd", "odd") & enough & once)
-    return pairs.select(F.greatest("s", "set").alias("a"), F.least("s", "set").alias("b"))
+    pairs = left.join(right, (F.col("k") == F.col("key")) & apart & _possible("sn", "n", "sd", "odd"))
+    return pairs.select(F.greatest("s", "set").alias("a"), F.least("s", "set").alias("b"), F.least("sn", "n").alias("least"))
 
 
 def near_copies(docs: DataFrame, most_others: int = 2048) -> DataFrame:
@@ -267,27 +272,25 @@ def _rooted(docs: DataFrame, found: DataFrame, most_others: int) -> DataFrame:
     sets = written(found.groupBy("set").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.min("text_key").alias("text_key")), "sets")
     index = sets.select("set", "n", F.explode("keys").alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    postings = written(index.join(sizes, "key").join(sets.select("set", "keys", "odd"), "set"), "postings")
+    postings = written(index.join(sizes, "key").join(sets.select("set", "odd"), "set"), "postings")
     members = sets.join(postings.select("set").distinct(), "set", "left_semi").select("text_key")
     texts = keyed(docs).select("text_key", "text").join(members, "text_key", "left_semi").dropDuplicates(["text_key"])
     hashes = written(texts.mapInArrow(lean(_hashes), "set long, hashes array<long>"), "hashes")
-    stars = written(_similar(_stars(postings, F.lit(0), 1), hashes), "stars")
+    met = _stars(postings.withColumn("root", F.col("set")), F.lit(0), 1)
+    stars = written(_similar(_tallied(_meetings(met, postings)), hashes), "stars")
     rooted = [written(components(stars), "rooted")]
     first = now(postings, rooted[0])
-    more = written(_similar(_stars(first, F.struct(F.col("root") != F.col("main"), F.xxhash64("set", "key")), CENTRES), hashes), "stars")
+    met = _stars(first, F.struct(F.col("root") != F.col("main"), F.xxhash64("set", "key")), CENTRES)
+    more = written(_similar(_tallied(_meetings(met, first)), hashes), "stars")  # sets of two roots share no posting but unsettled ones
     rooted.append(_grown(rooted[0], more))
     index = now(first, rooted[1])
     used = [postings, first, index]
-
-    def named(some: DataFrame) -> DataFrame:
-        return some.join(some.groupBy("set").agg(F.collect_set("key").alias("own")), "set")
-
     small, crowded = index.where(F.col("others") <= most_others), index.where(F.col("others") > most_others)
-    pairs = [written(_across(named(small)), "across")]
-    if not crowded.isEmpty():
+    pairs = [written(_tallied(_across(small)), "across")]
+    if not crowded.isEmpty():  # pairs that share a crowded posting, and perhaps too few others, are all found here
         rare = written(_unsettled(_by_rarest(crowded, hashes)), "rare")
         used.append(rare)
-        pairs.append(written(_across(named(rare), False), "across"))
+        pairs.append(written(_across(rare).select("a", "b").distinct(), "across"))
     across = written(_similar(reduce(DataFrame.unionByName, pairs).distinct(), hashes), "across")
     out = _grown(rooted[1], across)
     discard(sets, hashes, stars, more, across, *rooted, *used, *pairs)

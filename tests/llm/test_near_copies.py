@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -101,6 +102,22 @@ def test_crowded_passage_loses_nothing(spark, monkeypatch):
     assert len(set(roots.values())) == len(texts) - len(links)
 
 
+def test_shared_positions_are_tallied_over_postings(spark):
+    """A grouped count of the postings that a pair meets in decides: 5 from 64 shingles on, 1 below."""
+    from quadrille.llm import near_copies
+
+    sets = {1: (100, range(8)), 2: (100, range(5)), 3: (90, range(4)), 4: (20, [7]), 5: (100, [50])}
+    rows = [(s, n, s, 0, k, 6, 9) for s, (n, keys) in sets.items() for k in keys]
+    odd = F.struct(*[F.lit(0).cast("long").alias(f"w{i}") for i in range(near_copies.ODD_WORDS)])
+    index = spark.createDataFrame(rows, "set long, n int, root long, main long, key long, others long, all long").withColumn("odd", odd)
+    pairs = lambda df: sorted(map(tuple, near_copies._tallied(df).collect()))
+    assert pairs(near_copies._across(index)) == [(2, 1)]  # 3 shares four positions with 1 and 2; sizes rule 4 out
+    met = spark.createDataFrame([(2, 1), (3, 1), (3, 2), (4, 1), (5, 1)], "a long, b long")
+    assert pairs(near_copies._meetings(met, index)) == [(2, 1), (4, 1)]
+    stars = near_copies._stars(index.where("key >= 4"), F.lit(0), 1)  # 1 and 2 meet in one posting here, but share five
+    assert pairs(near_copies._meetings(stars, index)) == [(2, 1)]
+
+
 def test_odd_sketches_never_differ_in_more_bits_than_the_sets():
     from quadrille.llm import near_copies
 
