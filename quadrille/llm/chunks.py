@@ -32,7 +32,10 @@ class ChunkIds:
 
     def flat_ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin."""
-        chunks = list(chain.from_iterable(texts))
+        return self.flat_ids_of(list(chain.from_iterable(texts)), None, np.fromiter(map(len, texts), np.int64, len(texts)))
+
+    def flat_ids_of(self, chunks: list[str], places: np.ndarray | None, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts of so many chunks each, one after another: `chunks`, or their distinct ones with each one's place there."""
         which, holes, new = self._known(chunks)
         if self.number and len(self.number) + len(new) > self.most:
             self.clear()
@@ -43,11 +46,12 @@ class ChunkIds:
             self.ends.frombytes((len(self.flat) + np.cumsum(sizes, dtype=np.int64)).tobytes())
             self.flat.frombytes(flat.astype(np.uint32).tobytes())
             which[holes] = np.fromiter(map(self.number.__getitem__, [chunks[i] for i in holes.tolist()]), np.int64, len(holes))
+        which = which if places is None else which[places]
         flat, ends = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
         start, size = ends[which], ends[which + 1] - ends[which]
         last = np.concatenate([[0], np.cumsum(size)])
         found = flat[np.arange(last[-1]) + np.repeat(start - last[:-1], size)]
-        cuts = last[np.cumsum([0, *map(len, texts)], dtype=np.int64)]
+        cuts = last[np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])]
         del flat, ends, start  # views keep the arrays from growing
         if len(self.number) > self.most:
             self.clear()

@@ -24,9 +24,11 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,16 +42,18 @@ END = 1
 #: The tokenizer's own cut of normalised text, in terms of `re`: contractions, letters, digits, and the rest.
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: What `re` and the tokenizer take differently: separators that aren't white space there, numbers that aren't
-#: digits, and a letter whose lower case depends on its place. Texts that have them are encoded as a whole.
-ODD = regex.compile(r"[\x1c-\x1f\p{Nl}\p{No}\u03a3]")
+#: digits, a letter whose lower case depends on its place, and letters that one's Unicode tables may not have yet (some
+#: Latin and Cyrillic ones, and all beyond U+FFFF). Texts that have them are encoded as a whole.
+ODD = regex.compile(r"(?V1)[\x1c-\x1f\p{Nl}\p{No}\u03a3\u1c80-\u1c8f\ua7cb-\ua7ff[[\p{L}\p{M}\p{N}\p{Cn}]&&[\U00010000-\U0010ffff]]]")
 
 
 class WordTokenizer:
     """Ids of whole texts through the ids of their distinct runs without white space, and of these by their distinct
     pieces (words, digits, punctuation).
 
-    No piece holds white space, so a text is split at it, which is far quicker than cutting it, and only new runs are
-    cut. Words are encoded thousands at a time in one text and told apart by their last tokens, which carry the
+    No piece holds white space, so texts are split at it, which is far quicker than cutting them; Arrow splits a group of
+    texts and numbers its distinct runs, and only new runs are cut. Pieces are normalised and cut already, so the
+    tokenizer that encodes them has neither step. Words are encoded thousands at a time in one text and told apart by their last tokens, which carry the
     vocabulary's mark for a word's end.
     """
 
@@ -57,15 +61,24 @@ class WordTokenizer:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.own = Tokenizer.from_file(path)
-        vocabulary = self.own.get_vocab(with_added_tokens=True)
+        self.path, self.bare = path, Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.bare.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.pieces = ChunkIds(self._encode)
         self.cache = ChunkIds(self._cut)
 
+    @cached_property
+    def own(self):
+        """The tokenizer with all its steps, for the few texts that are encoded as a whole."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _cut(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found, cuts = self.pieces.flat_ids(list(map(CUT.findall, runs)))
         return found, np.diff(cuts)
@@ -74,13 +87,13 @@ class WordTokenizer:
         flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(pieces), 5000):
             part = pieces[i : i + 5000]
-            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
                 flat.append(ids[: ends[-1]])
                 sizes.append(np.diff(ends, prepend=0))
             else:
-                each = [e.ids for e in self.own.encode_batch_fast(part, add_special_tokens=False)]
+                each = [e.ids for e in self.bare.encode_batch_fast(part, add_special_tokens=False)]
                 flat.append(np.array([t for own in each for t in own], np.int64))
                 sizes.append(np.array([len(own) for own in each], np.int64))
         return np.concatenate(flat), np.concatenate(sizes)
@@ -88,7 +101,10 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         odd = {i for i, t in enumerate(texts) if "<|" in t or (ODD.search(t) if not t.isascii() or any(c in t for c in "\x1c\x1d\x1e\x1f") else False)}
         plain = [t.lower() if t.isascii() else unicodedata.normalize("NFC", t).lower() for t in texts]
-        found = self.cache.ids([[] if i in odd else t.split() for i, t in enumerate(plain)])
+        runs = pc.utf8_split_whitespace(pa.array(["" if i in odd else t for i, t in enumerate(plain)], pa.large_string()))
+        coded = runs.flatten().dictionary_encode()
+        flat, cuts = self.cache.flat_ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), runs.value_lengths().to_numpy())
+        found = np.split(flat, cuts[1:-1]) if texts else []
         for i in odd:
             found[i] = np.array(self.own.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return found

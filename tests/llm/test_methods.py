@@ -237,3 +237,17 @@ def test_words_are_cut_once_a_run():
     own.cache.encode = lambda runs: cut.append(runs) or own._cut(runs)
     own.ids(["word, word. new! word,"])
     assert cut == [["new!"]]
+
+
+def test_runs_are_looked_up_once_a_group_and_equal_the_tokenizer():
+    """However often a run occurs in a group of texts, its ids are looked up once; ids equal the whole tokenizer's, whatever the white space."""
+    import public_tokenizers
+
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    asked, plain = [], own.cache.flat_ids_of
+    own.cache.flat_ids_of = lambda chunks, places, lengths: asked.append(len(chunks)) or plain(chunks, places, lengths)
+    texts = ["same words " * 500 + "don't", "", " ", "\u00a0same\u3000Words\u2028x\u0085y\u200bz\u180ew ", "A\u0300 \u212b \u0130I e\u0301\u0327 \u1e9b\u0323 \ufb01n", "a\x1cb \u03a3\u03a3", "in<|endoftext|>side", "1\u00bd2\u0663_x_ \U0001f600\u0301!", "a\u1c89b \ua7da\ua7ce1 \U000105d3x \U00020000y", "\tsame\nsame\r\nsame\x0b\x0csame"]
+    for got, text in zip(own.ids(texts), texts, strict=True):
+        assert got.tolist() == own.own.encode(text, add_special_tokens=False).ids
+    assert asked[0] < 30
+    assert own.ids([]) == [] and [len(x) for x in own.ids([""])] == [0]
