@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from quadrille.functions.vectors import doubles, l2_normalised, l2_squared
 
 
+TASKS = 24  # a step on a small table that is much work for each row is dealt to so many tasks; by the size of its input it would run in one or two
+
+
 def literal(vector) -> F.Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
@@ -125,6 +128,22 @@ def kmeans(df: DataFrame, k: int, vector: str, seed: int = 0, rounds: int = 10)
     return np.array(model.clusterCenters())
 
 
+def kmeans_flat(sample: DataFrame, k: int, seed: int = 0, rounds: int = 10, seeds: int = 16, most_bytes: int = 128 << 20) -> np.ndarray:
+    """k centroids of the vectors (column v), at most as many as differ: begun by k-means++ over up to `seeds` vectors a
+    centroid and `most_bytes` in all, and trained by rounds over the whole sample, every vector with all centroids."""
+    hashed = sample.select(F.col("v").cast("array<float>").alias("v"), F.xxhash64("v", F.lit(seed)).alias("mix"))
+    width = common_width(hashed, "v")
+    few = hashed.dropDuplicates(["mix"]).orderBy("mix").limit(max(k, min(seeds * k, most_bytes // (4 * width))))
+
+    def begin(own: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(own.sort_values("mix")["v"].to_numpy()).astype(np.float32)
+        return pd.DataFrame({"c": [r.tobytes() for r in x[plus_plus(x, k, seed)]]})
+
+    rows = few.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(begin, "c binary").toArrow()["c"].to_pylist()  # k vectors
+    centroids = np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(-1, width)
+    return lloyd(hashed.select("v"), [centroids], lambda x, g: x, None, rounds)[0]
+
+
 def shares(worth: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
     """`total` dealt in proportion to `worth` (largest remainders), one at least where the count isn't 0, and the count at most."""
     total = int(min(total, counts.sum()))
@@ -143,10 +162,10 @@ def shares(worth: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
 def _means(parts: DataFrame) -> list[dict]:
     """Of partial sums (g, e, n, total: bytes of doubles) the mean of each (g, e), as bytes of floats."""
     def merged(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        out = [(key[0], e, (np.sum([np.frombuffer(t) for t in rows["total"]], axis=0) / rows["n"].sum()).astype(np.float32).tobytes()) for e, rows in own.groupby("e")]
+        out = [(key[1], e, (np.sum([np.frombuffer(t) for t in rows["total"]], axis=0) / rows["n"].sum()).astype(np.float32).tobytes()) for e, rows in own.groupby("e")]
         return pd.DataFrame(out, columns=["g", "e", "mean"])
 
-    return parts.groupBy("g").applyInPandas(merged, "g int, e int, mean binary").toArrow().to_pylist()  # the codebook's own size
+    return parts.groupBy(F.floor(F.col("e") / 256), "g").applyInPandas(merged, "g int, e int, mean binary").toArrow().to_pylist()  # the codebook's own size
 
 
 def lloyd(df: DataFrame, books: list[np.ndarray], cut: Callable[[np.ndarray, int], np.ndarray], groups: str | None = None, rounds: int = 8, block: int = 4096) -> list[np.ndarray]:
@@ -210,7 +229,7 @@ def kmeans_two_level(sample: DataFrame, k: int, seed: int = 0, rounds: int = 8,
     rounds over the sample where a vector meets only the centroids of its own top; then by `polish` rounds where it
     meets all of them.
     """
-    tops = kmeans(sample, max(2, round(k**0.5)), "v", seed).astype(np.float32)
+    tops = kmeans_flat(sample, max(2, round(k**0.5)), seed)
     shared, width = sample.sparkSession.sparkContext.broadcast(tops), tops.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +240,7 @@ def kmeans_two_level(sample: DataFrame, k: int, seed: int = 0, rounds: int = 8,
 
     hashed = sample.select(F.col("v").cast("array<float>").alias("v"), F.xxhash64("v", F.lit(seed)).alias("mix"))
     placed = hashed.mapInArrow(place, "top int, v array<float>, mix long, away double")
-    placed = placed.repartitionByRange("top", "mix").sortWithinPartitions("top", "mix").persist(StorageLevel.DISK_ONLY)  # the sample is bounded; a lost part is made again
+    placed = placed.repartitionByRange(TASKS, "top", "mix").sortWithinPartitions("top", "mix").persist(StorageLevel.DISK_ONLY)  # the sample is bounded; a lost part is made again
     try:
         counts, errors = np.zeros(len(tops), np.int64), np.zeros(len(tops))
         for r in placed.groupBy("top").agg(F.countDistinct("mix").alias("n"), F.sum("away").alias("away")).collect():  # one row a top
@@ -272,8 +291,8 @@ class VectorIndex:
     (id, list_id, code: a byte a part), written by list so that a search reads the probed lists only. Vectors that are
     null, of another length or not finite are neither learned from nor encoded. Distances are squared, of unit vectors.
 
-    `train` reads the given sample only (bound it by `sample_per_file`); from `flat` lists on, centroids come from two
-    levels. Workers multiply blocks of rows with blocks of centroids, so no array but the centroids themselves (floats,
+    `train` reads the given sample only (bound it by `sample_per_file`). Below `few` lists centroids come from Spark's KMeans,
+    whose start takes long with many lists, then from rounds over all of them, and from `flat` lists on from two levels. Workers multiply blocks of rows with blocks of centroids, so no array but the centroids themselves (floats,
     151 MB for 32,768 lists of 1,152 components) grows with the index's size.
     """
 
@@ -281,15 +300,16 @@ class VectorIndex:
     codebooks: np.ndarray  # parts x words x width
 
     @classmethod
-    def train(cls, sample: DataFrame, lists: int, parts: int, words: int = 256, vector: str = "embedding", seed: int = 0, flat: int = 1024) -> VectorIndex:
+    def train(cls, sample: DataFrame, lists: int, parts: int, words: int = 256, vector: str = "embedding", seed: int = 0, flat: int = 1024, few: int = 64) -> VectorIndex:
         size = common_width(sample, vector)
         if not size or size % parts:
             raise ValueError(f"vectors of {size} components have no {parts} equal parts")
         if words > 256:
             raise ValueError("a codeword's number is a byte")
-        unit = sample.where(sound(F.col(vector), size)).select(l2_normalised(F.col(vector)).alias("v")).persist(StorageLevel.DISK_ONLY)
+        unit = sample.where(sound(F.col(vector), size)).select(l2_normalised(F.col(vector)).alias("v"))
+        unit = (unit.repartition(TASKS) if lists >= few else unit).persist(StorageLevel.DISK_ONLY)
         try:
-            centroids = (kmeans(unit, lists, "v", seed) if lists < flat else kmeans_two_level(unit, lists, seed)).astype(np.float32)
+            centroids = (kmeans(unit, lists, "v", seed) if lists < few else kmeans_flat(unit, lists, seed) if lists < flat else kmeans_two_level(unit, lists, seed)).astype(np.float32)
             left = _residuals(unit, centroids).persist(StorageLevel.DISK_ONLY)
             try:
                 return cls(centroids, _codebooks(left, parts, words, size // parts, seed))
@@ -359,70 +379,94 @@ class VectorIndex:
         found = self.search_many(codes.where(F.col("list_id").isin(near.tolist())), asks, k, probes, id_column, rerank, vector, query="q")
         return found.drop("query_id", "rank").orderBy("score", id_column)
 
-    def probed(self, queries: DataFrame, probes: int, query_id: str = "query_id", query: str = "embedding") -> DataFrame:
-        """query_id, list_id, left (the query less the list's centroid) for the `probes` lists nearest to each query."""
-        shared = queries.sparkSession.sparkContext.broadcast(self.centroids)
+    def dealt(self, codes: DataFrame, code_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Of each list the first shard and the number of shards, and the number of all. A shard holds whole lists of together
+        about `code_rows` codes, or a slice of a list of more; lists without codes have none."""
+        counts = np.zeros(len(self.centroids), np.int64)
+        found = codes.groupBy("list_id").count().toArrow()  # one row a list
+        counts[found["list_id"].to_numpy()] = found["count"].to_numpy()
+        slices = -(-counts // code_rows)
+        small, large = slices == 1, slices > 1
+        first = np.where(small, (np.cumsum(np.where(small, counts, 0)) - 1) // code_rows, 0)
+        total = int(first.max()) + 1 if small.any() else 0
+        first[large] = total + np.cumsum(slices[large]) - slices[large]
+        return first, slices, total + int(slices[large].sum())
+
+    def probed(self, queries: DataFrame, probes: int, first: np.ndarray, slices: np.ndarray, query_id: str = "query_id", query: str = "embedding") -> DataFrame:
+        """query_id, s, lists (numbers, 4 bytes each), unit: of the `probes` lists nearest to each query those of each shard."""
+        shared = queries.sparkSession.sparkContext.broadcast((self.centroids, first, slices))
         width, count = self.width, min(probes, len(self.centroids))
         kind = queries.select(query_id).schema[0].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centroids, first, slices = shared.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    x = _spread(_matrix(part.column("_unit"), width), width)
-                    lists = nearest_rows(x, shared.value, count)
-                    left = np.repeat(x, count, axis=0) - shared.value[lists.ravel()]
-                    ids = part.column(0).take(pa.array(np.repeat(np.arange(len(x)), count)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(lists.ravel()), pa.array([r.tobytes() for r in left], pa.binary())], ["query_id", "list_id", "left"])
+                    x, rows, shards, lists = _spread(_matrix(part.column("_unit"), width), width), [], [], []
+                    for i, near in enumerate(nearest_rows(x, centroids, count)):
+                        n = slices[near]
+                        each, shard = np.repeat(near, n), np.repeat(first[near] + n - np.cumsum(n), n) + np.arange(n.sum())
+                        order = np.argsort(shard, kind="stable")
+                        heads = np.flatnonzero(np.diff(shard[order], prepend=-1))
+                        rows += [i] * len(heads)
+                        shards.append(shard[order][heads])
+                        lists += [own.tobytes() for own in np.split(each[order].astype(np.int32), heads[1:])] if len(heads) else []
+                    units = [r.tobytes() for r in x]
+                    columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate(shards).astype(np.int32)), pa.array(lists, pa.binary()), pa.array([units[i] for i in rows], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "s", "lists", "unit"])
 
         unit = queries.where(sound(F.col(query), width)).select(query_id, l2_normalised(F.col(query)).cast("array<float>").alias("_unit"))
-        return unit.mapInArrow(run, f"query_id {kind}, list_id int, left binary")
+        return unit.mapInArrow(run, f"query_id {kind}, s int, lists binary, unit binary")
 
     def search_many(self, codes: DataFrame, queries: DataFrame, k: int = 5, probes: int = 32, id_column: str = "vec_id", rerank: tuple[DataFrame, int] | None = None, vector: str = "embedding",
-                    query_id: str = "query_id", query: str = "embedding", code_rows: int = 1 << 16, query_rows: int = 512) -> DataFrame:
-        """query_id, id, list_id, score, rank: the k nearest of every row of `queries`, in one job.
+                    query_id: str = "query_id", query: str = "embedding", code_rows: int = 1 << 16, query_rows: int = 1024) -> DataFrame:
+        """query_id, id, list_id, score, rank: the k nearest of every row of `queries`.
 
-        Queries meet the codes of the lists they probe; each list gives a query its best k, and the best of all are ranked.
-        A list of many codes, or that many queries probe, is dealt into slices of `code_rows` and `query_rows` that meet
-        pair by pair. Each query has one table of distances for each list (parts x words), of its residual.
+        Lists are dealt into shards of about `code_rows` codes, the queries that probe a shard into blocks of `query_rows` at
+        most; shards and blocks meet pair by pair, and a query takes from a shard the best k of the lists it probes there, so
+        what is ranked in the end grows with the shards, not with the lists. Scores are products of residuals with decoded
+        codes, rounded to 12 digits so that equal codes tie. Counts of codes by list and of queries by shard come first.
 
         `rerank`: the table of vectors and a factor; the best k x factor by their codes are then ranked by the exact distance
         of their unit vectors. Queries without a sound vector get no rows.
         """
         keep = k * rerank[1] if rerank else k
-        books = codes.sparkSession.sparkContext.broadcast(self.codebooks)
-        asks = self.probed(queries, probes, query_id, query)
+        spark = codes.sparkSession
+        shared = spark.sparkContext.broadcast((self.centroids, self.codebooks))
+        first, slices, total = self.dealt(codes, code_rows)
+        asks = self.probed(queries, probes, first, slices, query_id, query)
         ask_kind, id_kind = asks.schema["query_id"].dataType.simpleString(), codes.schema[id_column].dataType.simpleString()
-
-        def sliced(df: DataFrame, name: str, rows: int, mix: str) -> tuple[DataFrame, DataFrame]:
-            many = F.broadcast(df.groupBy("list_id").agg(F.ceil(F.count("*") / rows).alias(f"n_{name}")))  # one row a list
-            return df.join(many, "list_id").withColumn(name, F.pmod(F.xxhash64(mix), F.col(f"n_{name}"))).drop(f"n_{name}"), many
-
-        left, many_codes = sliced(codes.select(F.col(id_column).alias("_id"), "list_id", "code"), "s", code_rows, "_id")
-        right, many_asks = sliced(asks, "u", query_rows, "query_id")
-        copied = lambda df, many, name: df.join(many, "list_id").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{name}") - 1))).drop(f"n_{name}")
-        left, right = copied(left, many_asks, "u"), copied(right, many_codes, "s")
+        blocks = [(r.s, max(-(-r.n // query_rows), min(-(-TASKS // total), -(-r.n // 16)))) for r in asks.groupBy("s").agg(F.count("*").alias("n")).collect()]  # one row a shard
+        tasks = min(2000, max(1, sum(n for _, n in blocks)))
+        by_shard = F.broadcast(spark.createDataFrame(blocks, "s int, n_u int"))
+        by_list = F.broadcast(spark.createDataFrame([(i, int(f), int(n)) for i, (f, n) in enumerate(zip(first, slices)) if n], "list_id int, first int, slices int"))
+        at = codes.select(F.col(id_column).alias("_id"), "list_id", "code").join(by_list, "list_id")
+        left = at.withColumn("s", (F.col("first") + F.pmod(F.xxhash64("_id"), F.col("slices"))).cast("int")).drop("first", "slices").join(by_shard, "s")
+        left = left.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("n_u") - 1))).drop("n_u")
+        right = asks.join(by_shard, "s").withColumn("u", F.pmod(F.xxhash64("query_id"), F.col("n_u")).cast("int")).drop("n_u")
 
         def meet(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            none = pd.DataFrame({"query_id": asked["query_id"][:0], "_id": own["_id"][:0], "list_id": np.zeros(0, np.int32), "score": np.zeros(0)})
             if not len(own) or not len(asked):
-                return none
-            own = own.sort_values("_id", kind="stable")
-            code = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-            ids, out = own["_id"].to_numpy(), [none]
-            for q, left in zip(asked["query_id"], asked["left"]):
-                table = distances(np.frombuffer(left, np.float32), books.value)
-                score = np.zeros(len(code))
-                for p in range(code.shape[1]):
-                    score += table[p][code[:, p]]
-                best = np.argsort(score, kind="stable")[:keep] if len(score) <= 4 * keep else _least(score, keep)
-                out.append(pd.DataFrame({"query_id": q, "_id": ids[best], "list_id": np.int32(key[0]), "score": score[best]}))
-            return pd.concat(out[1:] or out)
-
-        keys = ["list_id", "u", "s"]
+                return pd.DataFrame({"query_id": asked["query_id"][:0], "_id": own["_id"][:0], "list_id": np.zeros(0, np.int32), "score": np.zeros(0)})
+            own = own.sort_values("_id", kind="stable").reset_index(drop=True).sort_values("list_id", kind="stable")
+            rank, of, ids = own.index.to_numpy(), own["list_id"].to_numpy(), own["_id"].to_numpy()  # rank: place by id
+            codes, out = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1), []
+            for start in range(0, len(asked), 128):
+                few = asked[start : start + 128]
+                units = np.frombuffer(b"".join(few["unit"]), np.float32).reshape(len(few), -1)
+                for q, (score, place) in enumerate(_scored(codes, of, units, [np.frombuffer(b, np.int32) for b in few["lists"]], *shared.value)):
+                    best, score = _least(score, rank[place], keep)
+                    out.append((start + q, place[best], score))
+            place = np.concatenate([p for _, p, _ in out])
+            asker = np.repeat([q for q, _, _ in out], [len(p) for _, p, _ in out])
+            return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[asker], "_id": ids[place], "list_id": of[place], "score": np.concatenate([s for _, _, s in out])})
+
+        keys = ["s", "u"]
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
         met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query_id {ask_kind}, _id {id_kind}, list_id int, score double")
         order = Window.partitionBy("query_id").orderBy("score", "_id")
-        first = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)  # a query has probes x slices x k rows
+        first = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)  # a query has shards x keep rows at most
         if rerank:
             units = rerank[0].where(sound(F.col(vector), self.width)).select(F.col(id_column).alias("_id"), l2_normalised(F.col(vector)).alias("_unit"))
             own = queries.where(sound(F.col(query), self.width)).select(F.col(query_id).alias("query_id"), l2_normalised(F.col(query)).alias("_ask"))
@@ -430,12 +474,80 @@ class VectorIndex:
             first = exact.drop("_unit", "_ask").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return first.select("query_id", F.col("_id").alias(id_column), "list_id", "score", "rank")
 
+    def fitted(self, codes: DataFrame, df: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", asked: int = 128, probed: float = 0.97, found: float = 0.95, most: int = 2000) -> tuple[int, int]:
+        """The number of lists to probe and the factor to rerank by, from the true k nearest rows of up to `asked` queries
+        (query_id, and the vector): so many lists that a share of `probed` of these rows lies in them, and so deep that a share
+        of `found` is among the best by code (`most` a query at most, and all that were found if that is a smaller share)."""
+        few = queries.where(sound(F.col(vector), self.width)).orderBy(F.xxhash64("query_id"), "query_id").limit(asked).toArrow()  # bounded
+        if not few.num_rows:
+            return 1, 1
+        few = codes.sparkSession.createDataFrame(few)
+        true = exact_many(df, few, k, id_column, vector).join(few, "query_id").join(codes.select(F.col(id_column).alias("_id"), "list_id"), "_id")
+        true = true.select("query_id", "_id", "list_id", l2_normalised(F.col(vector)).cast("array<float>").alias("v")).toArrow()  # asked x k rows
+        if not true.num_rows:
+            return 1, 1
+        lists, kept = true["list_id"].to_numpy(), codes.sparkSession.createDataFrame(true.select(["query_id", "_id"]))
+        order = nearest_rows(np.array(true["v"].to_pylist(), np.float32), self.centroids, len(self.centroids))
+        places = np.sort((order == lists[:, None]).argmax(1)) + 1
+        probes = int(places[int(np.ceil(probed * len(places))) - 1])
+        near = self.search_many(codes, few, most, probes, id_column, query=vector).withColumnRenamed(id_column, "_id")
+        ranks = sorted(r["rank"] for r in near.join(F.broadcast(kept), ["query_id", "_id"]).select("rank").collect()) or [most]
+        return probes, -(-ranks[min(int(np.ceil(found * len(places))), len(ranks)) - 1] // k)
+
+
+def exact_many(df: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, _id: the k rows of df nearest to each of a few queries (their vectors are broadcast), by unit vectors."""
+    width = common_width(queries, vector)
+    asks = queries.where(sound(F.col(vector), width)).select("query_id", l2_normalised(F.col(vector)).alias("v")).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((asks["query_id"].combine_chunks(), np.array(asks["v"].to_pylist())))
+    rows = df.where(sound(F.col(vector), width)).select(F.col(id_column).alias("_id"), l2_normalised(F.col(vector)).alias("v"))
+    kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["_id"].dataType.simpleString()
 
-def _least(score: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the `keep` least scores in order, ties to the earlier place."""
-    edge = np.partition(score, keep - 1)[keep - 1]
-    near = np.flatnonzero(score <= edge)
-    return near[np.argsort(score[near], kind="stable")][:keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                y = _matrix(part.column("v"), width)
+                away = np.round((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 12)
+                rank = np.argsort(np.argsort(part.column("_id").to_pandas(), kind="stable"), kind="stable")
+                best = [_least(row, rank, k) for row in away]
+                asker, place = np.repeat(np.arange(len(x)), [len(b) for b, _ in best]), np.concatenate([b for b, _ in best])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asker)), part.column("_id").take(pa.array(place)), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "_id", "score"])
+
+    near = rows.mapInArrow(run, f"query_id {kinds[0]}, _id {kinds[1]}, score double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "_id"))).where(F.col("rank") <= k).select("query_id", "_id")
+
+
+def _scored(codes: np.ndarray, of: np.ndarray, units: np.ndarray, wanted: list[np.ndarray], centroids: np.ndarray, books: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each query the distances to the codes of the lists it wants, and their places; codes come by their list (`of`)."""
+    asker, lists = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted]), np.concatenate(wanted)
+    order = np.argsort(lists, kind="stable")
+    asker, lists = asker[order], lists[order]
+    heads = np.flatnonzero(np.diff(lists, prepend=-1))
+    scores, places = [[] for _ in wanted], [[] for _ in wanted]
+    for head, end in zip(heads, np.append(heads[1:], len(lists))):
+        n, who = lists[head], asker[head:end]
+        a, b = np.searchsorted(of, [n, n + 1])
+        if a == b:
+            continue
+        decoded = books[np.arange(len(books)), codes[a:b]].reshape(b - a, -1).astype(np.float64)
+        left = (units[who] - centroids[n]).astype(np.float64)
+        away = (left * left).sum(1)[:, None] + (decoded * decoded).sum(1) - 2 * (left @ decoded.T)
+        place = np.arange(a, b)
+        for i, row in zip(who.tolist(), away):
+            scores[i].append(row)
+            places[i].append(place)
+    for score, place in zip(scores, places):
+        yield (np.concatenate(score), np.concatenate(place)) if score else (np.zeros(0), np.zeros(0, np.int64))
+
+
+def _least(score: np.ndarray, rank: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values (of 12 digits) of the `keep` least scores in order, ties to the smaller rank."""
+    near = np.flatnonzero(score <= np.partition(score, keep - 1)[keep - 1] + 2e-12) if len(score) > keep else np.arange(len(score))
+    value = np.round(np.maximum(score[near], 0), 12)
+    order = np.lexsort((rank[near], value))[:keep]
+    return near[order], value[order]
 
 
 def coded(left: np.ndarray, books: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quadrille.operators import index_files, vector_index
 from quadrille.operators.vector_index import VectorIndex
+from quadrille.plans import queries
 
 N, D, LISTS, PROBES = 50_000, 32, 160, 16
 
@@ -154,3 +155,46 @@ def test_adds_by_file(spark, tmp_path):
     saved(x[:10], tmp_path / "files/a.parquet")
     with pytest.raises(ValueError, match="a.parquet"):
         index_files.add(spark, at, files)
+
+
+def test_batch_query_recall_on_random_directions(spark, tmp_path):
+    """Directions without clusters, as the driver's tables have them: a tenth of the lists isn't enough there."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = [*list(x), None, np.full(64, np.nan, np.float32), np.ones(3, np.float32)]
+    table = pa.table({"vec_id": pa.array(np.arange(len(rows)) * 5), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array(np.zeros(len(rows), np.int64))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    by = {}
+    for r in queries.queries()["ivf_pq_batch"](spark, str(tmp_path)).collect():
+        by.setdefault(r.query_id // 5, []).append((r["rank"], r.vec_id // 5, r.score))
+    asks = range(0, 4000, 4)
+    assert set(by) == set(asks) and all(sorted(t[0] for t in own) == list(range(1, 11)) for own in by.values())
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    away = 2 - 2 * unit @ unit[list(asks)].T
+    hits = [len({i for _, i, _ in by[q]} & set(np.argsort(away[:, j], kind="stable")[:10].tolist())) / 10 for j, q in enumerate(asks)]
+    assert all(abs(s - away[i, j]) < 1e-9 for j, q in enumerate(asks) for _, i, s in by[q])
+    assert np.mean(hits) >= 0.9
+
+
+def test_copies_tie_by_id_in_any_slices(spark):
+    x = clustered(3000, 16, 20, 8)
+    x[::3] = x[0]  # 1,000 copies, in one list
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = VectorIndex.train(df, 24, 4, 64)
+    codes, asks = index.encode(df).persist(), df.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    found = [sorted(map(tuple, index.search_many(codes, asks, 7, 6, code_rows=c, query_rows=q).select("query_id", "rank", "vec_id", "score").collect())) for c, q in ((1 << 16, 1024), (128, 16))]
+    assert found[0] == found[1]
+    assert [v for q, _, v, _ in found[0] if q == 30] == [0, 3, 6, 9, 12, 15, 18]
+    first, slices, total = index.dealt(codes, 128)
+    assert slices.max() >= 8 and total < (slices > 0).sum() + slices.max()  # small lists share shards, the crowded one has several
+    codes.unpersist()
+
+
+def test_flat_training(spark):
+    x = clustered(6000, 16, 150, 5)
+    sample = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    assert error(x, vector_index.kmeans_flat(sample, 100)) <= 1.05 * error(x, vector_index.kmeans(sample, 100, "v", 0).astype(np.float32))
+    few = spark.createDataFrame([(v.tolist(),) for v in np.repeat(x[:5], 40, axis=0)], "v array<double>")
+    got = vector_index.kmeans_flat(few, 16)
+    assert got.shape == (5, 16) and error(x[:5], got) < 1e-9
