@@ -171,10 +171,12 @@ def _spread(values: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.concatenate([heads, [n]])))
 
 
-def _packed(ids, twins, row, columns: tuple[tuple[np.ndarray, int], ...], part: np.ndarray, parts: int, data: np.ndarray | None = None, length: np.ndarray | None = None) -> tuple[list[int], list[bytes]]:
-    """One binary for each part: documents with their numbers of rows, the rows' columns by byte planes, and their bytes."""
+def _packed(ids, twins, row, columns: tuple[tuple[np.ndarray, int], ...], part: np.ndarray, parts: int, data: np.ndarray | None = None, length: np.ndarray | None = None, kept: np.ndarray | None = None) -> tuple[list[int], list[bytes]]:
+    """One binary for each part: documents with their numbers of rows, the rows' columns by byte planes, and their bytes.
+    kept: the rows that go, all if None; `part` is theirs."""
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    order = order if kept is None else kept[order]
     begins = np.cumsum(length) - length if data is not None else None
     out: tuple[list, list] = ([], [])
     for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -209,32 +211,41 @@ def _unpacked(held: list[bytes], widths: tuple[int, ...]) -> tuple[list[np.ndarr
     return [np.concatenate(c) for c in columns], rest
 
 
+def _joined_up(arrays: list[np.ndarray]) -> np.ndarray:
+    """Their concatenation; the list is emptied, so that no second copy stays."""
+    out = np.concatenate(arrays)
+    arrays.clear()
+    return out
+
+
 def gram_rows(parts: int):
     """Map side of the grams: rows of runs for the parts, and the runs whose gram two documents of the batch have."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
             ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_d"))
-            kept = []
+            kept: tuple[list, ...] = ([], [], [])
             for a, b, bounds, rows in segments(at):
                 text, start, count, gram = runs(data[a:b], bounds)
-                kept.append((rows[text], a + start - at[rows[text]], count, gram))
-            row, start, count, gram = (np.concatenate(x) for x in zip(*kept)) if kept else [np.zeros(0, np.int64)] * 4
-            if not len(row):
+                own_row = rows[text]
+                for column, x in zip(kept, (own_row.astype(np.int32), ((a + start - at[own_row]) << 8 | count).astype(np.uint64), gram)):
+                    column.append(x)
+            if not any(map(len, kept[0])):
                 continue
+            row, place, gram = map(_joined_up, kept)
             order = np.argsort(gram, kind="stable")
             heads, owner = _heads(gram[order]), ids[row[order]]
             shared = np.minimum.reduceat(owner, heads) < np.maximum.reduceat(owner, heads)
             known = np.zeros(len(row), bool)
             known[order] = _spread(shared, heads, len(order))
-            witness, size = np.zeros(len(row), bool), np.diff(np.concatenate([heads, [len(order)]]))
-            witness[order[heads[shared]]] = True
-            told = start.copy()  # a witness tells the number of runs in place of its start
-            told[order[heads[shared]]] = size[shared]
-            sent = np.flatnonzero(~known | witness)
-            out = _packed(ids, twins, row[sent], ((told[sent], 5), (np.where(witness, WITNESS, count)[sent], 1), (gram[sent], 6)), part_of(gram[sent], parts), parts)
-            place = (start << 8 | count)[known].astype("<u8")
-            own = _by_document(ids[row[known]], twins[row[known]], np.stack([place, gram[known].astype("<u8")], 1))
+            witness, size = order[heads[shared]], np.diff(np.concatenate([heads, [len(order)]]))[shared]
+            del owner, order, heads
+            own = list(_by_document(ids[row[known]], twins[row[known]], np.stack([place[known].astype("<u8"), gram[known].astype("<u8")], 1)))
+            place[witness] = size.astype(np.uint64) << np.uint64(8) | np.uint64(WITNESS)  # a witness tells the number of runs in place of its start
+            known[witness] = False
+            sent = np.flatnonzero(~known)
+            columns = ((place >> np.uint64(8), 5), (place.astype(np.uint8), 1), (gram, 6))
+            out = _packed(ids, twins, row, columns, part_of(gram[sent], parts), parts, kept=sent)
             yield _parted(*out, [(-1 - doc % parts, doc, twin, marks) for doc, twin, marks in own])
 
     return run
