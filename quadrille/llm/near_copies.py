@@ -139,7 +139,7 @@ def odd_sketches(found: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
     data, at = text_bytes(batch.column("text"))
-    for first, last in blocks(at, 1 << 20):
+    for first, last in blocks(at, 1 << 18):
         found, cuts = shingles(data, at[first : last + 1])
         names = [xxhash.xxh3_64_intdigest(found[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
         yield first, last, found, cuts, pa.array(np.array(names, np.uint64).view(np.int64), pa.int64())
